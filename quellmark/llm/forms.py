@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 
 WORD = re.compile(r"\w+")
@@ -22,7 +21,7 @@ def words(text: str | None) -> list[str]:
 def _ignorable() -> str:
     """A character class of white space and punctuation but for `@`, `_` and `#`, as ranges."""
     ranges: list[list[int]] = []
-    for point in range(sys.maxunicode + 1):
+    for point in range(0x20000):  # beyond it there is neither
         char = chr(point)
         if char in "@_#" or not (char.isspace() or char in "$+<=>^`|~" or unicodedata.category(char)[0] == "P"):
             continue

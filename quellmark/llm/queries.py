@@ -7,7 +7,9 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("p01_splits", "p02_overlap", "p04_duplicates", "p06_lookalikes", "p08_packing", "p09_leakage", "p10_truncation")
+MODULES = (
+    "p01_splits", "p02_overlap", "p04_duplicates", "p05_consensus", "p06_lookalikes", "p07_languages", "p08_packing", "p09_leakage", "p10_truncation",
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,10 +1,10 @@
 """Problem 10: texts cut off by field limits or in transfer, found in pure SQL.
 
-Every text becomes a line of tokens: words as they are, names, numbers, mentions, tags, links, emoji, sentence ends,
-closing brackets, signature lines and broken fragments by their class. Trigrams of tokens are counted inside texts and at
-ends, over all documents; a final trigram that is frequent inside texts but at an end less often than a token
-in general flags its document. Where the trigram is too rare to tell (a word cut in two is), the trigram of the tokens' classes
-decides, counted from the same table; there a broken fragment is a word like any other. Of the flagged documents those stay that also lack a complete ending.
+Words are what white space parts, with the punctuation they end in; names, mentions, tags and links are written alike, as
+they are too rare to count. Word trigrams are counted inside texts and at ends, over all documents; a final trigram that
+is frequent inside texts but at an end less often than a word in general flags its document. Where the trigram is
+too rare to tell (a word cut in two is), the trigram of its words' endings decides, or at last the ending of its last
+word alone, both counted from the same table. Of the flagged documents those stay that also lack a complete ending.
 """
 
 from __future__ import annotations
@@ -13,54 +13,52 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quellmark.runtime import Workspace, table
 
-#: A trigram must occur so often for its own share of ends to count.
+#: A trigram must occur so often inside texts for its share of ends to count.
 FREQUENT = 100
-#: Patterns and the token that stands for what they match, applied in this order.
-_CLASSES = [
-    (r"(?m)^\s*--[^\n]*", " \u0001s "),  # signature line
-    (r"https?://\S+", " \u0001u "),
-    (r"\\u[0-9A-Fa-f]*|&#?\w*|�", "\u0001x"),  # fragments of broken characters
-    (r"#[\p{L}\p{M}\p{N}_]+", " \u0001t "),
-    (r"@[\p{L}\p{M}\p{N}_]+", " \u0001m "),
-    (r"[\p{L}\p{M}\p{N}_]*\u0001x\S*", " \u0001x "),
-    (r"[.!?…。！？؟।]+", " \u0001e "),
-    (r"[)\]}»”」』）]+", " \u0001c "),
-    (r"[\p{So}\p{Sk}\p{Cn}]+", " \u0001j "),  # emoji and other pictures
-    (r"[\p{P}\p{Sm}\p{Sc}]+", " \u0001p "),
-    (r"(?<![\p{L}\p{N}])\p{Lu}[\p{L}\p{M}\p{N}_]*", " \u0001n "),
-    (r"\p{N}+", " \u0001d "),
-    (r"\s+", " "),
-]
-#: What a complete text ends in, besides a signature line: tested on its classes.
-COMPLETE = ("\u0001e", "\u0001c", "\u0001t", "\u0001u", "\u0001j", "\u0001s")
-
-
-def _line() -> str:
-    """SQL for the tokens of a text, two start marks before them, parted by single spaces."""
-    sql = "text"
-    for pattern, token in _CLASSES:
-        sql = f"regexp_replace({sql}, r'{pattern}', '{token}')"
-    return f"concat('\u0001a \u0001a ', trim({sql}))"
-
-
-METHOD = f"""
-with lines as (select doc_id, source, {_line()} as line from {{documents}} where doc_id is not null and text is not null),
-ends as (select doc_id, source, regexp_extract(line, r'(\\S+ \\S+ \\S+)$', 1) as g from lines),
-seen as (select g, count(*) as n from (
-    select explode(regexp_extract_all(line, r'(?<![^ ])(?=(\\S+ \\S+ \\S+))', 1)) as g from lines) group by g),
-final as (select g, count(*) as n from ends group by g),
-counted as (select seen.g, seen.n, coalesce(final.n, 0) as last,
-    regexp_replace(seen.g, r'(?<![^ ])([^\u0001 ]\\S*|\u0001x)', '\u0001w') as k from seen left join final on seen.g = final.g),
-kinds as (select k, sum(n) as n, sum(last) as last from counted group by k),
+#: Characters that end a complete text.
+ENDS = ".!?…。！？؟।)]}»”\"』」）"
+
+#: One pass over each text: `line` is the text with names, mentions, tags and links written alike.
+LINES = r"""
+select doc_id, source, line, regexp_extract(concat('^ ^ ', right(line, 400)), r'(\S+\s+\S+\s+\S+)$', 1) as g,
+    last = '' or instr('{ends}', last) > 0 or last rlike r'[\p{So}\p{Sk}]' and last <> '�'
+    or word like '#%' or word like 'http://%' or word like 'https://%' or row like '--%' as complete
+from (select doc_id, source, right(whole, 1) as last, ltrim(substring_index(whole, '\n', -1)) as row,
+        substring_index(translate(whole, '\n\t\r', '   '), ' ', -1) as word,
+        regexp_replace(whole, r'https?(:)\S+|(?<![\p{L}\p{N}&])([@#])[\p{L}\p{N}_]+|(\p{Lu})[\p{L}\p{M}\p{N}]*', '$1$2$3') as line
+    from (select doc_id, source, trim(trailing ' \n\t\r' from text) as whole from {documents} where doc_id is not null and text is not null))
+"""
+
+#: The counts, the trigrams of word endings (what ends in a letter, digit or broken character is a word), and the verdict.
+METHOD = r"""
+with seen as (select g, count(*) as n from (
+    select explode(regexp_extract_all(concat('^ ^ ', line), r'(?<!\S)(?=(\S+\s+\S+\s+\S+))', 1)) as g from {lines}) group by g),
+final as (select g, count(*) as n from {lines} group by g),
+counted as (select coalesce(seen.g, final.g) as g, greatest(coalesce(seen.n, 0), coalesce(final.n, 0)) as n, coalesce(final.n, 0) as last
+    from seen full join final on seen.g = final.g),
+shaped as (select g, n, last, regexp_replace(g, r'\S*?([\p{L}\p{M}\p{N}_&;\\�]|\S)(?=\s|$)\s*', '$1 ') as k from counted),
+named as (select g, n, last, regexp_replace(k, r'[\p{L}\p{M}\p{N}_&;\\�]', 'w') as k from shaped),
+kinds as (select k, sum(n) as n, sum(last) as last from named group by k),
+closes as (select substring_index(trim(k), ' ', -1) as c, sum(n) as n, sum(last) as last from kinds group by 1),
 base as (select sum(last) / sum(n) as rate from counted),
-judged as (select counted.g, counted.last, counted.n, kinds.last as kind_last, kinds.n as kind_n,
-    counted.n - counted.last >= {FREQUENT} and counted.last - 1 < rate * counted.n
-    or kinds.n - kinds.last >= {FREQUENT} and kinds.last - 1 < rate * kinds.n as cut
-    from counted join kinds on counted.k = kinds.k cross join base where counted.last > 0)
-select ends.doc_id, ends.source, judged.g as final_trigram, judged.n - judged.last as inside, judged.last as terminal,
-    coalesce(judged.cut, false) as flagged, coalesce(judged.cut, false) and not (ends.g = '' or {{complete}}) as cut
-from ends left join judged on ends.g = judged.g
-""".replace("{complete}", " or ".join(f"endswith(ends.g, ' {c}')" for c in COMPLETE))
+judged as (select named.g, named.n - named.last as inside, named.last as terminal, case
+    when named.n - named.last >= :frequent and named.last - 1 < rate * named.n then true
+    when kinds.n - kinds.last >= :frequent then kinds.last - 1 < rate * kinds.n
+    else closes.n - closes.last >= :frequent and closes.last - 1 < rate * closes.n end as cut
+    from named join kinds on named.k = kinds.k join closes on substring_index(trim(named.k), ' ', -1) = closes.c
+    cross join base where named.last > 0)
+select l.doc_id, l.source, l.g as final_trigram, coalesce(inside, 0) as inside, coalesce(terminal, 0) as terminal,
+    coalesce(cut, false) as flagged, coalesce(cut, false) and not l.complete as cut
+from {lines} l left join judged on l.g = judged.g
+"""
+
+
+def _braces(sql: str, *kept: str) -> str:
+    """The statement with its braces doubled, but for the tables it names."""
+    sql = sql.replace("{", "{{").replace("}", "}}")
+    for name in kept:
+        sql = sql.replace("{{" + name + "}}", "{" + name + "}")
+    return sql
 
 
 def truncation(documents: DataFrame) -> DataFrame:
@@ -70,8 +68,9 @@ def truncation(documents: DataFrame) -> DataFrame:
     doesn't count; of other columns only source is read. Trigrams are counted map-side first, so a hot one costs a row per task.
     """
     spark = documents.sparkSession
-    query = METHOD.replace("{", "{{").replace("}", "}}").replace("{{documents}}", "{documents}")
-    return spark.sql(query, documents=documents.select("doc_id", "text", "source"))
+    first = _braces(LINES.replace("{ends}", ENDS.replace("'", "''")), "documents")
+    lines = Workspace(spark, "p10").keep(spark.sql(first, documents=documents.select("doc_id", "text", "source")))
+    return spark.sql(_braces(METHOD, "lines"), args={"frequent": FREQUENT}, lines=lines)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +79,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each source truncates."""
-    found = Workspace(spark, "p10").keep(truncation(table(spark, sf_dir, "documents")).select("source", "cut"))
+    found = truncation(table(spark, sf_dir, "documents"))
     return found.groupBy("source").agg({"cut": "count_if", "*": "count"}).selectExpr(
         "source", "`count_if(cut)` as cut", "`count(1)` as documents", "`count_if(cut)` / `count(1)` as share"
     )

@@ -6,6 +6,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -76,3 +77,51 @@ def unleet(token: Column) -> Column:
 
 def clause_parts(text: Column) -> Column:
     return F.split(text, f"[{CLAUSE_END}]", -1)
+
+
+_TOKEN = regex.compile(r"[\p{L}\p{N}\p{M}]+")
+_LATIN = regex.compile(r"[\p{Latin}\p{M}\p{N}]+")
+
+
+def tokens_text(text: str | None) -> str | None:
+    """The words of a text, lower-case and parted by one space; words of Latin letters lose their accents."""
+    if text is None:
+        return None
+    out = []
+    for word in _TOKEN.findall(nfkc_text(text).lower()):
+        if not word.isascii() and _LATIN.fullmatch(word):
+            word = "".join(c for c in unicodedata.normalize("NFD", word) if unicodedata.category(c) != "Mn")
+        out.append(word)
+    return " ".join(out)
+
+
+def _normalize_text(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for series in texts:
+        yield series.map(tokens_text, na_action="ignore")
+
+
+def normalize_text(text: Column) -> Column:
+    return F.pandas_udf(_normalize_text, StringType())(text)
+
+
+def fnv64(data: bytes) -> int:
+    state = 0xCBF29CE484222325
+    for byte in data:
+        state = ((state ^ byte) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
+    return state
+
+
+def _group_hash(keys: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for series in keys:
+        yield series.map(lambda k: f"{fnv64(k.encode()):016x}", na_action="ignore")
+
+
+def group_hash(language: Column, normalized: Column) -> Column:
+    """The 64-bit FNV-1a of language, a zero byte and the normalized text, as 16 hexadecimal digits."""
+    return F.pandas_udf(_group_hash, StringType())(F.concat(language, F.lit("\0"), normalized))
+
+
+def hash_bucket(digits: Column) -> Column:
+    """A group hash modulo 100; 2**32 leaves 96."""
+    high, low = F.conv(F.substring(digits, 1, 8), 16, 10).cast("long"), F.conv(F.substring(digits, 9, 8), 16, 10).cast("long")
+    return (high % 100 * 96 + low % 100) % 100

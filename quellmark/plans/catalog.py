@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("operators.row_parsing", "plans.model_queries")
+MODULES = ("operators.row_parsing", "operators.dedupe", "plans.model_queries", "plans.text_queries")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

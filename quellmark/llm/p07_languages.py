@@ -167,9 +167,14 @@ def named(code: Column) -> Column:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Profiles:
-    """Profiles from at most `sample` rows of (key, code, text), those with the smallest hashes of their key."""
+    """Profiles from at most `sample` rows of (key, code, text), those with the smallest hashes of their key.
+
+    Rows are counted first, so that no partition sends more than its share of the sample to the driver.
+    """
     rows = labelled.select("key", named(F.col("code")).alias("lang"), "text").where("lang is not null and text is not null")
-    rows = rows.orderBy(F.xxhash64("key"), "key").limit(sample).select("lang", "text").collect()
+    share = min(1.0, 1.2 * sample / max(rows.count(), 1))
+    rows = rows.withColumn("h", F.pmod(F.xxhash64("key"), F.lit(2**30))).where(F.col("h") <= int(share * 2**30))
+    rows = rows.orderBy("h", "key").limit(sample).select("lang", "text").collect()
     number = {lang: k for k, lang in enumerate(LANGUAGES)}
     return Profiles([tokens(r["text"]) for r in rows], [number[r["lang"]] for r in rows])
 

@@ -25,7 +25,7 @@ def quantize(x: Column, bound: int = I16) -> Column:
 
 def document_counts(featured: DataFrame) -> DataFrame:
     """bin, toxic, clean: documents of each label that hold the bin, from (label, bins); combined before the shuffle."""
-    return featured.select("label", F.explode("bins").cast("long").alias("bin")).groupBy("bin").agg(
+    return featured.select("label", F.explode("bins").alias("bin")).groupBy(F.col("bin").cast("long").alias("bin")).agg(
         F.count_if(F.col("label") == "toxic").alias("toxic"), F.count_if(F.col("label") == "clean").alias("clean")
     )
 

@@ -7,7 +7,9 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("operators.row_parsing", "operators.dedupe", "plans.model_queries", "plans.text_queries")
+MODULES = (
+    "operators.row_parsing", "operators.dedupe", "plans.model_queries", "plans.text_queries", "plans.rule_queries", "plans.adapter_queries",
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,4 +27,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["p3_report"](spark, sf_dir)
+    return queries()["judge_documents"](spark, sf_dir)

@@ -194,3 +194,13 @@ def p1_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p1_forest": p1_forest}
+
+#: Labels spread along the ties until none falls any more; a record's ties go over its keys.
+SQL = {
+    "p1_found": f"""with recursive keys as materialized (select distinct record_id as r, k from (select record_id, unnest(['s' || nullif(trim(source_id), chr(0)[:0]), 's' || nullif(trim(representative_source_id), chr(0)[:0]),
+        'g' || nullif(trim(canonical_group_id), chr(0)[:0]), case when lower(trim(author_id)) not in ({", ".join(f"'{a}'" for a in NO_AUTHOR)}) then 'a' || author_id end]) as k from provenance) where k is not null),
+    hubs as (select k, min(r) as h from keys group by k), e as materialized (select r as a, h as b from keys join hubs using (k) union select h, r from keys join hubs using (k)),
+    cc(id, c) using key (id) as (select record_id, record_id from provenance union select e.b, min(cc.c) from cc join e on e.a = cc.id join recurring.cc as cur on cur.id = e.b where cc.c < cur.c group by e.b),
+    torn as (select c from cc join provenance on record_id = id group by c having count(distinct detector_split) > 1)
+    select id as record_id, c as cluster_id from cc where c in (select c from torn)""",
+}

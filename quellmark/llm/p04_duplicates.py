@@ -164,3 +164,16 @@ def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_collapsed": p4_collapsed, "p4_counts": p4_counts}
+
+_FORM = r"""
+marked as (select row_id, split, label, batch_id, text, regexp_replace(t, '[;|](\s*\p{L}+(\s+\p{L}+){0,2}\s*:)', chr(57347) || '\1', 'g') as t
+    from (select *, translate(replace(lower(text), 'ß', 'ss'), '@_#', chr(57344) || chr(57345) || chr(57346)) as t from corpus_rows where split is not null and label is not null)),
+formed as materialized (select row_id, split, label, batch_id, text, array_to_string(list_sort(list_transform(case when regexp_matches(t, '^\s*\p{L}+(\s+\p{L}+){0,2}\s*:') then string_split(t, chr(57347)) else [t] end,
+    lambda x: regexp_replace(x, '[\s\p{Z}\p{P}\x{1c}-\x{1f}\x{85}$+<=>^`|~\x{e003}]', chr(0)[:0], 'g'))), chr(0)[:0]) as f from marked),
+groups as materialized (select *, min(row_id) over g as first_row_id, count(*) over g as copies from formed window g as (partition by split, label, f))
+"""
+SQL = {
+    "p4_found": f"with {_FORM} select first_row_id, row_id from groups where row_id <> first_row_id",
+    "p4_collapsed": f"with {_FORM} select row_id, split, label, text, copies from groups where row_id = first_row_id",
+    "p4_counts": f"with {_FORM}, c as (select batch_id, count(*) as n from groups where row_id <> first_row_id and batch_id is not null group by 1) select p.batch_id, max(p.duplicates) as recorded, coalesce(any_value(n), 0) as duplicates from prepared_counts p left join c using (batch_id) group by 1",
+}

@@ -244,3 +244,10 @@ def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p9_found": p9_found, "p9_spans": p9_spans, "p9_items": p9_items}
+
+_WINDOWS = "select {id}, array_to_string(ws[i:i + 9], ' ') as g, i from (select {id}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') as ws from {table}), lateral (select unnest(generate_series(1, len(ws) - 9)) as i)"
+_FOUND = f"with d as ({_WINDOWS.format(id='doc_id', table='documents')}), e as ({_WINDOWS.format(id='item_id', table='eval_items')}), found as (select distinct item_id, doc_id from d join e using (g))"
+SQL = {
+    "p9_found": f"{_FOUND} select item_id, doc_id from found",
+    "p9_items": f"{_FOUND} select item_id, any_value(suite) as suite, count(*) as documents from found join eval_items using (item_id) group by item_id",
+}

@@ -86,3 +86,12 @@ def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p10_found": p10_found, "p10_sources": p10_sources}
+
+#: The plain rule that the counted verdicts must agree with on complete and cut endings.
+_RULE = """with e as (select doc_id, source, rtrim(text, ' ' || chr(10) || chr(9) || chr(13)) as t from documents where text is not null),
+r as (select doc_id, source, not (t = chr(0)[:0] or contains('{ends}', t[-1]) or regexp_matches(t[-1], '[\\p{{So}}\\p{{Sk}}]') and t[-1] <> '�'
+    or regexp_matches(t, '(^|\\s)(#|https?://)\\S*$') or regexp_matches(t, '(^|\\n)[ ]*--[^\\n]*$')) as cut from e)""".format(ends=ENDS)
+SQL = {
+    "p10_found": f"{_RULE} select doc_id from r where cut",
+    "p10_sources": f"{_RULE} select source, count(*) filter (cut) as cut, count(*) as documents, count(*) filter (cut) / count(*) as share from r group by 1",
+}

@@ -68,7 +68,7 @@ class Transducer:
     def __init__(self, characters: dict[str, str]):
         self.table = str.maketrans(characters)
         self.forms: dict[str, str] = {}
-        marks = "̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯"
+        marks = "".join(c for c in map(chr, chain(*(range(*r) for r in BLOCKS))) if unicodedata.combining(c))
         # letters with marks of their own may hold a mapped base
         composed = [
             c for c in map(chr, range(0xC0, 0x2000))
@@ -194,3 +194,26 @@ def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 QUERIES = {"p6_found": p6_found, "p6_forms": p6_forms}
+
+
+def _form_sql(x: str) -> str:
+    """The consistent form in SQL: the same characters, replaced one by one between two compositions."""
+    form = transducer()
+    table_ = {c: f for c, f in _characters().items() if len(f) == 1}
+    table_ |= {c: form(c) for c in map(chr, range(0xC0, 0x2000)) if c not in table_ and len(form(c)) == 1 and form(c) != c}
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    hidden = "".join(c for c, f in _characters().items() if not f)
+    plain = f"translate(nfc_normalize(translate({x}, {quote(hidden)}, '')), {quote(''.join(table_))}, {quote(''.join(table_.values()))})"
+    for char, out in _characters().items():
+        if len(out) > 1:
+            plain = f"replace({plain}, {quote(char)}, {quote(out)})"
+    return f"nfc_normalize({plain})"
+
+
+SQL = {
+    "p6_found": f"""with r as materialized (select row_id as k, text, {_form_sql("text")} as f from corpus_rows), l as materialized (select id, lemma, {_form_sql("lemma")} as f from lexicon_de),
+    m as (select match_id, matched_text, {_form_sql("matched_text")} as f from lexicon_matches)
+    select 'corpus_rows' as field, a.k::varchar as key_a, b.k::varchar as key_b from r a join r b on a.f = b.f and a.k < b.k and a.text <> b.text
+    union all select 'lexicon_de', a.id, b.id from l a join l b on a.f = b.f and a.id < b.id and a.lemma <> b.lemma
+    union all select 'lexicon_matches', match_id::varchar, id from m join l on lower(m.f) = lower(l.f) and lower(matched_text) <> lower(lemma)""",
+}

@@ -89,21 +89,22 @@ def nearest_intent(found: DataFrame) -> DataFrame:
     """Each harm with the last intent that ends before it in its proposition, if no more than GAP characters lie between."""
     harm, intent = _role(found, "harm", "h"), _role(found, "intent", "i")
     prior = harm.join(intent, ["row_id", "prop"]).where("i_last <= h_first")
-    last = prior.groupBy("row_id", "prop", "h_first").agg(F.max(F.struct("i_last", "i_first", "i_after")).alias("i"))
+    last = prior.groupBy("row_id", "prop", "h_first").agg(F.max(F.struct("i_last", "i_first", "i_after", "i_before")).alias("i"))
     joined = harm.join(last, ["row_id", "prop", "h_first"], "left")
     close = F.col("h_before") - F.col("i.i_after") <= GAP
-    return joined.withColumn("intent", F.when(close, F.col("i.i_first"))).drop("i")
+    return joined.withColumn("intent", F.when(close, F.col("i.i_first"))).withColumn("intent_before", F.when(close, F.col("i.i_before"))).drop("i")
 
 
 def _near_target(frames: DataFrame, found: DataFrame, first: str, last: str, floor: Column) -> DataFrame:
     """Frames with `target`: the first one after the frame within NEAR words, else the last one before it within NEAR words and not before `floor`."""
-    t = _role(found, "target", "t").select("row_id", "prop", "t_first", "t_last")
+    t = _role(found, "target", "t").select("row_id", "prop", "t_first", "t_last", F.struct("t_first", "t_before").alias("t"))
     key = ["row_id", "prop", first]
     pairs = frames.withColumn("floor", floor).join(t, ["row_id", "prop"])
-    after = F.min(F.when((F.col("t_first") >= F.col(last)) & (F.col("t_first") - F.col(last) <= NEAR), F.col("t_first")))
-    before = F.max(F.when((F.col("t_last") <= F.col(first)) & (F.col(first) - F.col("t_last") <= NEAR) & (F.col("t_first") >= F.col("floor")), F.col("t_first")))
+    after = F.min(F.when((F.col("t_first") >= F.col(last)) & (F.col("t_first") - F.col(last) <= NEAR), F.col("t")))
+    before = F.max(F.when((F.col("t_last") <= F.col(first)) & (F.col(first) - F.col("t_last") <= NEAR) & (F.col("t_first") >= F.col("floor")), F.col("t")))
     best = pairs.groupBy(*key).agg(after.alias("ahead"), before.alias("behind"))
-    return frames.join(best, key, "left").withColumn("target", F.coalesce("ahead", "behind"))
+    chosen = frames.join(best, key, "left").withColumn("t", F.coalesce("ahead", "behind"))
+    return chosen.withColumn("ahead", F.col("ahead.t_first")).withColumn("target", F.col("t.t_first")).withColumn("target_before", F.col("t.t_before")).drop("t", "behind")
 
 
 def threats(found: DataFrame) -> DataFrame:
@@ -111,7 +112,7 @@ def threats(found: DataFrame) -> DataFrame:
     framed = _near_target(nearest_intent(found), found, "h_first", "h_last", F.coalesce(F.col("intent"), F.lit(0)))
     ordered = F.col("h_begins") & F.col("ahead").isNotNull()
     fired = framed.where(F.col("target").isNotNull() & (F.col("intent").isNotNull() | ordered))
-    return _event(fired, "threat", F.least("h_first", "target", F.coalesce("intent", "h_first")), F.greatest("h_last", F.col("target") + 1), "h")
+    return _event(fired, "threat", F.least("h_first", "target", F.coalesce("intent", "h_first")), F.greatest("h_last", F.col("target") + 1), "h", F.least("h_before", "target_before", "intent_before"))
 
 
 def wishes(found: DataFrame) -> DataFrame:
@@ -120,17 +121,17 @@ def wishes(found: DataFrame) -> DataFrame:
     first = pairs.groupBy("row_id", "prop", "w_first").agg(F.min(F.struct("o_first", "o_last", "o_before")).alias("o"))
     framed = wish.join(first, ["row_id", "prop", "w_first"]).where(F.col("o.o_before") - F.col("w_after") <= GAP).withColumn("o_last", F.col("o.o_last")).drop("o")
     near = _near_target(framed, found, "w_first", "o_last", F.lit(0)).where("target is not null")
-    return _event(near, "wish", F.least("w_first", "target"), F.greatest("o_last", F.col("target") + 1), "w")
+    return _event(near, "wish", F.least("w_first", "target"), F.greatest("o_last", F.col("target") + 1), "w", F.least("w_before", "target_before"))
 
 
 def insults(found: DataFrame) -> DataFrame:
     """An insult with a target right before it, or a target and then a copula before it."""
     insult, target, copula = _role(found, "insult", "s"), _role(found, "target", "t"), _role(found, "copula", "c")
-    right = insult.join(target, ["row_id", "prop"]).where("t_last = s_first").select("row_id", "prop", "s_first", F.col("t_first").alias("from"))
-    linked = target.join(copula, ["row_id", "prop"]).where("t_last <= c_first").select("row_id", "prop", "t_first", "c_last")
-    via = insult.join(linked, ["row_id", "prop"]).where("c_last <= s_first").select("row_id", "prop", "s_first", F.col("t_first").alias("from"))
+    right = insult.join(target, ["row_id", "prop"]).where("t_last = s_first").select("row_id", "prop", "s_first", F.struct("t_first", "t_before").alias("from"))
+    linked = target.join(copula, ["row_id", "prop"]).where("t_last <= c_first").select("row_id", "prop", F.struct("t_first", "t_before").alias("t"), "c_last")
+    via = insult.join(linked, ["row_id", "prop"]).where("c_last <= s_first").select("row_id", "prop", "s_first", F.col("t").alias("from"))
     begun = right.union(via).groupBy("row_id", "prop", "s_first").agg(F.max("from").alias("from"))
-    return _event(insult.join(begun, ["row_id", "prop", "s_first"]), "insult", F.col("from"), F.col("s_last"), "s")
+    return _event(insult.join(begun, ["row_id", "prop", "s_first"]), "insult", F.col("from.t_first"), F.col("s_last"), "s", F.col("from.t_before"))
 
 
 def self_harm(found: DataFrame) -> DataFrame:
@@ -138,10 +139,12 @@ def self_harm(found: DataFrame) -> DataFrame:
     return _event(own, "self_harm", F.col("p_first"), F.col("p_last"), "p")
 
 
-def _event(df: DataFrame, name: str, first: Column, last: Column, prefix: str) -> DataFrame:
+def _event(df: DataFrame, name: str, first: Column, last: Column, prefix: str, before: Column | None = None) -> DataFrame:
+    """One row per event: its words, points, clause and scope of its main phrase, and the characters before its first word."""
+    before = F.col(f"{prefix}_before") if before is None else before
     return df.select(
         "row_id", "prop", F.lit(name).alias("event"), first.alias("first"), last.alias("last"), F.lit(POINTS[name]).alias("points"),
-        F.col(f"{prefix}_clause").alias("clause"), F.col(f"{prefix}_scope").alias("scope"), F.col(f"{prefix}_before").alias("before"), F.col(f"{prefix}_quoted").alias("quoted"),
+        F.col(f"{prefix}_clause").alias("clause"), F.col(f"{prefix}_scope").alias("scope"), before.alias("before"), F.col(f"{prefix}_quoted").alias("quoted"),
     ).distinct()
 
 

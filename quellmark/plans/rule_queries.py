@@ -260,8 +260,9 @@ harms as (select row_id, prop, 'self_harm', first, last, 95, clause, scope, befo
 strong as materialized (select * from threats union select * from wishes union select * from insults union select * from harms),
 sentiments as (select n.row_id, n.prop, 'sentiment', n.first, n.last, 20, n.clause, n.scope, n.before from {_r('sentiment')} n where exists (select 1 from {_r('target')} t where t.row_id = n.row_id and t.prop = n.prop) and not exists (select 1 from strong e where e.row_id = n.row_id and e.f < n.last and n.first < e.l)),
 events as materialized (select * from strong union select * from sentiments),
+begun_at as materialized (select e.* exclude (before), p.before from events e join placed p on p.row_id = e.row_id and p.pos = e.f),
 ranked as (select e.row_id, e.prop, e.event, e.f, e.l, e.points, min(case when role = 'negator' and m.clause = e.clause and m.scope = e.scope and (m.first >= e.f and m.last <= e.l or m.last <= e.f and e.before - m.after <= {R.GAP}) then 1
-    when role = 'counterspeech' and m.last = e.f then 2 when role = 'report' and m.last = e.f then 3 end) as r from events e left join hits m on m.row_id = e.row_id and m.role in ('negator', 'counterspeech', 'report') group by all),
+    when role = 'counterspeech' and m.last = e.f then 2 when role = 'report' and m.last = e.f then 3 end) as r from begun_at e left join hits m on m.row_id = e.row_id and m.role in ('negator', 'counterspeech', 'report') group by all),
 judged as materialized (select *, case r when 1 then 'negated' when 2 then 'counterspeech' when 3 then 'reported' end as suppressor from ranked)"""
 
 

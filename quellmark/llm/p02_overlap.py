@@ -3,8 +3,8 @@
 Two texts of L words (the longer) match when they differ in at most floor(L / 10) words. One edit touches at most N of
 a text's word N-grams, so two matching texts share one of the d * N + 1 first N-grams of each under any common order of
 all N-grams, d = floor(L / 10). The order puts rare N-grams first (by their most common word's count over all rows),
-which keeps the partitioned hash table of evaluation N-grams and the hits of the training scan small. Texts of fewer
-than ten words must be equal and meet by the digest of their words. Every hit is checked by an exact edit distance over words.
+which keeps the partitioned hash table of evaluation N-grams and the hits of the training scan small. A text takes as many
+as its longest possible partner allows. Texts of fewer than nine words must be equal and meet by the digest of their words. Every hit is checked by an exact edit distance over words.
 """
 
 from __future__ import annotations
@@ -81,7 +81,9 @@ def _entries(common: tuple[np.ndarray, np.ndarray]):
             # copies within the batch and texts too short to differ give no entries
             first = np.zeros(len(lengths), bool)
             first[list({(d, s): i for i, (d, s) in reversed(list(enumerate(zip(digests, sides))))}.values())] = True
-            start = np.flatnonzero((at <= lengths[doc] - N) & first[doc] & (lengths[doc] >= PER)) if len(hashes) else np.zeros(0, np.int64)
+            # edits that a text's longest possible partner allows
+            edits = lengths * PER // (PER - 1) // PER
+            start = np.flatnonzero((at <= lengths[doc] - N) & first[doc] & (edits[doc] > 0)) if len(hashes) else np.zeros(0, np.int64)
             gram, least = hashes[start].astype(np.uint64), rank[start]
             for k in range(1, N):
                 gram = (gram ^ (gram >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + hashes[start + k].astype(np.uint64)
@@ -91,8 +93,8 @@ def _entries(common: tuple[np.ndarray, np.ndarray]):
             start, gram = start[order], gram[order]
             owner = doc[start]
             nth = np.arange(len(owner)) - np.searchsorted(owner, owner)
-            keep = nth <= (lengths[owner] // PER) * N
-            start, gram, owner = start[keep], gram[keep], owner[keep]
+            keep = nth <= edits[owner] * N
+            start, gram, owner, nth = start[keep], gram[keep], owner[keep], nth[keep]
             every = np.arange(len(lengths))
             both = np.concatenate([every, owner])
             yield pa.RecordBatch.from_arrays(
@@ -100,11 +102,12 @@ def _entries(common: tuple[np.ndarray, np.ndarray]):
                     pa.array(np.concatenate([ids, np.zeros(len(owner), np.int64)])),
                     pa.array(sides[both].astype(bool)),
                     pa.array([digests[i] for i in both], pa.binary()),
-                    pa.array(lengths[both].astype(np.int32)),
                     pa.array(np.concatenate([np.zeros(len(every), np.int64), gram]), mask=np.arange(len(both)) < len(every)),
-                    pa.array(np.concatenate([np.zeros(len(every)), at[start]]).astype(np.int32)),
+                    # the number of words and the place of the N-gram among them
+                    pa.array(np.concatenate([np.zeros(len(every), np.int64), lengths[owner] << 32 | at[start]])),
+                    pa.array(np.concatenate([np.zeros(len(every)), nth]).astype(np.int32)),
                 ],
-                ["row_id", "evaluation", "h", "words", "g", "at"],
+                ["row_id", "evaluation", "h", "g", "place", "nth"],
             )
 
     return run
@@ -169,15 +172,17 @@ def overlaps(rows: DataFrame) -> DataFrame:
     evaluation = F.col("split").isin(*EVALUATION)
     used = rows.where(evaluation | (F.col("split") == "development")).where("row_id is not null and text is not null")
     used = used.select("row_id", evaluation.alias("evaluation"), "text")
-    schema = "row_id long, evaluation boolean, h binary, words int, g long, at int"
+    schema = "row_id long, evaluation boolean, h binary, g long, place long, nth int"
     entries = work.keep(used.mapInArrow(_entries(common_words(used)), schema))
     texts = entries.where("g is null").select("row_id", "evaluation", "h")
-    grams = entries.where("g is not null").select("evaluation", "h", "words", "g", "at")
-    held = grams.where("evaluation").select("g", F.col("h").alias("he"), F.col("words").alias("we"), F.col("at").alias("ae"))
-    train = grams.where("not evaluation").select("g", F.col("h").alias("hd"), F.col("words").alias("wd"), F.col("at").alias("ad"))
-    most = F.floor(F.greatest("we", "wd") / PER)
-    near = F.abs(F.col("we") - F.col("wd")) <= most, F.abs(F.col("ae") - F.col("ad")) <= most
-    hits = work.keep(train.join(held, "g").where(near[0] & near[1] & (F.col("hd") != F.col("he"))).select("hd", "he").distinct())
+    grams = entries.where("g is not null").select("evaluation", "h", "g", "place", "nth")
+    held = grams.where("evaluation").select("g", F.col("h").alias("he"), F.col("place").alias("pe"), F.col("nth").alias("ne"))
+    train = grams.where("not evaluation").select("g", F.col("h").alias("hd"), F.col("place").alias("pd"), F.col("nth").alias("nd"))
+    (we, ae), (wd, ad) = ((F.shiftright(c, 32), F.col(c).bitwiseAND(2**32 - 1)) for c in ("pe", "pd"))
+    most = F.floor(F.greatest(we, wd) / PER)
+    # what the pair's own number of edits allows, for lengths, places and how far down the order the N-gram may stand
+    near = (F.abs(we - wd) <= most) & (F.abs(ae - ad) <= most) & (F.greatest("ne", "nd") <= most * N) & (most > 0)
+    hits = work.keep(train.join(held, "g").where(near & (F.col("hd") != F.col("he"))).select("hd", "he").distinct())
     # one row stands for its text; only texts that were hit are read again
     wanted = hits.select(F.explode(F.array("hd", "he")).alias("h")).distinct()
     owners = work.keep(texts.join(wanted, "h", "left_semi").groupBy("h").agg(F.min("row_id").alias("row_id")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quellmark.functions.features import with_bins
 from quellmark.operators import linear_model as L
 from quellmark.operators import rules as R
-from quellmark.runtime import Workspace
+from quellmark.runtime import Workspace, ship
 
 
 class NotReady(RuntimeError):
@@ -55,6 +55,7 @@ class Judge:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Judge:
+        ship(spark)
         header = spark.read.parquet(f"{path}/header").first()
         return cls(spark.read.parquet(f"{path}/weights"), *header)
 

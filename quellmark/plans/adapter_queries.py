@@ -12,6 +12,7 @@ from quellmark.plans import sqlbits as B
 from quellmark.plans.model_queries import Trained
 from quellmark.runtime import table
 from quellmark.sources import adapters as A
+from quellmark.sources import sinks as K
 from quellmark.streaming.judge import stream_judge
 
 #: Small fixtures, the same for both engines: (columns, rows).
@@ -29,6 +30,7 @@ FIXTURES = {
         ("c3", "EN", True, "p2", "none", "r2", "you muppet"), ("c4", "EN", False, "p3", "negation", "r9", "no muppet")]),
     "registry": ("evidence, language", [("r1", "EN"), ("r2", "DE")]),
     "actual": ("case_id, flagged", [("c1", True), ("c2", False), ("c3", False), ("c4", False)]),
+    "pages": ("total, body", [(3, '[{"row_idx": 0, "row": {"text": "you spoon", "toxic": 1}}, {"row_idx": 2, "row": {"text": "good day", "toxic": 0}}, {"row_idx": 7, "row": {"text": "beyond", "toxic": 0}}]')]),
     "runs": ("path, retrained, version, section, stamp", [("a", True, 1, "test", 5), ("b", True, 1, "test", 7), ("c", True, 1, "test", 7), ("d", False, 1, "test", 9)]),
     "timings": ("name, p95", [("en-short", 1.0), ("de-short", 3.0), ("fr-short", 2.0), ("en-long", 9.0), ("de-long", 5.0)]),
 }
@@ -72,6 +74,13 @@ def _audit(s, d):
     return t.where("split = 'validation' and label is not null").join(rows, "row_id").select("row_id", "label", "length", "raw", "score", ((F.col("score") >= 50) == (F.col("label") == "toxic")).alias("agrees"))
 
 
+def _evidence_check(s, d):
+    """Recorded matches whose text isn't what their place in the row says, and whose view can't be right for it."""
+    m = table(s, d, "lexicon_matches").join(table(s, d, "corpus_rows").select("row_id", "text"), "row_id")
+    raw = F.decode(F.substring(F.col("text").cast("binary"), F.col("raw_start") + 1, F.col("raw_end") - F.col("raw_start")), "UTF-8")
+    return m.select("match_id", (raw == F.col("matched_text")).alias("same_text"), (F.octet_length("matched_text") == F.col("raw_end") - F.col("raw_start")).alias("same_length"))
+
+
 def _logistic(s, d, reweight=False):
     """L2-regularised logistic weights per bin, the larger first; with `reweight` features are scaled by naive Bayes ratios."""
     t = Trained(s, d)
@@ -116,6 +125,9 @@ QUERIES = {
     "behavior_report": lambda s, d: fixture(s, "panel").join(fixture(s, "actual"), "case_id").groupBy("language").agg(F.count(F.lit(1)).alias("cases"), F.count_if(F.col("expected") == F.col("flagged")).alias("passed"), F.bool_and(F.col("expected") == F.col("flagged")).alias("passes")),
     "latest_run": lambda s, d: fixture(s, "runs").where("retrained and version = 1 and section = 'test'").agg(F.max(F.struct("stamp", "path")).alias("b")).select("b.path", "b.stamp"),
     "p95_summary": lambda s, d: fixture(s, "timings").groupBy(F.split_part("name", F.lit("-"), F.lit(2)).alias("kind")).agg(F.median("p95").alias("middle"), F.max("p95").alias("worst")),
+    "adapter_textdetox_json": lambda s, d: A.page_rows(fixture(s, "pages").select(F.col("total").alias("num_rows_total"), F.from_json("body", "array<struct<row_idx: long, row: struct<text: string, toxic: int>>>").alias("rows")), "set@1/en"),
+    "evidence_check": _evidence_check,
+    "verdict_lines": lambda s, d: (lambda t: t.verdicts.select("row_id", K.verdict_line(F.col("score") < 50, F.col("score"), F.lit(None).cast("string"), F.lit(None).cast("string")).alias("line")))(Trained(s, d)),
     "validation_audit": _audit,
     "train_logistic": _logistic,
     "train_nb_logistic": lambda s, d: _logistic(s, d, True),
@@ -126,6 +138,9 @@ _CATS = ("homophobia", "obscene", "insult", "racism", "misogyny", "xenophobia")
 _VOTE = " + ".join("greatest(" + ", ".join(f"coalesce({c}_{k}, 0)" for c in _CATS) + ")" for k in (1, 2, 3))
 SQL = {
     "adapter_textdetox": f"{_cte('pairs')} select source_id, case toxic when 1 then 'toxic' when 0 then 'clean' end as label, text from pairs",
+    "adapter_textdetox_json": f"{_cte('pages')}, r as (select total, unnest(cast(body::json as struct(row_idx bigint, row struct(text varchar, toxic int))[])) as r from pages) select format('set@1/en/{{:06d}}', r.row_idx) as source_id, r.row.text as text, case r.row.toxic when 1 then 'toxic' when 0 then 'clean' end as label from r where r.row_idx < total",
+    "evidence_check": "select match_id, decode(encode(text)[raw_start + 1:raw_end]) = matched_text as same_text, octet_length(encode(matched_text)) = raw_end - raw_start as same_length from lexicon_matches m join corpus_rows c on c.row_id = m.row_id",
+    "verdict_lines": f"with {B.CURVE} select row_id, format('{{{{\"safe\":{{}},\"score\":{{}},\"locale\":null,\"grawlix\":null}}}}', score < 50, score) as line from verdicts",
     "adapter_germeval": f"{_cte('coarse')} select text, case when coarse = 'OTHER' and fine = 'OTHER' then 'clean' when coarse = 'OFFENSE' and fine in ('INSULT', 'ABUSE', 'PROFANITY') then 'toxic' end as label from coarse",
     "adapter_hs_abusive": f"{_cte('flags')} select text, case when hs in (0, 1) and abusive in (0, 1) then case when hs = 1 or abusive = 1 then 'toxic' else 'clean' end end as label from flags",
     "adapter_multilabel": f"{_cte('codes')}, n as (select document, list_distinct(list_transform(string_split(label, ','), lambda c: coalesce(try_cast(c as int), -1))) as l from codes) select document, case when list_min(l) < 0 or list_max(l) > 8 or (list_contains(l, 8) and len(l) > 1) then null when list_contains(l, 8) then 'clean' else 'toxic' end as verdict from n",

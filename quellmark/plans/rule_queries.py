@@ -229,13 +229,16 @@ QUERIES = {
 }
 
 _PACK = "pack as materialized (select * from (values " + ", ".join(f"('{r}', '{p}', {len(p.split())})" for r, ps in R.PACK.items() for p in ps) + ") as p(role, phrase, n))"
-_TOKENS = "tok as materialized (" + TEXT_SQL["context_tokens"] + ")"
+_TOKENS = (
+    "tok as materialized (select k.*, length(left(text, k.first)) - length(replace(left(text, k.first), '\"', chr(0)[:0])) as marks, contains(text[k.last + 1:], '\"') as shut from ("
+    + TEXT_SQL["context_tokens"] + ") k join corpus_rows c on c.row_id = k.row_id)"
+)
 _HITS = f"""{_TOKENS}, {_PACK},
-ordered as (select *, sum(length(token)) over w - length(token) as before, sum(length(token)) over w as after,
+tok_ordered as (select *, marks % 2 = 1 and shut as quoted, sum(length(token)) over w - length(token) as before, sum(length(token)) over w as after,
     pos > 0 and (clause <> lag(clause) over w or lag(token) over w in (select phrase from pack where role = 'boundary')) as cut from tok window w as (partition by row_id order by pos)),
-placed as materialized (select *, sum(cut::int) over (partition by row_id order by pos) as prop, pos = 0 or cut as begins from ordered),
-runs as (select *, token as g1, token || ' ' || lead(token) over w as g2, token || ' ' || lead(token) over w || ' ' || lead(token, 2) over w as g3, lead(clause) over w as c2, lead(clause, 2) over w as c3, lead(after) over w as a2, lead(after, 2) over w as a3 from placed window w as (partition by row_id order by pos)),
-hits as materialized (select row_id, role, pos as first, pos + n as last, prop, clause, scope, before, begins, case n when 1 then after when 2 then a2 else a3 end as after
+placed as materialized (select *, sum(cut::int) over (partition by row_id order by pos) as prop, pos = 0 or cut as begins from tok_ordered),
+runs as (select *, token as g1, token || ' ' || lead(token) over w as g2, token || ' ' || lead(token) over w || ' ' || lead(token, 2) over w as g3, lead(clause) over w as c2, lead(clause, 2) over w as c3, lead(after) over w as a2, lead(after, 2) over w as a3, lead(quoted) over w as q2, lead(quoted, 2) over w as q3 from placed window w as (partition by row_id order by pos)),
+hits as materialized (select row_id, role, pos as first, pos + n as last, prop, clause, scope, before, begins, case n when 1 then after when 2 then a2 else a3 end as after, quoted and (n < 2 or q2) and (n < 3 or q3) as quoted
     from runs join pack on (n = 1 and phrase = g1) or (n = 2 and phrase = g2 and c2 = clause) or (n = 3 and phrase = g3 and c3 = clause))"""
 
 
@@ -248,22 +251,22 @@ intents as materialized (select h.*, case when h.before - i_after <= {R.GAP} the
 _TARGETS = f"""{_INTENTS}, targets as materialized (select i.row_id, i.first, min(case when t.first >= i.last and t.first - i.last <= {R.NEAR} then t.first end) as ahead,
     max(case when t.last <= i.first and i.first - t.last <= {R.NEAR} and t.first >= coalesce(i.intent, 0) then t.first end) as behind from intents i left join {_r('target')} t on t.row_id = i.row_id and t.prop = i.prop group by 1, 2)"""
 _EVENTS = f"""{_TARGETS},
-threats as (select row_id, i.prop, 'threat' as event, least(first, coalesce(ahead, behind), coalesce(intent, first)) as f, greatest(last, coalesce(ahead, behind) + 1) as l, 95 as points, clause, scope, before from intents i join targets t using (row_id, first) where coalesce(ahead, behind) is not null and (intent is not null or begins and ahead is not null)),
+threats as (select row_id, i.prop, 'threat' as event, least(first, coalesce(ahead, behind), coalesce(intent, first)) as f, greatest(last, coalesce(ahead, behind) + 1) as l, 95 as points, clause, scope, before, quoted from intents i join targets t using (row_id, first) where coalesce(ahead, behind) is not null and (intent is not null or begins and ahead is not null)),
 wished as (select w.row_id, w.prop, w.first, arg_min(o.last, o.first) as o_last, arg_min(o.before, o.first) as o_before from {_r('wish')} w join {_r('outcome')} o on o.row_id = w.row_id and o.prop = w.prop and o.first >= w.last group by 1, 2, 3),
 framed as (select w.*, o_last from {_r('wish')} w join wished x on x.row_id = w.row_id and x.first = w.first where o_before - w.after <= {R.GAP}),
 wtargets as (select w.row_id, w.first, coalesce(min(case when t.first >= w.o_last and t.first - w.o_last <= {R.NEAR} then t.first end), max(case when t.last <= w.first and w.first - t.last <= {R.NEAR} then t.first end)) as target from framed w join {_r('target')} t on t.row_id = w.row_id and t.prop = w.prop group by 1, 2),
-wishes as (select row_id, prop, 'wish', least(first, target), greatest(o_last, target + 1), 85, clause, scope, before from framed join wtargets using (row_id, first) where target is not null),
+wishes as (select row_id, prop, 'wish', least(first, target), greatest(o_last, target + 1), 85, clause, scope, before, quoted from framed join wtargets using (row_id, first) where target is not null),
 begun as (select s.row_id, s.first, t.first as begin_ from {_r('insult')} s join {_r('target')} t on t.row_id = s.row_id and t.prop = s.prop and t.last = s.first
     union all select s.row_id, s.first, t.first from {_r('insult')} s join {_r('target')} t on t.row_id = s.row_id and t.prop = s.prop join {_r('copula')} c on c.row_id = s.row_id and c.prop = s.prop and t.last <= c.first and c.last <= s.first),
-insults as (select s.row_id, s.prop, 'insult', max(begin_), s.last, 70, s.clause, s.scope, s.before from {_r('insult')} s join begun b on b.row_id = s.row_id and b.first = s.first group by s.row_id, s.prop, s.last, s.clause, s.scope, s.before),
-harms as (select row_id, prop, 'self_harm', first, last, 95, clause, scope, before from {_r('self_harm')}),
+insults as (select s.row_id, s.prop, 'insult', max(begin_), s.last, 70, s.clause, s.scope, s.before, s.quoted from {_r('insult')} s join begun b on b.row_id = s.row_id and b.first = s.first group by s.row_id, s.prop, s.first, s.last, s.clause, s.scope, s.before, s.quoted),
+harms as (select row_id, prop, 'self_harm', first, last, 95, clause, scope, before, quoted from {_r('self_harm')}),
 strong as materialized (select * from threats union select * from wishes union select * from insults union select * from harms),
-sentiments as (select n.row_id, n.prop, 'sentiment', n.first, n.last, 20, n.clause, n.scope, n.before from {_r('sentiment')} n where exists (select 1 from {_r('target')} t where t.row_id = n.row_id and t.prop = n.prop) and not exists (select 1 from strong e where e.row_id = n.row_id and e.f < n.last and n.first < e.l)),
+sentiments as (select n.row_id, n.prop, 'sentiment', n.first, n.last, 20, n.clause, n.scope, n.before, n.quoted from {_r('sentiment')} n where exists (select 1 from {_r('target')} t where t.row_id = n.row_id and t.prop = n.prop) and not exists (select 1 from strong e where e.row_id = n.row_id and e.f < n.last and n.first < e.l)),
 events as materialized (select * from strong union select * from sentiments),
 begun_at as materialized (select e.* exclude (before), p.before from events e join placed p on p.row_id = e.row_id and p.pos = e.f),
-ranked as (select e.row_id, e.prop, e.event, e.f, e.l, e.points, min(case when role = 'negator' and m.clause = e.clause and m.scope = e.scope and (m.first >= e.f and m.last <= e.l or m.last <= e.f and e.before - m.after <= {R.GAP}) then 1
+ranked as (select e.row_id, e.prop, e.event, e.f, e.l, e.points, e.quoted, min(case when role = 'negator' and m.clause = e.clause and m.scope = e.scope and (m.first >= e.f and m.last <= e.l or m.last <= e.f and e.before - m.after <= {R.GAP}) then 1
     when role = 'counterspeech' and m.last = e.f then 2 when role = 'report' and m.last = e.f then 3 end) as r from begun_at e left join hits m on m.row_id = e.row_id and m.role in ('negator', 'counterspeech', 'report') group by all),
-judged as materialized (select *, case r when 1 then 'negated' when 2 then 'counterspeech' when 3 then 'reported' end as suppressor from ranked)"""
+judged as materialized (select *, case when quoted then 'quoted' when r = 1 then 'negated' when r = 2 then 'counterspeech' when r = 3 then 'reported' end as suppressor from ranked)"""
 
 
 def _shown_sql(source: str, where: str = "true") -> str:
@@ -292,6 +295,13 @@ SQL = {
     "rule_self_harm": _shown_sql("events", "event = 'self_harm'"),
     "rule_sentiment": _shown_sql("events", "event = 'sentiment'"),
     "exact_phrase_event": f"with c as (select row_id, array_to_string(regexp_extract_all(unnest(regexp_split_to_array(lower(text), '[{X.CLAUSE_END}]')), '{B.WORD}'), ' ') as clause from corpus_rows) select * from c where clause in ('reporter', 'melder', 'note')",
+    "rule_suppression": f"with {_EVENTS} select row_id, event, f::int as first, l::int as last, suppressor from judged",
+    "suppress_sparse": f"with {_EVENTS} select row_id, bool_or(suppressor is not null) as capped from judged group by 1",
+    "suppressed_budget": f"with {_EVENTS}, low as (select row_id, event, f, l, least(points, 10) as p from judged where suppressor is not null) select row_id, event, f::int as first, l::int as last, greatest(0, least(p, 10 - coalesce(sum(p) over (partition by row_id order by f, l, event rows between unbounded preceding and 1 preceding), 0)))::int as given from low",
+    "es_lexical": f"with {_EVENTS} select row_id, max(case when suppressor is null then 70 else 10 end) as points from judged where event = 'insult' group by 1",
+    "es_suppression": f"with {_EVENTS} select e.row_id, e.event, e.f::int as first, e.l::int as last, bool_or(coalesce(m.scope = e.scope and m.last <= e.f and e.f - m.last <= 3, false)) or e.quoted as suppressed from events e left join hits m on m.row_id = e.row_id and m.role in ('negator', 'report') group by e.row_id, e.event, e.f, e.l, e.quoted",
+    "evidence_sorted": f"with {_EVENTS} select row_id, string_agg(f || ':' || l || ':' || event, ';' order by f, l, event) as evidence from judged group by 1",
+    "fuse_score": f"with {B.CURVE}, {_EVENTS}, j as (select row_id, max(case when suppressor is null then points else 0 end) as rule, bool_or(suppressor is not null) as capped from judged group by 1) select v.row_id, greatest(coalesce(rule, 0), case when coalesce(capped, false) then least(score, 49) else score end)::int as score from verdicts v left join j on j.row_id = v.row_id",
     "category_scores": f"with {_EVENTS} select row_id, {_CELLS} from judged group by row_id",
     "policy_action": f"with {_EVENTS}, c as (select row_id, {_CELLS} from judged group by row_id) select row_id, case when threat_language > 0 then 'block' when targeted_abuse > 0 then 'review' else 'allow' end as action from c",
     "clause_sentiment": f"with {_HITS}, p as (select row_id, clause, count(*) filter (role = 'sentiment') as n, bool_or(role = 'negator') as neg from hits where role in ('sentiment', 'negator') group by 1, 2) select row_id, max(least(8, n * case when neg then 2 else 1 end)) as sentiment from p group by 1",

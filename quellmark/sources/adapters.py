@@ -28,7 +28,12 @@ def delimited(spark: SparkSession, path: str, columns: list[str], sep: str = "\t
 def json_pages(spark: SparkSession, path: str, prefix: str) -> DataFrame:
     """Pages of {rows: [{row_idx, row: {text, toxic}}], num_rows_total}: one row per entry, named by its index."""
     schema = "num_rows_total long, rows array<struct<row_idx: long, row: struct<text: string, toxic: int>>>"
-    entry = spark.read.json(path, schema=schema, multiLine=True).select("num_rows_total", F.explode("rows").alias("r")).where("r.row_idx < num_rows_total")
+    return page_rows(spark.read.json(path, schema=schema, multiLine=True), prefix)
+
+
+def page_rows(pages: DataFrame, prefix: str) -> DataFrame:
+    """source_id, text, label of pages already read; entries beyond the stated total are left out."""
+    entry = pages.select("num_rows_total", F.explode("rows").alias("r")).where("r.row_idx < num_rows_total")
     return entry.select(F.format_string(f"{prefix}/%06d", "r.row_idx").alias("source_id"), "r.row.text", binary_label(F.col("r.row.toxic")).alias("label"))
 
 

@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from quellmark.runtime import ship
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -10,5 +12,6 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    ship(session)
     yield session
     session.stop()

@@ -147,10 +147,15 @@ def containment(part: list[str], whole: list[str], n: int = N) -> float:
 
 
 def _verify(pdf: pd.DataFrame) -> pd.DataFrame:
-    out = []
+    out, split = [], {t: words(t) for t in {*pdf["td"], *pdf["te"]}}
+    kinds = {t: frozenset(ws) for t, ws in split.items()}
     for dev, held, a, b in zip(pdf["hd"], pdf["he"], pdf["td"], pdf["te"]):
-        x, y = words(a), words(b)
-        found = distance_within(x, y, max(len(x), len(y)) // PER)
+        x, y = split[a], split[b]
+        most = max(len(x), len(y)) // PER
+        # every word that only one of them has costs an edit
+        if len(kinds[a] - kinds[b]) > most or len(kinds[b] - kinds[a]) > most:
+            continue
+        found = distance_within(x, y, most)
         if found is not None:
             out.append((dev, held, found, containment(y, x)))
     return pd.DataFrame(out, columns=["hd", "he", "distance", "containment"])

@@ -4,7 +4,7 @@ Words are what white space parts, with the punctuation they end in; names, menti
 they are too rare to count. Word trigrams are counted inside texts and at ends, over all documents; a final trigram that
 is frequent inside texts but at an end less often than a word in general flags its document. Where the trigram is
 too rare to tell (a word cut in two is), the trigram of its words' endings decides, or at last the ending of its last
-word alone, both counted from the same table. Of the flagged documents those stay that also lack a complete ending.
+word alone (next to never inside texts, it must be next to never at ends), both counted from the same table. Of the flagged documents those stay that also lack a complete ending.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quellmark.runtime import Workspace, table
 
-#: A trigram must occur so often inside texts for its share of ends to count.
-FREQUENT = 100
+#: A trigram must occur so often inside texts for its share of ends to count; trigrams of endings, which many trigrams share, more often.
+FREQUENT, BROAD = 100, 5_000
 #: Characters that end a complete text.
 ENDS = ".!?…。！？؟।)]}»”\"』」）"
 
@@ -25,7 +25,7 @@ select doc_id, source, line, regexp_extract(concat('^ ^ ', right(line, 400)), r'
     or word like '#%' or word like 'http://%' or word like 'https://%' or row like '--%' as complete
 from (select doc_id, source, right(whole, 1) as last, ltrim(substring_index(whole, '\n', -1)) as row,
         substring_index(translate(whole, '\n\t\r', '   '), ' ', -1) as word,
-        regexp_replace(whole, r'https?(:)\S+|(?<![\p{L}\p{N}&])([@#])[\p{L}\p{N}_]+|(\p{Lu})[\p{L}\p{M}\p{N}]*', '$1$2$3') as line
+        regexp_replace(whole, r'https?(:)//\S+|(?<![\p{L}\p{N}&])([@#])[\p{L}\p{N}_]+|(\p{Lu})[\p{L}\p{M}\p{N}]*', '$1$2$3') as line
     from (select doc_id, source, trim(trailing ' \n\t\r' from text) as whole from {documents} where doc_id is not null and text is not null))
 """
 
@@ -40,11 +40,12 @@ shaped as (select g, n, last, regexp_replace(g, r'\S*?([\p{L}\p{M}\p{N}_&;\\�]
 named as (select g, n, last, regexp_replace(k, r'[\p{L}\p{M}\p{N}_&;\\�]', 'w') as k from shaped),
 kinds as (select k, sum(n) as n, sum(last) as last from named group by k),
 closes as (select substring_index(trim(k), ' ', -1) as c, sum(n) as n, sum(last) as last from kinds group by 1),
-base as (select sum(last) / sum(n) as rate from counted),
+base as (select sum(last) / sum(n) as rate, sum(last) as ends from counted),
 judged as (select named.g, named.n - named.last as inside, named.last as terminal, case
     when named.n - named.last >= :frequent and named.last - 1 < rate * named.n then true
-    when kinds.n - kinds.last >= :frequent then kinds.last - 1 < rate * kinds.n
-    else closes.n - closes.last >= :frequent and closes.last - 1 < rate * closes.n end as cut
+    when kinds.n - kinds.last >= :broad then kinds.last - 1 < rate * kinds.n
+    when closes.n - closes.last >= :frequent then closes.last - 1 < rate * closes.n
+    else closes.last * 1000 <= ends end as cut
     from named join kinds on named.k = kinds.k join closes on substring_index(trim(named.k), ' ', -1) = closes.c
     cross join base where named.last > 0)
 select l.doc_id, l.source, l.g as final_trigram, coalesce(inside, 0) as inside, coalesce(terminal, 0) as terminal,
@@ -70,7 +71,7 @@ def truncation(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     first = _braces(LINES.replace("{ends}", ENDS.replace("'", "''")), "documents")
     lines = Workspace(spark, "p10").keep(spark.sql(first, documents=documents.select("doc_id", "text", "source")))
-    return spark.sql(_braces(METHOD, "lines"), args={"frequent": FREQUENT}, lines=lines)
+    return spark.sql(_braces(METHOD, "lines"), args={"frequent": FREQUENT, "broad": BROAD}, lines=lines)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from quellmark.functions.text import CLAUSE_END, nfkc_text
+from quellmark.runtime import spread
 
 #: The low 16 bits of the 64-bit FNV offset and prime, and the number of bins.
 OFFSET, PRIME, BINS = 8997, 435, 65_536
@@ -40,6 +41,7 @@ def word_bin(*parts: str) -> int:
     return fnv16(b"W" + bytes([len(parts)]) + b"".join(b"\0" + p.encode() for p in parts))
 
 
+@lru_cache(200_000)
 def gram_bin(gram: str, namespace: bytes = b"C") -> int:
     return fnv16(namespace + bytes([len(gram)]) + gram.encode())
 
@@ -134,7 +136,7 @@ def _bins(profile: str):
 
 def with_bins(texts: DataFrame, profile: str = "word_char_35") -> DataFrame:
     """row_id, bins (ascending) of each (row_id, text); a null or empty text has none."""
-    return texts.select("row_id", "text").mapInArrow(_bins(profile), "row_id long, bins array<int>")
+    return spread(texts.select("row_id", "text")).mapInArrow(_bins(profile), "row_id long, bins array<int>")
 
 
 def bin_array(bins: np.ndarray) -> np.ndarray:

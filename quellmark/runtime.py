@@ -53,6 +53,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table read in fewer tasks than there are cores is dealt to all of them before costly Python work."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 class Workspace:
     """Intermediate tables of one operator run, written to the shared folder.
 

@@ -27,14 +27,30 @@ LANGUAGES = ("AR", "DE", "EN", "ES", "FR", "ID", "IT", "PT", "RU", "TR", "VI", "
 DIM, SAMPLE = 4096, 20_000
 #: What a change of language costs on the best path, the least words and letters of a sentence, and the softmax's scale.
 SWITCH, WORDS, LETTERS, SCALE = 20.0, 6, 20, 0.5
-_TOKEN = re.compile(r"https?://\S+|[@#]\w+|([぀-ヿ㐀-鿿])|([^\W\d_぀-ヿ㐀-鿿]+)")
+#: The least words of a shorter sentence that stands between sentence ends, and the least confidence in it.
+SHORT, SURE = 3, 0.8
+#: Names of users, tags and links end where ideographs begin, as no blank need part them.
+_TOKEN = re.compile(r"https?://[^\s぀-ヿ㐀-鿿]+|[@#][^\W぀-ヿ㐀-鿿]+|([぀-ヿ㐀-鿿])|([^\W\d_぀-ヿ㐀-鿿]+)|([.!?…؟।]+(?![^\s@#぀-ヿ㐀-鿿])|[。！？\n])")
+
+
+def parts(text: str | None) -> tuple[list[str], list[int]]:
+    """Lower-case words of letters, in one consistent form, and the number of sentence ends before each.
+
+    Each ideograph is a word; names of users, tags and links are none.
+    """
+    words, numbers, ends = [], [], 0
+    for a, b, end in _TOKEN.findall(transducer()(text).lower()) if text else ():
+        if a or b:
+            words.append(a or b)
+            numbers.append(ends)
+        elif end:
+            ends += 1
+    return words, numbers
 
 
 def tokens(text: str | None) -> list[str]:
-    """Lower-case words of letters, in one consistent form; each ideograph is a word; names of users, tags and links are none."""
-    if not text:
-        return []
-    return [a or b for a, b in _TOKEN.findall(transducer()(text).lower()) if a or b]
+    """The words of a text, without its sentence ends."""
+    return parts(text)[0]
 
 
 def _letters(points: np.ndarray) -> np.ndarray:
@@ -135,8 +151,9 @@ def best_paths(lengths: np.ndarray, scores: np.ndarray, switch: float = SWITCH)
 
 
 def segments(texts: list[str | None], profiles: Profiles) -> pd.DataFrame:
-    """text (its number), first_word, words, lang, confidence, letters of every segment of every text."""
-    split = [tokens(t) for t in texts]
+    """text (its number), first_word, words, lang, confidence, letters, sentence (words of its longest whole sentence) of every segment of every text."""
+    both = [parts(t) for t in texts]
+    split = [ws for ws, _ in both]
     lengths = np.fromiter(map(len, split), np.int64, len(split))
     flat = np.array([w for ws in split for w in ws], dtype=object)
     codes, unique = pd.factorize(flat) if len(flat) else (np.zeros(0, np.int64), np.array([], dtype=object))
@@ -148,7 +165,14 @@ def segments(texts: list[str | None], profiles: Profiles) -> pd.DataFrame:
     size = np.diff(np.append(cut, len(path)))
     width = np.fromiter(map(len, unique), np.int64, len(unique))[codes]
     if not len(cut):
-        return pd.DataFrame({c: [] for c in ("text", "first_word", "words", "lang", "confidence", "letters")})
+        return pd.DataFrame({c: [] for c in ("text", "first_word", "words", "lang", "confidence", "letters", "sentence")})
+    segment = np.repeat(np.arange(len(cut)), size)
+    number = np.array([k for _, ns in both for k in ns], np.int64)
+    begun = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(number, prepend=-1) != 0))
+    ended = np.append(begun[1:], len(path))
+    sentence = np.zeros(len(cut), np.int64)
+    whole = segment[begun] == segment[ended - 1]
+    np.maximum.at(sentence, segment[begun][whole], (ended - begun)[whole])
     total, grams = np.add.reduceat(scores, cut), np.add.reduceat(count, cut)
     near = SCALE * total / np.sqrt(np.maximum(grams, 1))[:, None]
     near = np.exp(near - near.max(1, keepdims=True))
@@ -156,7 +180,7 @@ def segments(texts: list[str | None], profiles: Profiles) -> pd.DataFrame:
     begin = np.cumsum(lengths) - lengths
     return pd.DataFrame(
         {"text": text[cut], "first_word": cut - begin[text[cut]], "words": size, "lang": np.array(LANGUAGES, dtype=object)[path[cut]],
-         "confidence": confidence.astype(float).round(6), "letters": np.add.reduceat(width, cut)}
+         "confidence": confidence.astype(float).round(6), "letters": np.add.reduceat(width, cut), "sentence": sentence}
     )
 
 
@@ -180,9 +204,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Profiles:
 
 
 def sentence_like(found: pd.DataFrame) -> pd.DataFrame:
-    """Segments as long as a sentence: WORDS words of LETTERS letters in all; an ideograph counts for two letters."""
+    """Segments as long as a sentence, WORDS words of LETTERS letters in all (an ideograph counts for two letters), and surer ones with a whole sentence."""
     letters = np.where(found["lang"] == "ZH", 2 * found["letters"], found["letters"])
-    return found[(found["words"] >= WORDS) & (letters >= LETTERS)]
+    return found[(found["words"] >= WORDS) & (letters >= LETTERS) | (found["sentence"] >= SHORT) & (found["confidence"] >= SURE)]
 
 
 def _segment(profiles, only_sentences: bool):

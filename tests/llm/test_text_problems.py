@@ -70,6 +70,20 @@ def test_languages_of_mixed_texts(spark):
     assert P7.segment_languages(spark.createDataFrame([], "key string, text string"), profiles).collect() == []
 
 
+def test_ideographs_after_mentions_and_short_sentences(spark):
+    assert P7.tokens("我们问@nixqua6822为什么 #tag好 @müller x https://a.b/c看这里") == list("我们问为什么好") + ["x"] + list("看这里")
+    rng = random.Random(9)
+    chinese = "我们昨天晚上和朋友一起谈论了那些很有意思的新书当时外面没有人在等也非常安静"
+    labelled = [(f"k{i}{lang}", lang, talk(lang, rng)) for i in range(60) for lang in TALK] + [(f"z{i}", "ZH", "".join(rng.sample(chinese, 20))) for i in range(60)]
+    profiles = P7.fit(spark.createDataFrame(labelled, "key string, code string, text string"))
+    rows = [
+        ("mention", "@nixqua6822" + chinese[:20] + "。", {"ZH"}), ("mixed", talk("EN", rng) + ". 我们问@dorbim_398" + chinese[2:22] + "!", {"EN", "ZH"}),
+        ("short", talk("DE", rng) + ". Nobody was waiting outside yesterday.", {"DE", "EN"}), ("name", talk("DE", rng) + ". Outside!", {"DE"}),
+    ]
+    found = P7.segment_languages(spark.createDataFrame([r[:2] for r in rows], "key string, text string"), profiles, True).toPandas()
+    assert found.groupby("key").lang.agg(set).to_dict() == {k: langs for k, _, langs in rows}
+
+
 def test_products_are_the_vectors_products():
     profiles = P7.Profiles([["der", "die"], ["the", "and"]], [1, 2])
     scores, count = profiles.scores(["derand"])

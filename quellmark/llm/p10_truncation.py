@@ -1,7 +1,7 @@
 """Problem 10: texts cut off by field limits or in transfer, found in pure SQL.
 
 Words are what white space parts, with the punctuation they end in; names, mentions, tags and links are written alike, as
-they are too rare to count. Word trigrams are counted inside texts and at ends, over all documents; a final trigram that
+they are too rare to count. Word trigrams are counted inside texts and at ends, once for all copies of a text; a final trigram that
 is frequent inside texts but at an end less often than a word in general flags its document. Where the trigram is
 too rare to tell (a word cut in two is), the trigram of its words' endings decides, or at last the ending of its last
 word alone (next to never inside texts, it must be next to never at ends), both counted from the same table. Of the flagged documents those stay that also lack a complete ending.
@@ -18,9 +18,9 @@ FREQUENT, BROAD = 100, 5_000
 #: Characters that end a complete text.
 ENDS = ".!?…。！？؟।)]}»”\"』」）"
 
-#: One pass over each text: `line` is the text with names, mentions, tags and links written alike.
+#: One pass over each text: `line` is the text with names, mentions, tags and links written alike, `h` its hash, `at` the row's number; `g` are its last three words.
 LINES = r"""
-select doc_id, source, line, regexp_extract(concat('^ ^ ', right(line, 400)), r'(\S+\s+\S+\s+\S+)$', 1) as g,
+select doc_id, source, line, xxhash64(line) as h, monotonically_increasing_id() as at, reverse(regexp_extract(reverse(concat('^ ^ ', line)), r'^(\S+\s+\S+\s+\S+)', 1)) as g,
     last = '' or instr('{ends}', last) > 0 or last rlike r'[\p{So}\p{Sk}]' and last <> '�'
     or word like '#%' or word like 'http://%' or word like 'https://%' or row like '--%' as complete
 from (select doc_id, source, right(whole, 1) as last, ltrim(substring_index(whole, '\n', -1)) as row,
@@ -29,11 +29,15 @@ from (select doc_id, source, right(whole, 1) as last, ltrim(substring_index(whol
     from (select doc_id, source, trim(trailing ' \n\t\r' from text) as whole from {documents} where doc_id is not null and text is not null))
 """
 
+#: Texts that occur again, with the row that counts for all their copies.
+COPIES = "select h, min(at) as first from {lines} group by h having count(*) > 1"
+
 #: The counts, the trigrams of word endings (what ends in a letter, digit or broken character is a word), and the verdict.
 METHOD = r"""
-with seen as (select g, count(*) as n from (
-    select explode(regexp_extract_all(concat('^ ^ ', line), r'(?<!\S)(?=(\S+\s+\S+\s+\S+))', 1)) as g from {lines}) group by g),
-final as (select g, count(*) as n from {lines} group by g),
+with once as (select g, line from {lines} l left join {copies} c on l.h = c.h where c.h is null or l.at = c.first),
+seen as (select g, count(*) as n from (
+    select explode(regexp_extract_all(concat('^ ^ ', line), r'(?<!\S)(?=(\S+\s+\S+\s+\S+))', 1)) as g from once) group by g),
+final as (select g, count(*) as n from once group by g),
 counted as (select coalesce(seen.g, final.g) as g, greatest(coalesce(seen.n, 0), coalesce(final.n, 0)) as n, coalesce(final.n, 0) as last
     from seen full join final on seen.g = final.g),
 shaped as (select g, n, last, regexp_replace(g, r'\S*?([\p{L}\p{M}\p{N}_&;\\�]|\S)(?=\s|$)\s*', '$1 ') as k from counted),
@@ -66,12 +70,15 @@ def truncation(documents: DataFrame) -> DataFrame:
     """doc_id, source, final_trigram, inside, terminal, flagged (by the counts), cut (flagged and no complete ending).
 
     Null texts and ids are left out; an empty text is complete; repeated rows are judged alike; trailing white space
-    doesn't count; of other columns only source is read. Trigrams are counted map-side first, so a hot one costs a row per task.
+    doesn't count; of other columns only source is read. Trigrams are counted map-side first, so a hot one costs a row per task;
+    `inside` and `terminal` count texts that are the same but for names once.
     """
     spark = documents.sparkSession
     first = _braces(LINES.replace("{ends}", ENDS.replace("'", "''")), "documents")
-    lines = Workspace(spark, "p10").keep(spark.sql(first, documents=documents.select("doc_id", "text", "source")))
-    return spark.sql(_braces(METHOD, "lines"), args={"frequent": FREQUENT, "broad": BROAD}, lines=lines)
+    work = Workspace(spark, "p10")
+    lines = work.keep(spark.sql(first, documents=documents.select("doc_id", "text", "source")))
+    copies = work.keep(spark.sql(COPIES, lines=lines))
+    return spark.sql(_braces(METHOD, "lines", "copies"), args={"frequent": FREQUENT, "broad": BROAD}, lines=lines, copies=copies)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,3 +190,16 @@ def test_truncation(spark):
     assert set(found[found.cut].doc_id) == cut | {902} and len(found) == 403
     assert P10.truncation(frame.limit(0)).collect() == []
     assert re.match(r"\S+\s", found.final_trigram[0])
+
+
+def test_truncation_of_copies(spark):
+    rng = random.Random(12)
+    ws = "the garden report was moved by our neighbour before lunch and nobody in the room asked why it happened".split()
+    whole = [(k, " ".join(" ".join(rng.choice(ws) for _ in range(8)) + "." for _ in range(6)), "s1") for k in range(400)]
+    ends = [(500 + k, whole[k][1] + " we asked", "s1") for k in range(8)]
+    copies = [(1000 + k, whole[9][1] + " our neighbour", "s1") for k in range(204)]
+    words = [(2000, "word " * 60 + "a" * 300 + " " + "b" * 300 + " the", "s1")]
+    found = P10.truncation(spark.createDataFrame(whole + ends + copies + words, "doc_id long, text string, source string")).toPandas()
+    assert set(found[found.cut].doc_id) >= {d for d, *_ in ends + copies} and not set(found[found.cut].doc_id) & {d for d, *_ in whole}
+    assert found[found.doc_id == 2000].final_trigram.item() == "a" * 300 + " " + "b" * 300 + " the"
+    assert set(found[found.doc_id.between(1000, 1999)].terminal) == {1}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quellmark.functions import text as X
 from quellmark.operators.context import context_tokens, quoted_spans
+from quellmark.operators.lexicon import view_matches
 from quellmark.operators.ordering import running
 from quellmark.plans import sqlbits as B
 from quellmark.runtime import table
@@ -156,6 +157,7 @@ QUERIES = {
     "hash_char_gram": lambda s, d: QUERIES["char_ngrams"](s, d).select("id", "gram", F.expr("aggregate(transform(sequence(1, octet_length(gram)), k -> cast(conv(hex(substring(cast(gram as binary), k, 1)), 16, 10) as int)), aggregate(array(67, 3), 8997, (h, b) -> ((h ^ b) * 435) & 65535), (h, b) -> ((h ^ b) * 435) & 65535)").alias("bin")),
     "lexicon_scan": lambda s, d: _lex(s, d).select("id", F.regexp_extract("id", "^[A-Za-z]+", 0).alias("language"), F.trim("lemma").alias("lemma"), (F.col("stereotype") == "yes").alias("stereotype"), F.col("level").isin("conservative", "inclusive").alias("known_level")),
     "lexicon_match": lambda s, d: lemma_hits(s, d).groupBy("row_id", "id").agg(F.count(F.lit(1)).alias("hits")),
+    "lexicon_match_views": lambda s, d: view_matches(rows(s, d), _lex(s, d)),
     "lexicon_match_phrases": _phrases,
     "lexicon_markers": _markers,
     "match_dedupe": lambda s, d: table(s, d, "lexicon_matches").groupBy("row_id", "entry_id", "raw_start", "raw_end").agg(F.min(F.struct(_view_rank().alias("v"), "match_id")).alias("b")).select("row_id", "entry_id", "raw_start", "raw_end", "b.match_id"),

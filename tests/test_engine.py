@@ -9,6 +9,7 @@ from quellmark.api import Judge, NotReady
 from quellmark.functions import text as X
 from quellmark.operators import linear_model as L
 from quellmark.operators.context import quote_ranges, tokens
+from quellmark.operators.lexicon import view_matches
 from quellmark.operators.ordering import nearest_rank, running
 from quellmark.operators.rules import events, phrase_hits, suppressed
 from quellmark.sources import adapters, sinks
@@ -83,6 +84,15 @@ def test_views_and_tokens(spark):
     assert [(t[0], t[3], t[4], t[5]) for t in tokens("Hi @you, all. Bye")] == [("hi", 0, 0, False), ("you", 0, 0, True), ("all", 0, 1, False), ("bye", 1, 2, False)]
 
 
+def test_lexicon_views(spark):
+    lexicon = spark.createDataFrame([("a", "Murmelkopf"), ("b", "idiot"), ("c", "Möhre"), ("d", "alter Hut"), (None, "x")], "id string, lemma string")
+    texts = ["ein murmelkopf", "ein Μurmelkоpf", "murmel\u200bkopf, mur\u00admelkopf", "du 1d10t", "i.d.i.o.t!", "Mo\u0308hre alter  Hut", "Murmelkopfs", "", None]
+    found = view_matches(spark.createDataFrame(list(enumerate(texts)), "row_id long, text string"), lexicon).collect()
+    assert sorted(map(tuple, found)) == [
+        (0, "a", "Normalized", 4, 14), (1, "a", "Confusable", 4, 14), (2, "a", "Confusable", 0, 11), (2, "a", "Confusable", 13, 24), (3, "b", "Evasion", 3, 8),
+        (4, "b", "Evasion", 0, 9), (5, "c", "Normalized", 0, 6), (5, "d", "Normalized", 7, 17)]
+
+
 def test_rules(spark):
     texts = ["you are a spoon", "nobody said you are a spoon", '"you are a spoon"', "as far as you are a spoon", "he is here"]
     frame = spark.createDataFrame(list(enumerate(texts)), "row_id long, text string")

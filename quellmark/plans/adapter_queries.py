@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import functions as F
@@ -81,17 +82,35 @@ def _evidence_check(s, d):
     return m.select("match_id", (raw == F.col("matched_text")).alias("same_text"), (F.octet_length("matched_text") == F.col("raw_end") - F.col("raw_start")).alias("same_length"))
 
 
+def fit_logistic(rows, ratios=None):
+    """Coefficients per bin and intercept of the L2-regularised logistic model of (label, bins); a bin's value is 1, or its ratio."""
+    spread = rows.sparkSession.sparkContext.broadcast(ratios)
+
+    def features(bins):
+        bins = sorted(bins)
+        return SparseVector(BINS, bins, [1.0] * len(bins) if spread.value is None else spread.value[bins])
+
+    used = rows.select(F.udf(features, VectorUDT())("bins").alias("features"), (F.col("label") == "toxic").cast("double").alias("label"))
+    model = LogisticRegression(maxIter=30, regParam=1.0 / max(used.count(), 1), elasticNetParam=0.0, standardization=False).fit(used)
+    return model.coefficients.toArray(), model.intercept
+
+
+def fit_nb_logistic(rows, counts, beta=1.0):
+    """Weights per bin of a model fitted on features scaled by naive Bayes ratios: (1 - beta) * mean |c| + beta * c, times the ratio; 0 for bins that aren't kept."""
+    found = L.nb_ratios(counts).collect()  # at most BINS rows
+    active, ratios = [int(r["bin"]) for r in found], np.zeros(BINS)
+    ratios[active] = [r["ratio"] for r in found]
+    own = fit_logistic(rows, ratios)[0]
+    blended = np.zeros(BINS)
+    blended[active] = (1 - beta) * np.abs(own[active]).mean() + beta * own[active] if active else 0.0
+    return blended * ratios
+
+
 def _logistic(s, d, reweight=False):
-    """L2-regularised logistic weights per bin, the larger first; with `reweight` features are scaled by naive Bayes ratios."""
+    """Logistic weights per bin; with `reweight` those of the model on features scaled by naive Bayes ratios."""
     t = Trained(s, d)
-    vector = F.udf(lambda bins: SparseVector(BINS, sorted(bins), [1.0] * len(bins)), VectorUDT())
-    rows = t.labelled.select(vector("bins").alias("features"), (F.col("label") == "toxic").cast("double").alias("label"))
-    n = rows.count()
-    fit = LogisticRegression(maxIter=30, regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False).fit(rows)
-    weights = fit.coefficients
-    kept = s.createDataFrame([(int(b), float(w)) for b, w in enumerate(weights.toArray()) if w], "bin long, weight double")
-    if reweight:
-        kept = kept.join(L.nb_ratios(t.counts), "bin").select("bin", (F.col("weight") * F.col("ratio")).alias("weight"))
+    weights = fit_nb_logistic(t.labelled, t.counts) if reweight else fit_logistic(t.labelled)[0]
+    kept = s.createDataFrame([(int(b), float(w)) for b, w in enumerate(weights) if w], "bin long, weight double")
     return kept.select("bin", L.quantize(F.col("weight")).alias("weight"))
 
 

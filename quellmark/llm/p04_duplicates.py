@@ -1,7 +1,7 @@
 """Problem 4: duplicates hidden by formatting, collapsed by recursive radix partitioning and counted in tries.
 
 Canonical bytes (split, label, then the text's canonical form) are cut into buckets by their first bytes. A bucket of more
-than `capacity` rows is split by further bytes, level by level, until each fits. An oversized bucket whose bytes are
+than `capacity` rows or `room` bytes is split by further bytes, level by level, until each fits. An oversized bucket whose bytes are
 used up holds nothing but copies of one text: those are counted map-side and never meet in one task. Every other bucket
 goes whole to one task, which counts its texts in a path-compressed trie with counters at the terminals.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quellmark.llm.forms import canonical
@@ -19,8 +19,8 @@ from quellmark.runtime import Workspace, table
 
 #: Bytes of the canonical form that each level of the partitioning looks at.
 LEVELS = (6, 16, 40, 96, 256, 1024, 8192, 1 << 30)
-#: A bucket of at most so many rows fits a task; larger inputs get larger buckets, so that at most ROOM prefixes are oversized.
-CAPACITY, ROOM = 20_000, 4_096
+#: A bucket of at most so many rows and so many bytes fits a task, whatever the size of the table.
+CAPACITY, ROOM = 20_000, 64 << 20
 
 
 def _canonical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,41 +93,49 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(trie)
 
 
-def copies(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def copies(rows: DataFrame, capacity: int = CAPACITY, room: int = ROOM) -> DataFrame:
     """row_id, first_row_id, copies of each row: the smallest row_id and the size of its group of copies.
 
     A group has equal split and label and texts equal but for white space, letter case, punctuation and order of
     their fields. Rows with a null row_id, split, label or text belong to no group and are left out; texts of nothing but
     white space and punctuation are copies of each other; columns other than these four are never read.
+
+    The prefixes of oversized buckets stay tables of digests, joined and never collected: their number grows with the
+    rows, the size of a bucket doesn't.
     """
     spark = rows.sparkSession
     work = Workspace(spark, "p4")
     used = rows.where("row_id is not null and split is not null and label is not null and text is not null")
     keyed = work.keep(used.select("row_id", "split", "label", "text").mapInArrow(_canonical, "row_id long, c binary"))
-    capacity = max(capacity, keyed.seen["rows"] // ROOM)
-    # (level, prefix) of the oversized buckets: at most ROOM a level, as each holds more than 1/ROOM of all rows
-    over: list[tuple[int, bytes]] = []
-    full: list[bytes] = []
+
+    def prefix(level: int) -> Column:
+        return F.unhex(F.md5(F.substring("c", 1, LEVELS[level])))
+
+    # the digests of oversized prefixes level by level, and those of texts that are a bucket of their own
+    over: list[DataFrame] = []
+    full = None
     pending = keyed.select("c")
     for level, size in enumerate(LEVELS):
-        prefix = F.substring("c", 1, size)
-        big = pending.groupBy(prefix.alias("p")).agg(F.count(F.lit(1)).alias("n"), F.max(F.length("c")).alias("most")).where(F.col("n") > capacity).collect()
-        if not big:
-            break
+        length = F.length("c")
+        counted = pending.groupBy(prefix(level).alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum(length).alias("bytes"), F.max(length).alias("most"))
         # a prefix that is as long as its longest row is one text
-        full += [bytes(r["p"]) for r in big if r["most"] <= len(r["p"])]
-        more = [bytes(r["p"]) for r in big if r["most"] > len(r["p"])]
-        over += [(level, p) for p in more]
-        if not more:
+        big = work.keep(counted.where((F.col("n") > capacity) | (F.col("n") > 1) & (F.col("bytes") > room)).select("p", (F.col("most") <= size).alias("one")), one=F.col("one"))
+        if big.seen["one"]:
+            own = big.where("one").select("p")
+            full = own if full is None else full.union(own)
+        if big.seen["rows"] == big.seen["one"]:
             break
-        known = spark.createDataFrame([(p,) for p in more], "p binary")
-        pending = keyed.select("c").withColumn("p", prefix).join(F.broadcast(known), "p", "left_semi").select("c")
-    hot = F.broadcast(spark.createDataFrame([(p,) for p in full], "c binary"))
+        over.append(big.where("not one").select("p"))
+        pending = pending.withColumn("p", prefix(level)).join(over[-1], "p", "left_semi").select("c")
+    located, same = keyed, None
+    if full is not None:
+        # such a text is all of its prefix, so the digest of the whole text finds it
+        whole = keyed.withColumn("p", F.unhex(F.md5("c")))
+        located, same = whole.join(full, "p", "left_anti").select("row_id", "c"), whole.join(full, "p", "left_semi").select("row_id", "p")
     depth = F.lit(0)
-    located = keyed.join(hot, "c", "left_anti") if full else keyed
-    for level in sorted({k for k, _ in over}):
-        split = F.broadcast(spark.createDataFrame([(p, True) for k, p in over if k == level], f"p{level} binary, o{level} boolean"))
-        located = located.withColumn(f"p{level}", F.substring("c", 1, LEVELS[level])).join(split, f"p{level}", "left")
+    for level, known in enumerate(over):
+        marked = known.select(F.col("p").alias(f"p{level}"), F.lit(True).alias(f"o{level}"))
+        located = located.withColumn(f"p{level}", prefix(level)).join(marked, f"p{level}", "left")
         depth = F.when(F.col(f"o{level}"), level + 1).otherwise(depth)
     sizes = F.element_at(F.array(*map(F.lit, LEVELS)), depth + 1)
     bucket = F.unhex(F.md5(F.substring(F.col("c"), F.lit(1), sizes)))
@@ -135,11 +143,9 @@ def copies(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         located.select(bucket.alias("b"), "row_id", "c").repartition("b").sortWithinPartitions("b")
         .mapInArrow(_count, "row_id long, first_row_id long, copies long")
     )
-    if full:
-        same = keyed.join(hot, "c", "left_semi")
-        firsts = same.groupBy("c").agg(F.min("row_id").alias("first_row_id"), F.count(F.lit(1)).alias("copies"))
-        # as many rows as oversized one-text buckets, hence at most ROOM
-        out = out.union(same.join(F.broadcast(firsts), "c").select("row_id", "first_row_id", "copies"))
+    if same is not None:
+        firsts = work.keep(same.groupBy("p").agg(F.min("row_id").alias("first_row_id"), F.count(F.lit(1)).alias("copies")))
+        out = out.union(same.join(firsts, "p").select("row_id", "first_row_id", "copies"))
     return out
 
 

@@ -24,12 +24,9 @@ def test_groups(spark, capacity):
         if None not in (i, s, b, t):
             groups[s, b, canonical(t)].append(i)
     want = {(i, min(g), len(g)) for g in groups.values() for i in g}
-    old, P.ROOM = P.ROOM, 1 << 30
-    try:
-        found = [tuple(r) for r in P.copies(frame(spark, rows), capacity).collect()]
-    finally:
-        P.ROOM = old
-    assert len(found) == len(want) and set(found) == want
+    for room in (200, P.ROOM):
+        found = [tuple(r) for r in P.copies(frame(spark, rows), capacity, room).collect()]
+        assert len(found) == len(want) and set(found) == want
 
 
 def test_hot_group_and_empty(spark):
@@ -39,6 +36,31 @@ def test_hot_group_and_empty(spark):
     assert len(found) == 300 and sum(r["copies"] == 200 and r["first_row_id"] == 1 for r in found) == 200
 
 
+def test_buckets_fit_at_any_size(spark, monkeypatch):
+    """The most rows that meet in one trie stay within the capacity, however many rows there are."""
+    sizes = spark.sparkContext.accumulator(0)
+    plain = P._count
+
+    def watched(batches):
+        yield from plain(_largest(batches, sizes))
+
+    def _largest(batches, most):
+        current, n = None, 0
+        for batch in batches:
+            for b in batch.column(0).to_pylist():
+                n = n + 1 if b == current else 1
+                current = b
+                if n > 40:
+                    most.add(1)
+            yield batch
+
+    monkeypatch.setattr(P, "_count", watched)
+    for many in (500, 4000):
+        rows = [(k, "test", "clean", f"the same beginning of every text and then {k % (many // 2)}") for k in range(many)]
+        found = P.copies(frame(spark, rows), 40).collect()
+        assert len(found) == many and all(r["copies"] == 2 for r in found) and sizes.value == 0
+
+
 def test_fields_in_any_order():
     assert canonical("a: x; b: y; c: z") == canonical("c: Z | a:x|b: y ")
     assert canonical("one; two") != canonical("two; one")

@@ -1,24 +1,25 @@
 """Problem 1: splits that keep related provenance records together.
 
 Records that share a key are tied through a star per key instead of all pairs: the records of a (key, salt) pair hang
-on its smallest record, those hang on the key's smallest record, so no vertex of a hot key has more than its 1/SALTS
-share of neighbours. Borůvka rounds pick every component's smallest outgoing edge, keep it in the spanning forest
+on its smallest record, those hang on the key's smallest record, so no vertex of a hot key has more neighbours than a
+bounded number of rows or the number of salts, which grows with the table. Borůvka rounds pick every component's smallest outgoing edge, keep it in the spanning forest
 and contract along the picked edges; the forest and each round's tables are written to the shared folder.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quellmark.runtime import Workspace, table
 
-SALTS = 64
+#: Salts per key: LEAST, and one more for every PER rows, so that a hot key's share of a (key, salt) pair stays bounded.
+LEAST, PER = 64, 2_000_000
 #: What stands for "no author", compared without case and outer blanks.
 NO_AUTHOR = ["", "-", "?", "unknown", "n/a", "na", "none", "null", "[deleted]", "deleted", "anonymous", "anon"]
-#: Step of the additive low-discrepancy sequence by which clusters are dealt (the golden ratio's fraction).
-STEP = 0.6180339887498949
+#: Step of the additive low-discrepancy sequence by which clusters are dealt (the golden ratio's fraction), and its start, in parts of CYCLE.
+CYCLE = 1 << 31
+STEP, START = 1_327_217_885, CYCLE // 2
 RATIOS = {"development": 0.70, "validation": 0.15, "test": 0.15}
 
 
@@ -27,8 +28,9 @@ def _key(kind: str, value: Column, usable: Column | None = None) -> Column:
     return F.when(present if usable is None else present & usable, F.unhex(F.md5(F.concat(F.lit(kind), value))))
 
 
-def tie_edges(records: DataFrame, salts: int = SALTS) -> DataFrame:
+def tie_edges(records: DataFrame, salts: int | None = None) -> DataFrame:
     """Edges (u, v) whose components are the clusters; at most four for a record, whatever the size of its keys."""
+    salts = salts or LEAST + records.count() // PER
     author = F.col("author_id")
     keys = F.array(
         _key("source:", F.col("source_id")),
@@ -47,6 +49,24 @@ def tie_edges(records: DataFrame, salts: int = SALTS) -> DataFrame:
     return leaves.union(hubs.where("hub <> top").select(F.col("hub").alias("u"), F.col("top").alias("v")))
 
 
+def floor_sum(n: int, step: int, start: int, cycle: int) -> int:
+    """The sum of (step * i + start) // cycle over 0 <= i < n, exactly, in logarithmically many steps."""
+    total = 0
+    while n > 0:
+        total += (n - 1) * n // 2 * (step // cycle) + n * (start // cycle)
+        step, start = step % cycle, start % cycle
+        last = step * n + start
+        n, start, step, cycle = last // cycle, last % cycle, cycle, step
+        if not step or not cycle:
+            break
+    return total
+
+
+def points_below(n: int, bound: int) -> int:
+    """How many of the sequence's first n points lie below `bound` (of CYCLE), in closed form."""
+    return floor_sum(n, STEP, START, CYCLE) - floor_sum(n, STEP, START - bound + CYCLE, CYCLE) + n
+
+
 def boruvka(edges: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
     """(labels: vertex, root; forest: u, v) of the graph; vertices without an edge don't occur.
 
@@ -163,18 +183,19 @@ def deal_splits(records: DataFrame, ratios: dict[str, float] = RATIOS) -> DataFr
         want = {s: max(0.0, ratios[s] * total - given[s]) for s in names}
         share = {s: want[s] / (sum(want.values()) or 1) for s in names}
         count = sum(r["k"] for r in own)
-        bounds = [share[names[0]], share[names[0]] + share[names[1]]]
-        points = (np.arange(min(count, 100_000)) * STEP + 0.5) % 1.0
-        dealt = np.diff([0.0, *[float((points < b).mean()) for b in bounds], 1.0])
+        bounds = [round(CYCLE * share[names[0]]), round(CYCLE * (share[names[0]] + share[names[1]]))]
+        upto = [0, *(points_below(count, b) for b in bounds), count]
+        dealt = [(b - a) / count for a, b in zip(upto, upto[1:])]
         for s, part in zip(names, dealt):
             given[s] += size * part
         before = 0
         for r in own:
-            rows.append((int(band), int(r["part"]), int(r["first"]), before, *map(float, bounds[:2])))
+            rows.append((int(band), int(r["part"]), int(r["first"]), before, *bounds))
             before += r["k"]
-    schema = "band int, part long, first long, before long, b0 double, b1 double"
+    schema = "band int, part long, first long, before long, b0 long, b1 long"
     plan = F.broadcast(spark.createDataFrame(rows, schema))
-    point = ((F.col("before") + F.col("at") - F.col("first")) * STEP + 0.5) % 1.0
+    # the sequence repeats after CYCLE points, so the product stays below 2^62
+    point = ((F.col("before") + F.col("at") - F.col("first")) % CYCLE * STEP + START) % CYCLE
     split = F.when(point < F.col("b0"), names[0]).when(point < F.col("b1"), names[1]).otherwise(names[2])
     dealt = ordered.withColumn("part", F.shiftright("at", 33)).join(plan, ["band", "part"]).select("cluster_id", split.alias("split"))
     return members.join(dealt, "cluster_id").select("record_id", "cluster_id", "split")
@@ -197,8 +218,8 @@ QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p1_forest": p1_forest}
 
 #: Labels spread along the ties until none falls any more; a record's ties go over its keys.
 SQL = {
-    "p1_found": f"""with recursive keys as materialized (select distinct record_id as r, k from (select record_id, unnest(['s' || nullif(trim(source_id), chr(0)[:0]), 's' || nullif(trim(representative_source_id), chr(0)[:0]),
-        'g' || nullif(trim(canonical_group_id), chr(0)[:0]), case when lower(trim(author_id)) not in ({", ".join(f"'{a}'" for a in NO_AUTHOR)}) then 'a' || author_id end]) as k from provenance) where k is not null),
+    "p1_found": f"""with recursive keys as materialized (select distinct record_id as r, k from (select record_id, unnest([case when trim(source_id) <> chr(0)[:0] then 's' || source_id end, case when trim(representative_source_id) <> chr(0)[:0] then 's' || representative_source_id end,
+        case when trim(canonical_group_id) <> chr(0)[:0] then 'g' || canonical_group_id end, case when lower(trim(author_id)) not in ({", ".join(f"'{a}'" for a in NO_AUTHOR)}) then 'a' || author_id end]) as k from provenance) where k is not null),
     hubs as (select k, min(r) as h from keys group by k), e as materialized (select r as a, h as b from keys join hubs using (k) union select h, r from keys join hubs using (k)),
     cc(id, c) using key (id) as (select record_id, record_id from provenance union select e.b, min(cc.c) from cc join e on e.a = cc.id join recurring.cc as cur on cur.id = e.b where cc.c < cur.c group by e.b),
     torn as (select c from cc join provenance on record_id = id group by c having count(distinct detector_split) > 1)

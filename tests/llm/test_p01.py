@@ -66,6 +66,20 @@ def test_splits_keep_clusters_and_ratios(spark):
     assert abs(share["development"] - 0.7) < 0.06 and abs(share["validation"] - 0.15) < 0.05 and abs(share["test"] - 0.15) < 0.05
 
 
+def test_points_are_counted_exactly():
+    rng = random.Random(3)
+    for _ in range(50):
+        n, bound = rng.randrange(1, 2000), rng.choice([0, P.CYCLE, rng.randrange(P.CYCLE)])
+        assert P.points_below(n, bound) == sum((k * P.STEP + P.START) % P.CYCLE < bound for k in range(n))
+    for n in (10**6, 10**13):
+        assert abs(P.points_below(n, P.CYCLE * 7 // 10) - 0.7 * n) < 1e-5 * n
+
+
+def test_padded_keys_are_other_keys(spark):
+    rows = [(1, "s", None, None, None, "test"), (2, " s", None, None, None, "development")]
+    assert P.broken_clusters(frame(spark, rows)).collect() == []
+
+
 def test_forest_is_spanning(spark):
     rows = [(k, f"s{k}", None, f"g{k % 7}", None, None) for k in range(100)]
     labels, forest = P.boruvka(P.tie_edges(frame(spark, rows)), Workspace(spark, "t"))

@@ -5,7 +5,8 @@ so the sorted sequence is a bounded list of runs (size, count), and so is the so
 containers). A superstep matches the largest run of pieces left with its successors among the gaps, the smallest
 that hold it; conflicts are resolved by rank, the k-th piece of a run taking the k-th place of the run of gaps; gaps are
 updated and the next superstep follows. What a superstep yields are intervals of ranks, and the pieces find their container in
-them. Runs, not pieces, reach the driver: at most the sum of the capacities, however many documents there are.
+them. The runs of a target meet in one task (at most as many as its capacity has tokens, and one per partition); targets
+are matched side by side, and nothing passes through the driver.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,49 +95,54 @@ def best_fit(runs: list[tuple[int, int]], capacity: int) -> list[tuple[int, int,
     return out
 
 
+_PLACES = "target_name string, tokens long, p long, low long, high long, first long, each long, skip long"
+
+
+def _place(runs: pd.DataFrame) -> pd.DataFrame:
+    """The intervals of one target's ranks that share a first container and a number of pieces a container.
+
+    `runs` has the pieces of one size in one partition: tokens, p, n, at (the first one's place), and the target's capacity.
+    """
+    runs = runs.sort_values(["tokens", "p"], ascending=[False, True])
+    counts = runs.groupby("tokens", sort=False)["n"].sum()
+    placed: dict[int, list[tuple[int, int, int, int]]] = {0: [(0, int(counts.get(0, 0)), 0, max(1, int(counts.get(0, 0))))]}
+    for size, a, b, first, each in best_fit([(int(s), int(n)) for s, n in counts.items() if s], int(runs["capacity"].iloc[0])):
+        placed.setdefault(size, []).append((a, b, first, each))
+    out, upto = [], {}
+    name = runs["target_name"].iloc[0]
+    for size, part, n, at in zip(*(runs[c].tolist() for c in ("tokens", "p", "n", "at"))):
+        # rank of a piece = at - (the partition's first piece of the run) + the pieces of its size in partitions before
+        rank = upto.get(size, 0)
+        upto[size] = rank + n
+        for a, b, first, each in placed[size]:
+            low, high = max(a, rank), min(b, rank + n)
+            if low < high:
+                out.append((name, size, part, at + low - rank, at + high - rank, first, each, low - a))
+    return pd.DataFrame(out, columns=["target_name", "tokens", "p", "low", "high", "first", "each", "skip"])
+
+
 def pack(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """target_name, doc_id, part, container_id, tokens: where each document goes for each target.
 
     A document of at most the capacity is one part; a larger one is cut to parts of the capacity and a rest. Documents
     without tokens take no room and go to container 0; rows with nulls and targets without a positive capacity are left
-    out; repeated documents are packed each; an empty table gives no rows.
+    out; a target named twice has the smallest of its capacities; repeated documents are packed each; an empty table gives no
+    rows. Each target's runs, at most one for each size and partition border, are matched in a task of their own.
     """
-    spark = sizes.sparkSession
-    work = Workspace(spark, "p8")
-    goals = [(r["target_name"], int(r["capacity_tokens"])) for r in targets.dropDuplicates(["target_name"]).limit(1000).collect()
-             if r["target_name"] is not None and (r["capacity_tokens"] or 0) > 0]
-    goal = F.broadcast(spark.createDataFrame(goals, "target_name string, capacity long"))
-    sizes = work.keep(sizes.select("doc_id", "tokens"))
-    parts = sizes.join(goal).withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("tokens") / F.col("capacity")).cast("int") - 1))))
+    work = Workspace(sizes.sparkSession, "p8")
+    goals = targets.where("target_name is not null and capacity_tokens > 0").groupBy("target_name").agg(F.min("capacity_tokens").cast("long").alias("capacity"))
+    listed = goals.agg(F.sort_array(F.collect_list(F.struct("target_name", "capacity"))).alias("goals"))
+    sizes = work.keep(sizes.where("doc_id is not null and tokens is not null").select("doc_id", "tokens"))
+    parts = sizes.withColumn("goal", F.explode(listed.scalar())).select("doc_id", "tokens", "goal.target_name", "goal.capacity")
+    parts = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("tokens") / F.col("capacity")).cast("int") - 1))))
     parts = parts.withColumn("tokens", F.least("capacity", F.col("tokens") - F.col("part") * F.col("capacity")))
-    key = ["target_name", "tokens", "doc_id", "part"]
     by = [F.col("target_name"), F.desc("tokens"), F.col("doc_id"), F.col("part")]
-    pieces = work.keep(parts.select(*key).repartitionByRange(*by).sortWithinPartitions(*by).withColumn("at", F.monotonically_increasing_id()))
-    part = F.shiftright("at", 33)
-    runs = (
-        pieces.groupBy("target_name", "tokens", part.alias("p")).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
-        .orderBy("target_name", F.desc("tokens"), "p").collect()
-    )
-    places = []
-    for name, capacity in goals:
-        own = [r for r in runs if r["target_name"] == name]
-        counts: dict[int, int] = {}
-        begins = {}
-        for r in own:
-            # rank of a piece = at - shift, from the partition's first piece of the run
-            begins[r["tokens"], r["p"]] = (r["at"], counts.get(r["tokens"], 0), r["n"])
-            counts[r["tokens"]] = counts.get(r["tokens"], 0) + r["n"]
-        placed: dict[int, list[tuple[int, int, int, int]]] = {}
-        for size, a, b, first, each in best_fit([(s, n) for s, n in counts.items() if s], capacity):
-            placed.setdefault(size, []).append((a, b, first, each))
-        for (size, p), (at, rank, n) in begins.items():
-            for a, b, first, each in placed.get(size, [(0, counts[size], 0, counts[size])]):
-                low, high = max(a, rank), min(b, rank + n)
-                if low < high:
-                    places.append((name, size, p, at + low - rank, at + high - rank, first, each, low - a))
-    schema = "target_name string, tokens long, p long, low long, high long, first long, each long, skip long"
-    where = spark.createDataFrame(places, schema)
-    found = pieces.withColumn("p", part).join(F.broadcast(where), ["target_name", "tokens", "p"]).where("at >= low and at < high")
+    pieces = work.keep(parts.select("target_name", "tokens", "doc_id", "part").repartitionByRange(*by).sortWithinPartitions(*by).withColumn("at", F.monotonically_increasing_id()))
+    pieces = pieces.withColumn("p", F.shiftright("at", 33))
+    runs = pieces.groupBy("target_name", "tokens", "p").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at")).join(goals, "target_name")
+    # as many rows as there are sizes, partitions and gaps of a run: Spark broadcasts the written table only if it is small
+    where = work.keep(runs.groupBy("target_name").applyInPandas(_place, _PLACES))
+    found = pieces.join(where, ["target_name", "tokens", "p"]).where("at >= low and at < high")
     container = F.col("first") + F.floor((F.col("skip") + F.col("at") - F.col("low")) / F.col("each"))
     return found.select("target_name", "doc_id", "part", container.cast("long").alias("container_id"), "tokens")
 

@@ -115,7 +115,7 @@ def test_packing(spark, capacity):
     rng = random.Random(capacity)
     rows = [(k, rng.choice([0, 1, 3, rng.randrange(1, 90), rng.randrange(1, 1500)]), "x") for k in range(400)] + [(5000, 77, "x")] * 3 + [(None, 5, "x"), (7000, None, "x")]
     sizes = spark.createDataFrame(rows, "doc_id long, tokens long, part string").where("doc_id is not null and tokens is not null")
-    targets = spark.createDataFrame([("t", capacity), ("t", capacity), ("none", 0), (None, 9)], "target_name string, capacity_tokens int")
+    targets = spark.createDataFrame([("t", capacity), ("t", capacity + 99), ("none", 0), (None, 9)], "target_name string, capacity_tokens int")
     found = P8.pack(sizes, targets).toPandas()
     used = found[found.tokens > 0].groupby("container_id").tokens.sum()
     assert used.max() <= capacity and set(found.target_name) == {"t"}
@@ -126,6 +126,13 @@ def test_packing(spark, capacity):
     assert P8.pack(sizes.limit(0), targets).collect() == []
 
 
+def test_every_target_is_packed(spark):
+    sizes = spark.createDataFrame([(k, 5) for k in range(4)], "doc_id long, tokens long")
+    targets = spark.createDataFrame([(f"t{k}", 10) for k in range(1500)], "target_name string, capacity_tokens int")
+    found = P8.pack(sizes, targets).toPandas()
+    assert found.target_name.nunique() == 1500 and len(found) == 6000 and found.container_id.max() == 1
+
+
 def test_token_counts(spark):
     frame = spark.createDataFrame([(1, "hello world", 9), (2, "", 9), (3, None, 9), (None, "x", 9)], "doc_id long, text string, tokens int")
     assert {r["doc_id"]: r["tokens"] for r in P8.token_counts(frame).collect()} == {1: len(P8.encoder().encode_ordinary("hello world")), 2: 0}

@@ -3,8 +3,9 @@
 The vote of annotator j on item i whose true answer is k is yes with probability sigmoid(s[j, k] + t[i, k]): s tilts the answers of an
 annotator, over all items and categories, t those of an item. Both are fitted by regularised coordinate ascent on
 the dual, alternating with the posteriors of the labels: the t and posteriors of an item need nothing but its own votes and its
-annotators' s, so each pass computes them anew inside the partition and sends one pre-aggregated gradient and curvature
-per annotator through the shuffle; s takes a Newton step and the next pass follows. Agreement is measured apart from the model.
+annotators' s, so each pass solves them inside the partition and sends one pre-aggregated gradient and curvature
+per annotator through the shuffle; s takes a Newton step and the next pass follows, until a pass raises the dual by less than
+TOLERANCE of it. Agreement is measured apart from the model.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,11 +23,12 @@ from quellmark.runtime import BROADCAST_ROWS, Workspace, table
 
 CATEGORIES = ("homophobia", "obscene", "insult", "racism", "misogyny", "xenophobia")
 VOTES = 3
-#: Pull of an annotator's tilts to those of all annotators, pull of an item's tilts to none, and passes over the votes.
-ALPHA, BETA, PASSES = 2.0, 20.0, 16
+#: Pull of an annotator's tilts to those of all annotators; pull of an item's tilts to none, the one that foretells held-out votes best.
+ALPHA, BETA = 2.0, 1.0
+#: The share of the dual that a pass must still add for another to follow, and passes over the votes at most.
+TOLERANCE, PASSES = 1e-5, 60
 #: Stands for votes of unknown annotators, who share their tilts.
 UNKNOWN = ""
-_CELLS = len(CATEGORIES) * VOTES
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,51 +45,56 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def posteriors(votes: np.ndarray, tilt: np.ndarray, prior: np.ndarray, beta: float = BETA) -> tuple[np.ndarray, np.ndarray]:
-    """(posterior of yes [item, category], chance of a yes vote [item, category, vote, truth]).
+def posteriors(votes: np.ndarray, tilt: np.ndarray, prior: np.ndarray, beta: float = BETA) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior of yes [item, category], chance of a yes vote [item, category, vote, truth], part of the dual [item, category]).
 
     votes [item, category, vote] holds 0, 1 or 2 (none), tilt [item, vote, truth] the annotators' tilts, prior [category].
     """
-    there = votes < 2
+    tilt, there, no = tilt.astype(np.float32)[:, None], (votes < 2)[..., None], (votes == 0)[..., None]
     yes = (votes == 1)[..., None]
-    item = np.zeros((*votes.shape[:2], 1, 2))
-    base = np.log(prior / (1 - prior))
-    q = np.zeros(votes.shape[:2])
+    item = np.zeros((*votes.shape[:2], 1, 2), np.float32)
+    base = np.log(prior / (1 - prior)).astype(np.float32)
     for step in range(3):
-        p = _sigmoid(tilt[:, None] + item)
-        like = np.log(np.where(yes, p, 1 - p) + 1e-12) * there[..., None]
-        q = _sigmoid(base + (like[..., 1] - like[..., 0]).sum(2))
+        z = tilt + item
+        e = np.exp(-z)
+        p = 1 / (1 + e)
+        like = ((-np.log(1 + e) - no * z) * there).sum(2)
+        q = _sigmoid(base + like[..., 1] - like[..., 0])
         if step < 2:
-            weight = np.stack([1 - q, q], -1)[:, :, None] * there[..., None]
+            weight = np.stack([1 - q, q], -1)[:, :, None] * there
             slope = (weight * (yes - p)).sum(2, keepdims=True) - beta * item
             item = item + slope / ((weight * p * (1 - p)).sum(2, keepdims=True) + beta)
-    return q, p
+    dual = np.logaddexp(np.log(prior) + like[..., 1], np.log(1 - prior) + like[..., 0]) - beta / 2 * (item[:, :, 0] ** 2).sum(-1)
+    return q, p, dual
 
 
-def _unpack(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(batch: pa.RecordBatch, known) -> tuple[np.ndarray, np.ndarray]:
+    """Votes, and the tilts of each item's annotators: looked up in `known` (names, tilts), or else in the columns after the votes."""
     votes = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, len(CATEGORIES), VOTES)
+    if known is not None:
+        names, tilts = known.value
+        return votes, tilts[np.stack([pc.index_in(c, names).to_numpy() for c in batch.columns[1:4]], 1)]
     tilt = np.stack([np.asarray(c.to_numpy(zero_copy_only=False), float) for c in batch.columns[5:]], 1)
     return votes, tilt.reshape(-1, VOTES, 2)
 
 
-def _gradients(prior: np.ndarray):
+def _gradients(prior: np.ndarray, known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            votes, tilt = _unpack(batch)
-            q, p = posteriors(votes, tilt, prior)
+            votes, tilt = _unpack(batch, known)
+            q, p, dual = posteriors(votes, tilt, prior)
             there = votes < 2
             weight = np.stack([1 - q, q], -1)[:, :, None] * there[..., None]
             slope = (weight * ((votes == 1)[..., None] - p)).sum(1)
             bend = (weight * p * (1 - p)).sum(1)
             names, unique = pd.factorize(np.concatenate([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:4]]))
             by = [np.bincount(names, v.transpose(1, 0).ravel(), len(unique)) for k in (0, 1) for v in (slope[..., k], bend[..., k])]
-            # what the categories' priors need travels under a name that no annotator has
+            # what the categories' priors and the dual need travels under names that no annotator has
             held = there.any(2)
-            totals = [*(q * held).sum(0), *held.sum(0)]
-            extra = [pa.array([f"\0{k}" for k in range(len(totals))]), pa.array(totals, pa.float64())]
+            totals = [*(q * held).sum(0, dtype=float), *held.sum(0), (dual * held).sum(dtype=float)]
             zeros = np.zeros(len(totals))
-            columns = [np.concatenate([by[0], extra[1].to_numpy()]), *(np.concatenate([b, zeros]) for b in by[1:])]
-            ids = pa.array([*unique, *extra[0].to_pylist()], pa.string())
+            columns = [np.concatenate([by[0], totals]), *(np.concatenate([b, zeros]) for b in by[1:])]
+            ids = pa.array([*unique, *(f"\0{k}" for k in range(len(totals)))], pa.string())
             yield pa.RecordBatch.from_arrays([ids, *map(pa.array, columns)], ["annotator", "g0", "h0", "g1", "h1"])
 
     return run
@@ -105,20 +113,26 @@ def _majority(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(unique, pa.string()), *map(pa.array, by)], ["annotator", "n0", "y0", "n1", "y1"])
 
 
-def _spread(items: DataFrame, tilts: DataFrame, count: int) -> DataFrame:
-    """Items with the tilts of their three annotators; a broadcast while there are few annotators, a shuffle beyond."""
+def _spread(items: DataFrame, tilts: DataFrame, unknown: tuple[float, float]) -> DataFrame:
+    """Items with the tilts of their three annotators by shuffle, where annotators are too many to be looked up; those of unknown ones are given."""
     for k in range(1, VOTES + 1):
-        side = tilts.select(F.col("annotator").alias(f"a{k}"), F.col("s0").alias(f"s0_{k}"), F.col("s1").alias(f"s1_{k}"))
-        items = items.join(F.broadcast(side) if count <= BROADCAST_ROWS else side, f"a{k}", "left")
-    order = [c for k in range(1, VOTES + 1) for c in (f"s0_{k}", f"s1_{k}")]
-    return items.select("item_id", "a1", "a2", "a3", "votes", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in order))
+        side = tilts.select(F.col("annotator").alias(f"b{k}"), F.col("s0").alias(f"s0_{k}"), F.col("s1").alias(f"s1_{k}"))
+        # votes of unknown annotators match nothing, under many keys
+        key = F.when(F.col(f"a{k}") == UNKNOWN, F.concat(F.lit("\0"), F.pmod("item_id", F.lit(997)))).otherwise(F.col(f"a{k}"))
+        items = items.withColumn(f"b{k}", key).join(side, f"b{k}", "left")
+    order = [F.coalesce(f"s{t}_{k}", F.lit(unknown[t])).alias(f"s{t}_{k}") for k in range(1, VOTES + 1) for t in (0, 1)]
+    return items.select("item_id", "a1", "a2", "a3", "votes", *order)
+
+
+_SUMS = "annotator string, g0 double, h0 double, g1 double, h1 double"
 
 
 class Fit:
-    """The fitted model: `items` (votes), `tilts` (annotator, s0, s1, kept), `prior` per category."""
+    """The fitted model: `items` (votes), `tilts` (annotator, s0, s1), `prior` per category, `duals` of the passes."""
 
-    def __init__(self, rows: DataFrame, passes: int = PASSES):
-        work = Workspace(rows.sparkSession, "p5")
+    def __init__(self, rows: DataFrame, passes: int = PASSES, bound: int = BROADCAST_ROWS):
+        self.spark = rows.sparkSession
+        self.work = work = Workspace(self.spark, "p5")
         names = [F.coalesce(F.col(f"annotator_{k}"), F.lit(UNKNOWN)).alias(f"a{k}") for k in range(1, VOTES + 1)]
         cells = [F.col(f"{c}_{k}").cast("double") for c in CATEGORIES for k in range(1, VOTES + 1)]
         used = rows.where("item_id is not null").select("item_id", *names, *cells)
@@ -126,33 +140,64 @@ class Fit:
         schema = "annotator string, n0 double, y0 double, n1 double, y1 double"
         start = self.items.mapInArrow(_majority, schema).groupBy("annotator").agg(*(F.sum(c).alias(c) for c in ("n0", "y0", "n1", "y1")))
         start = work.keep(start)
-        total = start.agg(*(F.sum(c) for c in ("n0", "y0", "n1", "y1"))).first()
-        n0, y0, n1, y1 = (float(x or 0) for x in total)
-        self.center = [float(np.log((y + 1) / (n - y + 1))) for y, n in ((y0, n0), (y1, n1))]
-        tilts = start.select("annotator", *(
-            F.log((F.col(f"y{k}") + ALPHA * float(_sigmoid(np.array(self.center[k])))) / (F.col(f"n{k}") - F.col(f"y{k}") + ALPHA * (1 - float(_sigmoid(np.array(self.center[k])))))).alias(f"s{k}")
+        n0, y0, n1, y1 = (float(x or 0) for x in start.agg(*(F.sum(c) for c in ("n0", "y0", "n1", "y1"))).first())
+        self.center = np.array([np.log((y + 1) / (n - y + 1)) for y, n in ((y0, n0), (y1, n1))])
+        usual = _sigmoid(self.center)
+        self.tilts = start.select("annotator", *(
+            F.log((F.col(f"y{k}") + ALPHA * float(usual[k])) / (F.col(f"n{k}") - F.col(f"y{k}") + ALPHA * float(1 - usual[k]))).alias(f"s{k}")
             for k in (0, 1)))
-        self.tilts = work.keep(tilts)
-        count = self.tilts.seen["rows"]
         self.prior = np.full(len(CATEGORIES), min(max(n1 / max(n0 + n1, 1), 0.01), 0.99))
-        schema = "annotator string, g0 double, h0 double, g1 double, h1 double"
-        for _ in range(passes):
-            sums = _spread(self.items, self.tilts, count).mapInArrow(_gradients(self.prior), schema)
-            sums = work.keep(sums.groupBy("annotator").agg(*(F.sum(c).alias(c) for c in ("g0", "h0", "g1", "h1"))))
+        self.duals: list[float] = []
+        self.names: pa.Array | None = None
+        if start.seen["rows"] <= bound:
+            found = self.tilts.orderBy("annotator").toPandas()
+            self.names, self.values = pa.array(found["annotator"], pa.string()), found[["s0", "s1"]].to_numpy(float)
+        else:
+            self.tilts = work.keep(self.tilts)
+        while len(self.duals) < passes and self._pass():
+            pass
+        if self.names is not None:
+            self.tilts = self.spark.createDataFrame(pd.DataFrame({"annotator": self.names.to_pylist(), "s0": self.values[:, 0], "s1": self.values[:, 1]}), "annotator string, s0 double, s1 double")
+
+    def _applied(self, run, schema: str) -> DataFrame:
+        """Annotators up to the bound are looked up in a broadcast of that many rows, more are joined."""
+        if self.names is not None:
+            return self.items.mapInArrow(run(self.spark.sparkContext.broadcast((self.names, self.values))), schema)
+        own = self.tilts.where(F.col("annotator") == UNKNOWN).first()
+        return _spread(self.items, self.tilts, (own["s0"], own["s1"]) if own else (0.0, 0.0)).mapInArrow(run(None), schema)
+
+    def _pass(self) -> bool:
+        """A Newton step of all annotators; whether another should follow."""
+        prior = self.prior
+        sums = self._applied(lambda known: _gradients(prior, known), _SUMS).groupBy("annotator").agg(*(F.sum(c).alias(c) for c in ("g0", "h0", "g1", "h1")))
+        if self.names is not None:
+            found = sums.toPandas()
+            totals = found[found["annotator"].str.startswith("\0")]
+            totals = {int(a[1:]): v for a, v in zip(totals["annotator"], totals["g0"])}
+            pull = float(((self.values - self.center) ** 2).sum())
+        else:
+            sums = self.work.keep(sums)
             totals = {int(r["annotator"][1:]): r["g0"] for r in sums.where(F.col("annotator").startswith("\0")).collect()}
-            if totals:
-                size = len(CATEGORIES)
-                self.prior = np.array([(totals[k] + 1) / (totals[k + size] + 2) for k in range(size)])
-            step = [
-                F.col(f"s{k}") + F.greatest(F.lit(-2.0), F.least(F.lit(2.0),
-                    (F.col(f"g{k}") - ALPHA * (F.col(f"s{k}") - self.center[k])) / (F.col(f"h{k}") + ALPHA)))
-                for k in (0, 1)
-            ]
-            moved = self.tilts.join(sums, "annotator").select("annotator", *(F.greatest(F.lit(-6.0), F.least(F.lit(6.0), c)).alias(f"s{k}") for k, c in enumerate(step)))
-            before, self.tilts = self.tilts, work.keep(moved)
-            work.drop(before)
-            work.drop(sums)
-        self.count = count
+            pull = self.tilts.agg(F.sum(sum((F.col(f"s{k}") - float(self.center[k])) ** 2 for k in (0, 1)))).first()[0] or 0.0
+        if not totals:
+            return False
+        size = len(CATEGORIES)
+        self.duals.append(totals[2 * size] - ALPHA / 2 * pull)
+        self.prior = np.array([(totals[k] + 1) / (totals[k + size] + 2) for k in range(size)])
+        if self.names is not None:
+            at = pc.index_in(pa.array(found["annotator"], pa.string()), self.names).to_numpy(zero_copy_only=False)
+            own = found[~np.isnan(at.astype(float))]
+            at = at[~np.isnan(at.astype(float))].astype(int)
+            g, h = own[["g0", "g1"]].to_numpy(float), own[["h0", "h1"]].to_numpy(float)
+            step = np.clip((g - ALPHA * (self.values[at] - self.center)) / (h + ALPHA), -2, 2)
+            self.values[at] = np.clip(self.values[at] + step, -6, 6)
+        else:
+            moves = [F.greatest(F.lit(-2.0), F.least(F.lit(2.0), (F.col(f"g{k}") - ALPHA * (F.col(f"s{k}") - float(self.center[k]))) / (F.col(f"h{k}") + ALPHA))) for k in (0, 1)]
+            before = self.tilts
+            self.tilts = self.work.keep(before.join(sums, "annotator").select("annotator", *(F.greatest(F.lit(-6.0), F.least(F.lit(6.0), F.col(f"s{k}") + moves[k])).alias(f"s{k}") for k in (0, 1))))
+            self.work.drop(before)
+            self.work.drop(sums)
+        return len(self.duals) < 2 or self.duals[-1] - self.duals[-2] > TOLERANCE * abs(self.duals[-1])
 
     def labels(self) -> DataFrame:
         """item_id, category, consensus, probability, votes, agreement of each item and category that has a vote.
@@ -161,10 +206,10 @@ class Fit:
         """
         prior = self.prior
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                votes, tilt = _unpack(batch)
-                q, _ = posteriors(votes, tilt, prior)
+                votes, tilt = _unpack(batch, known)
+                q, *_ = posteriors(votes, tilt, prior)
                 n, yes = (votes < 2).sum(2), (votes == 1).sum(2)
                 pairs = n * (n - 1) / 2
                 agree = np.divide(yes * (yes - 1) / 2 + (n - yes) * (n - yes - 1) / 2, pairs, out=np.zeros(pairs.shape), where=pairs > 0)
@@ -172,13 +217,13 @@ class Fit:
                 ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), len(CATEGORIES))[keep]
                 names = np.tile(np.array(CATEGORIES, dtype=object), len(q))[keep]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), pa.array(names, pa.string()), pa.array(q.ravel()[keep] > 0.5), pa.array(q.ravel()[keep]),
+                    [pa.array(ids), pa.array(names, pa.string()), pa.array(q.ravel()[keep] > 0.5), pa.array(q.ravel()[keep].astype(float)),
                      pa.array(n.ravel()[keep].astype(np.int32)), pa.array(agree.ravel()[keep], mask=pairs.ravel()[keep] == 0)],
                     ["item_id", "category", "consensus", "probability", "votes", "agreement"],
                 )
 
         schema = "item_id long, category string, consensus boolean, probability double, votes int, agreement double"
-        return _spread(self.items, self.tilts, self.count).mapInArrow(run, schema)
+        return self._applied(lambda known: lambda batches: run(batches, known), schema)
 
 
 def consensus(rows: DataFrame) -> DataFrame:

@@ -43,3 +43,14 @@ def test_nulls_and_empty(spark):
     odd = (2, *[7.0, 1.0, 1.0] * 6, None, None, None, "x", "y")
     found = P.consensus(spark.createDataFrame([nothing, odd, odd, (None, *odd[1:])], SCHEMA)).toPandas()
     assert set(found.item_id) == {2} and len(found) == 12 and (found.votes == 2).all() and (found.agreement == 1).all()
+
+
+def test_dual_rises_to_its_top_by_lookup_and_by_join(spark):
+    frame = spark.createDataFrame(simulate(300)[2], SCHEMA)
+    looked, joined = P.Fit(frame), P.Fit(frame, bound=3)
+    assert 3 < len(looked.duals) < P.PASSES and all(b > a - 1e-3 for a, b in zip(looked.duals, looked.duals[1:]))
+    assert np.allclose(looked.duals, joined.duals, rtol=1e-5)
+    a, b = (f.tilts.toPandas().set_index("annotator").sort_index() for f in (looked, joined))
+    assert (a.index == b.index).all() and np.allclose(a, b, atol=1e-3)
+    a, b = (f.labels().toPandas().sort_values(["item_id", "category"]) for f in (looked, joined))
+    assert (a.consensus.to_numpy() == b.consensus.to_numpy()).all()

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from quellmark.llm import p02_overlap as P
 from quellmark.llm.forms import words
 
@@ -57,3 +59,58 @@ def test_distance():
     assert P.distance_within(list("abcdef"), list("abxdef"), 1) == 1
     assert P.distance_within(list("abcdef"), list("bcdefa"), 1) is None
     assert P.distance_within([], [], 0) == 0
+
+
+def copied_rows(rng, texts=60, copies=9):
+    """Near-copies of texts, each in several rows of every split, and one N-gram that a third of all texts begin with."""
+    vocabulary, rows = [f"w{k}" for k in range(300)], []
+    for k in range(texts):
+        base = [rng.choice(vocabulary) for _ in range(12)]
+        if k % 3 == 0:
+            base[:4] = ["rare", "words", "begin", "it"]
+        near = [*base[:6], "other", *base[7:]]
+        for ws, split in ((base, "development"), (near, "validation"), (near, "test"), (base, "test")):
+            rows += [(len(rows) + j, split, " ".join(ws)) for j in range(rng.randrange(1, copies))]
+    return rows
+
+
+def test_entries_are_distinct_and_hot_ngrams_dealt(spark, monkeypatch):
+    rows = copied_rows(random.Random(8))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        plain_pairs = {tuple(r)[:2] for r in P.overlaps(frame(spark, rows)).collect()}
+        monkeypatch.setattr(P, "hot_grams", lambda grams: [r["g"] for r in grams.groupBy("g").count().where("count > 20").collect()])
+        salted = [tuple(r)[:2] for r in P.overlaps(frame(spark, rows)).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {(i, j) for i, s, a in rows for j, t, b in rows if s == "development" and t != s and plain(words(a), words(b)) <= 1}
+    assert plain_pairs == want and set(salted) == want and len(salted) == len(want)
+
+
+def test_hot_grams(spark):
+    grams = spark.createDataFrame([(7,)] * 5000 + [(k,) for k in range(100, 4000)], "g long")
+    assert P.hot_grams(grams) == [7] and P.hot_grams(grams.limit(0)) == []
+
+
+def test_report_counts_classes(spark):
+    rows = copied_rows(random.Random(2), 20, 5)
+    full = spark.createDataFrame([(*r, f"s{r[0]}") for r in rows], "row_id long, split string, text string, source_id string")
+    datasets = spark.createDataFrame([(f"s{r[0]}", "even" if r[0] % 4 == 0 else "odd") for r in rows if r[0] % 2 == 0], "source_id string, dataset string")
+    pairs = P.overlaps(full).toPandas()
+    split, name = {r[0]: r[1] for r in rows}, {r[0]: ("even" if r[0] % 4 == 0 else "odd") if r[0] % 2 == 0 else None for r in rows}
+    found = {(r["split"], r["dataset"]): tuple(r)[2:] for r in P.report(full, datasets).collect()}
+    assert found
+    for (s, n), (count, touched, equal, mean) in found.items():
+        own = pairs[[split[e] == s and name[e] == n for e in pairs.row_eval]]
+        assert (count, touched, equal) == (len(own), own.row_eval.nunique(), (own.distance == 0).sum()) and abs(mean - own.containment.mean()) < 1e-5
+    assert sum(v[0] for v in found.values()) == len(pairs)
+    assert P.report(full.limit(0), datasets).collect() == []
+
+
+def test_one_sort_orders_as_three():
+    rng = np.random.default_rng(5)
+    doc, least, gram = rng.integers(0, 50, 4000), rng.integers(0, 9, 4000) * 10**9, rng.integers(-(2**63), 2**63, 4000)
+    gram[1000:1100] = gram[0] + np.arange(100)
+    for docs in (50, 2**36):
+        order = P._in_order(doc, least, gram, docs)
+        assert all(np.array_equal(x[order], x[np.lexsort((gram, least, doc))]) for x in (doc, least, gram))

@@ -2,10 +2,10 @@
 
 Every letter has a random ±1 vector; a letter trigram is the product of its letters' vectors, permuted by place; a language's
 prototype bundles the trigrams of labelled words, weighted by the square root of their share, less what all languages
-have in common. A text's vector is the sum of its trigrams' vectors, so its product with a prototype is the sum of the
-trigrams' products, and those are computed once per trigram. Words are assigned to segments by the best path through the words' products,
-where a change of language costs SWITCH; a segment's confidence is the cosine of its vector with the prototype,
-as a share of all languages' (softmax).
+have in common. Words are assigned to segments by the best path through the words' products with the prototypes, which are
+computed once per trigram, where a change of language costs SWITCH. The words of a segment are bundled into the segment's vector;
+its language is the prototype of the largest cosine, its confidence that language's share of all languages' (softmax of the
+cosines, in units of what chance gives).
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ DIM, SAMPLE = 4096, 20_000
 SWITCH, WORDS, LETTERS, SCALE = 20.0, 6, 20, 0.5
 #: The least words of a shorter sentence that stands between sentence ends, and the least confidence in it.
 SHORT, SURE = 3, 0.8
+#: Words whose vectors are held at once while segments are bundled.
+BLOCK = 30_000
 #: Names of users, tags and links end where ideographs begin, as no blank need part them.
 _TOKEN = re.compile(r"https?://[^\s぀-ヿ㐀-鿿]+|[@#][^\W぀-ヿ㐀-鿿]+|([぀-ヿ㐀-鿿])|([^\W\d_぀-ヿ㐀-鿿]+)|([.!?…؟।]+(?![^\s@#぀-ヿ㐀-鿿])|[。！？\n])")
 
@@ -121,6 +123,66 @@ class Profiles:
         return out, np.bincount(owner, minlength=len(words)).astype(np.float32)
 
 
+def word_vectors(words: list[str]) -> np.ndarray:
+    """The bundled trigram vectors of words."""
+    grams, owner = _trigrams(words)
+    unique, index = np.unique(grams, return_inverse=True)
+    vectors = _vectors(unique).astype(np.int16) if len(unique) else np.zeros((0, DIM), np.int16)
+    out = np.zeros((len(words), DIM), np.int16)
+    starts = np.flatnonzero(np.diff(owner, prepend=-1))
+    for a, b in zip(starts, np.append(starts[1:], len(owner))):
+        out[owner[a]] = np.add.reduce(vectors[index[a:b]], axis=0, dtype=np.int16)
+    return out
+
+
+def _bundle(vectors: np.ndarray, codes: np.ndarray, run: int) -> np.ndarray:
+    """The sum of the words' vectors, `run` at a time, which can't overflow."""
+    parts = [np.add.reduce(vectors[codes[k : k + run]], axis=0, dtype=np.int16) for k in range(0, len(codes), run)]
+    return np.sum(parts, axis=0, dtype=np.float32)
+
+
+def _pieces(cut: np.ndarray, end: int) -> Iterator[list[tuple[int, int, int]]]:
+    """(segment, first word, end) of all segments, in blocks of at most BLOCK words; a longer segment goes over several blocks."""
+    block: list[tuple[int, int, int]] = []
+    for k, (a, b) in enumerate(zip(cut.tolist(), [*cut[1:].tolist(), end])):
+        for c in range(a, b, BLOCK):
+            d = min(b, c + BLOCK)
+            if block and d - block[0][1] > BLOCK:
+                yield block
+                block = []
+            block.append((k, c, d))
+    if block:
+        yield block
+
+
+def cosines(words: np.ndarray, codes: np.ndarray, cut: np.ndarray, prototypes: np.ndarray) -> np.ndarray:
+    """The cosine of each segment's bundled vector with each prototype; segment k has the words codes[cut[k] : cut[k + 1]]."""
+    out = np.zeros((len(cut), prototypes.shape[1]), np.float32)
+    rows, sums = [], []
+
+    def flush() -> None:
+        if rows:
+            block = np.stack(sums)
+            out[rows] = block @ prototypes / np.maximum(np.linalg.norm(block, axis=1), 1)[:, None]
+            rows.clear(), sums.clear()
+
+    for block in _pieces(cut, len(codes)):
+        first = block[0][1]
+        own, local = np.unique(codes[first : block[-1][2]], return_inverse=True)
+        vectors = word_vectors(words[own].tolist())
+        run = max(1, 32_000 // max(1, int(vectors.max(initial=1)), -int(vectors.min(initial=-1))))
+        for k, a, b in block:
+            vector = _bundle(vectors, local[a - first : b - first], run)
+            if rows and rows[-1] == k:
+                sums[-1] += vector
+                continue
+            if len(rows) == 256:
+                flush()
+            rows.append(k), sums.append(vector)
+    flush()
+    return out
+
+
 def best_paths(lengths: np.ndarray, scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """The language of every word on its text's best path; all texts step in parallel, the longest first."""
     order = np.argsort(-lengths, kind="stable")
@@ -157,8 +219,8 @@ def segments(texts: list[str | None], profiles: Profiles) -> pd.DataFrame:
     lengths = np.fromiter(map(len, split), np.int64, len(split))
     flat = np.array([w for ws in split for w in ws], dtype=object)
     codes, unique = pd.factorize(flat) if len(flat) else (np.zeros(0, np.int64), np.array([], dtype=object))
-    per_word, count = profiles.scores(list(unique)) if len(unique) else (np.zeros((0, len(LANGUAGES)), np.float32), np.zeros(0))
-    scores, count = per_word[codes], count[codes]
+    per_word = profiles.scores(list(unique))[0] if len(unique) else np.zeros((0, len(LANGUAGES)), np.float32)
+    scores = per_word[codes]
     path = best_paths(lengths, scores)
     text = np.repeat(np.arange(len(split)), lengths)
     cut = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(path, prepend=-1) != 0))
@@ -173,13 +235,14 @@ def segments(texts: list[str | None], profiles: Profiles) -> pd.DataFrame:
     sentence = np.zeros(len(cut), np.int64)
     whole = segment[begun] == segment[ended - 1]
     np.maximum.at(sentence, segment[begun][whole], (ended - begun)[whole])
-    total, grams = np.add.reduceat(scores, cut), np.add.reduceat(count, cut)
-    near = SCALE * total / np.sqrt(np.maximum(grams, 1))[:, None]
+    cosine = cosines(unique, codes, cut, profiles.prototypes)
+    lang = cosine.argmax(1)
+    near = SCALE * DIM**0.5 * cosine
     near = np.exp(near - near.max(1, keepdims=True))
-    confidence = (near / near.sum(1, keepdims=True))[np.arange(len(cut)), path[cut]]
+    confidence = (near / near.sum(1, keepdims=True))[np.arange(len(cut)), lang]
     begin = np.cumsum(lengths) - lengths
     return pd.DataFrame(
-        {"text": text[cut], "first_word": cut - begin[text[cut]], "words": size, "lang": np.array(LANGUAGES, dtype=object)[path[cut]],
+        {"text": text[cut], "first_word": cut - begin[text[cut]], "words": size, "lang": np.array(LANGUAGES, dtype=object)[lang],
          "confidence": confidence.astype(float).round(6), "letters": np.add.reduceat(width, cut), "sentence": sentence}
     )
 

@@ -92,6 +92,20 @@ def test_products_are_the_vectors_products():
     assert count[0] == len(grams) and np.allclose(scores[0], whole, atol=1e-2)
 
 
+def test_cosines_of_bundled_segments(monkeypatch):
+    profiles = P7.Profiles([["der", "die", "das"], ["the", "and", "they"]], [1, 2])
+    words, codes, cut = np.array(["der", "and", "they", "das"], dtype=object), np.array([0, 3, 0, 1, 2, 2, 1, 2, 0, 3, 3]), np.array([0, 3, 8])
+    want = []
+    for a, b in ((0, 3), (3, 8), (8, 11)):
+        vector = sum(P7._vectors(P7._trigrams([words[c]])[0]).astype(float).sum(0) for c in codes[a:b])
+        want.append(vector @ profiles.prototypes / np.linalg.norm(vector))
+    for block in (2, 4, 30_000):
+        monkeypatch.setattr(P7, "BLOCK", block)
+        assert np.allclose(P7.cosines(words, codes, cut, profiles.prototypes), want, atol=1e-4)
+    long = P7.cosines(words, np.zeros(70_000, int), np.array([0]), profiles.prototypes)
+    assert np.allclose(long, P7.cosines(words, np.zeros(1, int), np.array([0]), profiles.prototypes), atol=1e-4)
+
+
 def test_codes(spark):
     rows = [("de-AT", "DE"), (" en ", "EN"), ("xx", None), ("?", None), ("", None), (None, None), ("UND", None), ("zh_CN", "ZH")]
     frame = spark.createDataFrame(rows, "code string, want string")

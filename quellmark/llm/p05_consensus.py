@@ -46,36 +46,39 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def posteriors(votes: np.ndarray, tilt: np.ndarray, prior: np.ndarray, beta: float = BETA) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior of yes [item, category], chance of a yes vote [item, category, vote, truth], part of the dual [item, category]).
+    """(posterior of yes [category, item], chance of a yes vote [truth, vote, category, item], part of the dual [category, item]).
 
-    votes [item, category, vote] holds 0, 1 or 2 (none), tilt [item, vote, truth] the annotators' tilts, prior [category].
+    votes [vote, category, item] holds 0, 1 or 2 (none), tilt [truth, vote, item] the annotators' tilts, prior [category].
     """
-    tilt, there, no = tilt.astype(np.float32)[:, None], (votes < 2)[..., None], (votes == 0)[..., None]
-    yes = (votes == 1)[..., None]
-    item = np.zeros((*votes.shape[:2], 1, 2), np.float32)
+    tilt, there, yes = tilt.astype(np.float32)[:, :, None], (votes < 2).astype(np.float32), (votes == 1).astype(np.float32)
+    no = (votes == 0).astype(np.float32)
+    prior = prior[:, None]
+    item = np.zeros((2, 1, *votes.shape[1:]), np.float32)
     base = np.log(prior / (1 - prior)).astype(np.float32)
     for step in range(3):
         z = tilt + item
         e = np.exp(-z)
-        p = 1 / (1 + e)
-        like = ((-np.log(1 + e) - no * z) * there).sum(2)
-        q = _sigmoid(base + like[..., 1] - like[..., 0])
+        e += 1
+        p = 1 / e
+        like = -((np.log(e) * there) + no * z).sum(1)
+        q = _sigmoid(base + like[1] - like[0])
         if step < 2:
-            weight = np.stack([1 - q, q], -1)[:, :, None] * there
-            slope = (weight * (yes - p)).sum(2, keepdims=True) - beta * item
-            item = item + slope / ((weight * p * (1 - p)).sum(2, keepdims=True) + beta)
-    dual = np.logaddexp(np.log(prior) + like[..., 1], np.log(1 - prior) + like[..., 0]) - beta / 2 * (item[:, :, 0] ** 2).sum(-1)
+            weight = np.stack([1 - q, q])[:, None] * there
+            slope = (weight * (yes - p)).sum(1, keepdims=True) - beta * item
+            item = item + slope / ((weight * p * (1 - p)).sum(1, keepdims=True) + beta)
+    dual = np.logaddexp(np.log(prior) + like[1], np.log(1 - prior) + like[0]) - beta / 2 * (item[:, 0] ** 2).sum(0)
     return q, p, dual
 
 
 def _unpack(batch: pa.RecordBatch, known) -> tuple[np.ndarray, np.ndarray]:
     """Votes, and the tilts of each item's annotators: looked up in `known` (names, tilts), or else in the columns after the votes."""
     votes = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, len(CATEGORIES), VOTES)
+    votes = np.ascontiguousarray(votes.transpose(2, 1, 0))
     if known is not None:
         names, tilts = known.value
-        return votes, tilts[np.stack([pc.index_in(c, names).to_numpy() for c in batch.columns[1:4]], 1)]
-    tilt = np.stack([np.asarray(c.to_numpy(zero_copy_only=False), float) for c in batch.columns[5:]], 1)
-    return votes, tilt.reshape(-1, VOTES, 2)
+        return votes, np.ascontiguousarray(tilts[np.stack([pc.index_in(c, names).to_numpy() for c in batch.columns[1:4]])].transpose(2, 0, 1))
+    tilt = np.stack([np.asarray(c.to_numpy(zero_copy_only=False), float) for c in batch.columns[5:]])
+    return votes, tilt.reshape(VOTES, 2, -1).transpose(1, 0, 2)
 
 
 def _gradients(prior: np.ndarray, known):
@@ -83,15 +86,15 @@ def _gradients(prior: np.ndarray, known):
         for batch in batches:
             votes, tilt = _unpack(batch, known)
             q, p, dual = posteriors(votes, tilt, prior)
-            there = votes < 2
-            weight = np.stack([1 - q, q], -1)[:, :, None] * there[..., None]
-            slope = (weight * ((votes == 1)[..., None] - p)).sum(1)
-            bend = (weight * p * (1 - p)).sum(1)
+            there = (votes < 2).astype(np.float32)
+            weight = np.stack([1 - q, q])[:, None] * there
+            slope = (weight * ((votes == 1) - p)).sum(2)
+            bend = (weight * p * (1 - p)).sum(2)
             names, unique = pd.factorize(np.concatenate([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:4]]))
-            by = [np.bincount(names, v.transpose(1, 0).ravel(), len(unique)) for k in (0, 1) for v in (slope[..., k], bend[..., k])]
+            by = [np.bincount(names, v.ravel(), len(unique)) for k in (0, 1) for v in (slope[k], bend[k])]
             # what the categories' priors and the dual need travels under names that no annotator has
-            held = there.any(2)
-            totals = [*(q * held).sum(0, dtype=float), *held.sum(0), (dual * held).sum(dtype=float)]
+            held = there.any(0)
+            totals = [*(q * held).sum(1, dtype=float), *held.sum(1), (dual * held).sum(dtype=float)]
             zeros = np.zeros(len(totals))
             columns = [np.concatenate([by[0], totals]), *(np.concatenate([b, zeros]) for b in by[1:])]
             ids = pa.array([*unique, *(f"\0{k}" for k in range(len(totals)))], pa.string())
@@ -210,7 +213,7 @@ class Fit:
             for batch in batches:
                 votes, tilt = _unpack(batch, known)
                 q, *_ = posteriors(votes, tilt, prior)
-                n, yes = (votes < 2).sum(2), (votes == 1).sum(2)
+                q, n, yes = q.T, (votes < 2).sum(0).T, (votes == 1).sum(0).T
                 pairs = n * (n - 1) / 2
                 agree = np.divide(yes * (yes - 1) / 2 + (n - yes) * (n - yes - 1) / 2, pairs, out=np.zeros(pairs.shape), where=pairs > 0)
                 keep = n.ravel() > 0

@@ -1,4 +1,4 @@
-"""Importers on fixtures and given tables, and checks of evidence and reports."""
+"""Training, checks of evidence, and reports."""
 
 from __future__ import annotations
 
@@ -18,20 +18,11 @@ from quellmark.streaming.judge import stream_judge
 
 #: Small fixtures, the same for both engines: (columns, rows).
 FIXTURES = {
-    "pairs": ("source_id, toxic, text", [("a1", 1, "you spoon"), ("a2", 0, "good day"), ("a3", 2, "odd")]),
-    "coarse": ("text, coarse, fine", [("x", "OTHER", "OTHER"), ("y", "OFFENSE", "ABUSE"), ("z", "OFFENSE", "OTHER")]),
-    "flags": ("text, hs, abusive", [("x", 0, 0), ("y", 1, 0), ("z", 0, 1), ("w", 0, 2)]),
-    "codes": ("document, label", [("a", "8"), ("b", "7,0,7"), ("c", "8,1"), ("d", ""), ("e", "9")]),
-    "spans": ("id, content, index_spans", [("a", "abc", "[]"), ("b", "abcd", "[1, 2]"), ("c", "ab", "[5]")]),
-    "texts": ("id, text", [("1", "one"), ("2", "two"), ("3", "three")]),
-    "labels": ("id, label", [("1", "NOT"), ("3", "OFF"), ("4", "OFF")]),
-    "community": ("native_id, label, text", [("n1", "toxic", "you turnip"), ("n2", "clean", ""), ("n3", "unsure", "hm")]),
     "panel": ("case_id, language, expected, pair_id, control, evidence, text", [
         ("c1", "EN", True, "p1", "none", "r1", "you are a spoon"), ("c2", "EN", False, "p1", "quotation", "r1", "she said spoon"),
         ("c3", "EN", True, "p2", "none", "r2", "you muppet"), ("c4", "EN", False, "p3", "negation", "r9", "no muppet")]),
     "registry": ("evidence, language", [("r1", "EN"), ("r2", "DE")]),
     "actual": ("case_id, flagged", [("c1", True), ("c2", False), ("c3", False), ("c4", False)]),
-    "pages": ("total, body", [(3, '[{"row_idx": 0, "row": {"text": "you spoon", "toxic": 1}}, {"row_idx": 2, "row": {"text": "good day", "toxic": 0}}, {"row_idx": 7, "row": {"text": "beyond", "toxic": 0}}]')]),
     "runs": ("path, retrained, version, section, stamp", [("a", True, 1, "test", 5), ("b", True, 1, "test", 7), ("c", True, 1, "test", 7), ("d", False, 1, "test", 9)]),
     "timings": ("name, p95", [("en-short", 1.0), ("de-short", 3.0), ("fr-short", 2.0), ("en-long", 9.0), ("de-long", 5.0)]),
 }
@@ -57,12 +48,6 @@ def _votes(s, d):
     return table(s, d, "told_br_alpha").select("item_id", label.alias("label"), reason.alias("reason"))
 
 
-def _corpus_scan(s, d):
-    """Lines of three plain columns (quotes are text here), by split and label as written."""
-    p = F.split("line", "\t", -1)
-    return table(s, d, "corpus_raw").where(F.size(p) == 3).groupBy(p[0].alias("split"), p[1].alias("label")).agg(F.count(F.lit(1)).alias("rows"))
-
-
 def _pairs(s, d):
     p = fixture(s, "panel")
     toxic, clean = p.where("expected").select("pair_id", F.col("case_id").alias("toxic")), p.where("not expected").groupBy("pair_id").agg(F.count(F.lit(1)).alias("controls"))
@@ -128,23 +113,13 @@ def _ablation(s, d):
 
 _EVIDENCE = "case when registry.evidence is null then 'unknown' when registry.language <> panel.language then 'other language' else 'ok' end"
 QUERIES = {
-    "adapter_textdetox": lambda s, d: fixture(s, "pairs").select("source_id", A.binary_label(F.col("toxic")).alias("label"), "text"),
-    "adapter_germeval": lambda s, d: fixture(s, "coarse").select("text", A.coarse_fine_label(F.col("coarse"), F.col("fine")).alias("label")),
-    "adapter_hs_abusive": lambda s, d: fixture(s, "flags").select("text", A.any_flag_label([F.col("hs"), F.col("abusive")]).alias("label")),
-    "adapter_multilabel": lambda s, d: fixture(s, "codes").select("document", A.code_list_label(F.col("label")).alias("verdict")),
-    "adapter_span_json": lambda s, d: fixture(s, "spans").select("id", A.span_label(F.col("content"), F.col("index_spans")).alias("label")),
-    "adapter_label_join": lambda s, d: A.label_join(fixture(s, "texts"), fixture(s, "labels")),
-    "adapter_community": lambda s, d: fixture(s, "community").select(F.concat(F.lit("file/"), "native_id").alias("source_id"), F.when(F.col("label").isin("toxic", "clean"), F.col("label")).alias("label"), F.when(F.col("text") == "", "empty_text").alias("reason")),
     "adapter_vote_consensus": _votes,
-    "parallel_files": lambda s, d: A.by_line(table(s, d, "corpus_raw").select(F.col("raw_id").alias("line"), F.col("line").alias("value")), table(s, d, "corpus_raw").select(F.col("raw_id").alias("line"), F.col("file_name").alias("value"))).select("line", F.length("text").cast("long").alias("length"), "label"),
     "parquet_guard": lambda s, d: table(s, d, "documents").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).select("rows", "bytes", ((F.col("rows") <= 100_000) & (F.col("bytes") <= 64 * 2**20)).alias("within")),
-    "corpus_scan": _corpus_scan,
     "behavior_pairs": _pairs,
     "behavior_evidence": lambda s, d: fixture(s, "panel").alias("panel").join(fixture(s, "registry").alias("registry"), "evidence", "left").select("case_id", F.expr(_EVIDENCE).alias("status")),
     "behavior_report": lambda s, d: fixture(s, "panel").join(fixture(s, "actual"), "case_id").groupBy("language").agg(F.count(F.lit(1)).alias("cases"), F.count_if(F.col("expected") == F.col("flagged")).alias("passed"), F.bool_and(F.col("expected") == F.col("flagged")).alias("passes")),
     "latest_run": lambda s, d: fixture(s, "runs").where("retrained and version = 1 and section = 'test'").agg(F.max(F.struct("stamp", "path")).alias("b")).select("b.path", "b.stamp"),
     "p95_summary": lambda s, d: fixture(s, "timings").groupBy(F.split_part("name", F.lit("-"), F.lit(2)).alias("kind")).agg(F.median("p95").alias("middle"), F.max("p95").alias("worst")),
-    "adapter_textdetox_json": lambda s, d: A.page_rows(fixture(s, "pages").select(F.col("total").alias("num_rows_total"), F.from_json("body", "array<struct<row_idx: long, row: struct<text: string, toxic: int>>>").alias("rows")), "set@1/en"),
     "evidence_check": _evidence_check,
     "verdict_lines": lambda s, d: (lambda t: t.verdicts.select("row_id", K.verdict_line(F.col("score") < 50, F.col("score"), F.lit(None).cast("string"), F.lit(None).cast("string")).alias("line")))(Trained(s, d)),
     "validation_audit": _audit,
@@ -156,20 +131,10 @@ QUERIES = {
 _CATS = ("homophobia", "obscene", "insult", "racism", "misogyny", "xenophobia")
 _VOTE = " + ".join("greatest(" + ", ".join(f"coalesce({c}_{k}, 0)" for c in _CATS) + ")" for k in (1, 2, 3))
 SQL = {
-    "adapter_textdetox": f"{_cte('pairs')} select source_id, case toxic when 1 then 'toxic' when 0 then 'clean' end as label, text from pairs",
-    "adapter_textdetox_json": f"{_cte('pages')}, r as (select total, unnest(cast(body::json as struct(row_idx bigint, row struct(text varchar, toxic int))[])) as r from pages) select format('set@1/en/{{:06d}}', r.row_idx) as source_id, r.row.text as text, case r.row.toxic when 1 then 'toxic' when 0 then 'clean' end as label from r where r.row_idx < total",
     "evidence_check": "select match_id, decode(encode(text)[raw_start + 1:raw_end]) = matched_text as same_text, octet_length(encode(matched_text)) = raw_end - raw_start as same_length from lexicon_matches m join corpus_rows c on c.row_id = m.row_id",
     "verdict_lines": f"with {B.CURVE} select row_id, format('{{{{\"safe\":{{}},\"score\":{{}},\"locale\":null,\"grawlix\":null}}}}', score < 50, score) as line from verdicts",
-    "adapter_germeval": f"{_cte('coarse')} select text, case when coarse = 'OTHER' and fine = 'OTHER' then 'clean' when coarse = 'OFFENSE' and fine in ('INSULT', 'ABUSE', 'PROFANITY') then 'toxic' end as label from coarse",
-    "adapter_hs_abusive": f"{_cte('flags')} select text, case when hs in (0, 1) and abusive in (0, 1) then case when hs = 1 or abusive = 1 then 'toxic' else 'clean' end end as label from flags",
-    "adapter_multilabel": f"{_cte('codes')}, n as (select document, list_distinct(list_transform(string_split(label, ','), lambda c: coalesce(try_cast(c as int), -1))) as l from codes) select document, case when list_min(l) < 0 or list_max(l) > 8 or (list_contains(l, 8) and len(l) > 1) then null when list_contains(l, 8) then 'clean' else 'toxic' end as verdict from n",
-    "adapter_span_json": f"{_cte('spans')}, n as (select *, cast(index_spans::json as int[]) as l from spans) select id, case when len(l) = 0 then 'clean' when list_max(l) < length(content) then 'toxic' end as label from n",
-    "adapter_label_join": f"{_cte('texts', 'labels')} select coalesce(t.id, l.id) as id, text, label, case when l.id is null then 'missing label' when t.id is null then 'unused label' end as problem from texts t full join labels l on t.id = l.id",
-    "adapter_community": f"{_cte('community')} select 'file/' || native_id as source_id, case when label in ('toxic', 'clean') then label end as label, case when length(text) = 0 then 'empty_text' end as reason from community",
     "adapter_vote_consensus": f"with v as (select item_id, {_VOTE} as n from told_br_alpha) select item_id, case when n = 0 then 'clean' when n > 1 then 'toxic' end as label, case when n = 1 then 'ambiguous' end as reason from v",
-    "parallel_files": "select raw_id as line, length(line) as length, file_name as label from corpus_raw",
     "parquet_guard": "select count(*) as rows, sum(octet_length(encode(text)))::bigint as bytes, count(*) <= 100000 and sum(octet_length(encode(text))) <= 67108864 as within from documents",
-    "corpus_scan": "with p as (select string_split(line, chr(9)) as p from corpus_raw) select p[1] as split, p[2] as label, count(*) as rows from p where len(p) = 3 group by all",
     "behavior_pairs": f"{_cte('panel')}, t as (select pair_id, case_id from panel where expected), c as (select pair_id, count(*) as n from panel where not expected group by 1) select coalesce(t.pair_id, c.pair_id) as pair_id, case when case_id is null then 'unknown pair' when n is null then 'missing control' when n > 1 then 'duplicate control' else 'ok' end as status from t full join c on t.pair_id = c.pair_id",
     "behavior_evidence": f"{_cte('panel', 'registry')} select case_id, {_EVIDENCE} as status from panel left join registry on panel.evidence = registry.evidence",
     "behavior_report": f"{_cte('panel', 'actual')} select language, count(*) as cases, count(*) filter (expected = flagged) as passed, bool_and(expected = flagged) as passes from panel join actual using (case_id) group by 1",

@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = (
-    "operators.row_parsing", "operators.dedupe", "plans.model_queries", "plans.text_queries", "plans.rule_queries", "plans.adapter_queries",
+    "operators.row_parsing", "operators.dedupe", "plans.model_queries", "plans.text_queries", "plans.rule_queries", "plans.adapter_queries", "plans.import_queries", "plans.language_queries",
 )
 
 

@@ -16,13 +16,8 @@ from quellmark.plans.text_queries import SQL as TEXT_SQL
 from quellmark.plans.text_queries import _matches, _SPANS
 from quellmark.runtime import Workspace, table
 
-#: Languages in registry order, a tie-breaker.
-REGISTRY = ("EN", "ZH", "ES", "AR", "MS", "PT", "FR", "HI", "RU", "JA", "DE", "TR", "VI", "KO", "IT", "ID")
 #: Characters of a mask, in turn.
 MASK = "@#$%&!"
-#: Distinct features that language detection reads, and the least for a reliable answer.
-FEATURES, LEAST = 500, 3
-
 
 def found(s, d):
     return Workspace(s, "rules").keep(R.phrase_hits(table(s, d, "corpus_rows")))
@@ -102,55 +97,6 @@ def _masked(s, d):
     return rows.select("row_id", "text", "spans").mapInArrow(_mask, "row_id long, masked string")
 
 
-def _lang_rows(s, d):
-    code = F.upper("detector_language")
-    return table(s, d, "prepared_rows").select("source_id", F.when(code.isin(*REGISTRY), code).alias("lang"), "text")
-
-
-def _features(s, d):
-    """The first 500 distinct words of each text."""
-    first = F.slice(F.array_distinct(X.words(F.lower("text"))), 1, FEATURES)
-    return _lang_rows(s, d).select("source_id", "lang", first.alias("fs"))
-
-
-def _profiles(features):
-    """Per language and word: in how many of 1,000 texts it occurs."""
-    counts = features.where("lang is not null").select("lang", F.explode("fs").alias("f")).groupBy("lang", "f").agg(F.count(F.lit(1)).alias("n"))
-    totals = features.where("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("total"))
-    return counts.join(F.broadcast(totals), "lang").select("lang", "f", F.floor(F.col("n") * 1000 / F.col("total")).alias("weight")).where("weight > 0")
-
-
-def _raw(s, d):
-    """1 and the weights of a text's words, per language that has any."""
-    features = Workspace(s, "lang").keep(_features(s, d))
-    spread = features.select("source_id", F.explode("fs").alias("f"))
-    return spread.join(_profiles(features), "f").groupBy("source_id", "lang").agg((1 + F.sum("weight")).alias("raw"))
-
-
-def _index():
-    return F.coalesce(*(F.when(F.col("lang") == c, F.lit(k)) for k, c in enumerate(REGISTRY)))
-
-
-def _ranked(s, d):
-    w = Window.partitionBy("source_id").orderBy(F.desc("raw"), _index())
-    return _raw(s, d).withColumn("rank", F.row_number().over(w)).withColumn("second", F.lead("raw", 1, 0).over(w))
-
-
-def _detected(s, d):
-    """The first language, reliable with enough words and a lead of a tenth."""
-    sizes = _features(s, d).select("source_id", "lang", F.size("fs").cast("long").alias("n")).withColumnRenamed("lang", "code")
-    top = _ranked(s, d).where("rank = 1").select("source_id", "lang", "raw", "second")
-    reliable = (F.col("n") >= LEAST) & (10 * (F.col("raw") - F.col("second")) >= F.col("raw"))
-    return sizes.join(top, "source_id", "left").select("source_id", "code", "lang", F.coalesce(reliable, F.lit(False)).alias("reliable"))
-
-
-def _routes(s, d):
-    r = _detected(s, d).withColumn("expected", F.coalesce("code", F.lit("unsupported")))
-    right, known = F.col("lang") == F.col("expected"), F.col("reliable")
-    cells = r.groupBy("expected").agg(F.count_if(known & right).alias("correct"), F.count_if(~known).alias("unknown"), F.count_if(known & ~right).alias("misrouted"), F.count(F.lit(1)).alias("n"))
-    return cells.select("expected", "correct", "unknown", "misrouted", F.round(F.col("correct") / F.col("n"), 6).alias("rate"))
-
-
 def _intents(s, d):
     return R.nearest_intent(found(s, d)).select("row_id", "h_first", "intent")
 
@@ -218,14 +164,6 @@ QUERIES = {
     "evidence_sorted": lambda s, d: judged(s, d).groupBy("row_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "last", "event"))), lambda x: F.concat_ws(":", x["first"], x["last"], x["event"])), ";").alias("evidence")),
     "span_merge": _merged,
     "grawlix_mask": _masked,
-    "lang_features": lambda s, d: _features(s, d).select("source_id", F.size("fs").cast("long").alias("features")),
-    "lang_profile_join": lambda s, d: _profiles(_features(s, d)),
-    "lang_raw_scores": _raw,
-    "lang_rank": lambda s, d: _ranked(s, d).select("source_id", "lang", "rank"),
-    "lang_margin": lambda s, d: _ranked(s, d).where("rank = 1").select("source_id", (F.col("raw") - F.col("second")).alias("margin")),
-    "lang_detect": lambda s, d: _detected(s, d).select("source_id", "lang", "reliable"),
-    "route_rates": _routes,
-    "highest_locale": lambda s, d: _raw(s, d).groupBy("source_id").agg(F.max(F.struct("raw", _index().alias("k"), "lang")).alias("b")).select("source_id", "b.lang", "b.raw"),
 }
 
 _PACK = "pack as materialized (select * from (values " + ", ".join(f"('{r}', '{p}', {len(p.split())})" for r, ps in R.PACK.items() for p in ps) + ") as p(role, phrase, n))"
@@ -274,14 +212,6 @@ def _shown_sql(source: str, where: str = "true") -> str:
 
 
 _CELLS = "max(case when event in ('threat', 'wish', 'self_harm') and suppressor is null then points else 0 end) as threat_language, max(case when event = 'insult' and suppressor is null then points else 0 end) as targeted_abuse, max(case when event = 'sentiment' and suppressor is null then points else 0 end) as sentiment_support"
-_CODE = "case when upper(detector_language) in (" + ", ".join(f"'{c}'" for c in REGISTRY) + ") then upper(detector_language) end"
-_FS = f"""words as (select source_id, {_CODE} as code, regexp_extract_all(lower(text), '{B.WORD}') as ws from prepared_rows), spread as (select source_id, code, unnest(ws) as f, generate_subscripts(ws, 1) as k from words),
-firsts as (select source_id, code, f, min(k) as k from spread group by all), fs as materialized (select source_id, code, f from (select *, row_number() over (partition by source_id order by k) as n from firsts) where n <= {FEATURES}),
-totals as (select {_CODE} as lang, count(*) as total from prepared_rows where {_CODE} is not null group by 1),
-profile as materialized (select code as lang, f, floor(count(*) * 1000 / any_value(total))::bigint as weight from fs join totals on lang = code group by code, f having floor(count(*) * 1000 / any_value(total)) > 0),
-raws as materialized (select source_id, lang, (1 + sum(weight))::bigint as raw from fs join profile using (f) group by all),
-ranks as materialized (select *, row_number() over w as rank, lead(raw, 1, 0) over w as second from raws window w as (partition by source_id order by raw desc, list_position([{", ".join(f"'{c}'" for c in REGISTRY)}], lang)))"""
-_DETECT = f"{_FS}, sizes as (select w.source_id, any_value(w.code) as code, count(f.f) as n from words w left join fs f on f.source_id = w.source_id group by 1), detected as (select s.source_id, code, lang, coalesce(n >= {LEAST} and 10 * (raw - second) >= raw, false) as reliable from sizes s left join (select * from ranks where rank = 1) r on r.source_id = s.source_id)"
 _MERGED = f"{_SPANS}, m as (select distinct row_id, first, last from spans), fr as (select *, max(last) over (partition by row_id order by first, last rows between unbounded preceding and 1 preceding) as far from m), isl as (select *, sum((far is null or first > far)::int) over (partition by row_id order by first, last rows unbounded preceding) as island from fr), merged as materialized (select row_id, min(first) as first, max(last) as last from isl group by row_id, island)"
 
 SQL = {
@@ -309,12 +239,4 @@ SQL = {
     "es_semantic": f"with {_EVENTS} select row_id, max(points) as points from events where event in ('threat', 'wish', 'self_harm') group by 1",
     "span_merge": f"with {_MERGED} select row_id, first::int as first, last::int as last from merged",
     "grawlix_mask": rf"with {_MERGED}, ch as (select c.row_id, k, text[k] as x from corpus_rows c, lateral (select unnest(generate_series(1, length(text))) as k) where row_id in (select row_id from merged)), mk as (select ch.row_id, k, case when m.row_id is not null and not regexp_matches(x, '\s') then substr('{MASK}', ((k - 1 - m.first) % {len(MASK)} + 1)::int, 1) else x end as y from ch left join merged m on m.row_id = ch.row_id and k > m.first and k <= m.last) select row_id, string_agg(y, '' order by k) as masked from mk group by row_id",
-    "lang_features": f"with {_FS} select w.source_id, count(f.f) as features from words w left join fs f on f.source_id = w.source_id group by 1",
-    "lang_profile_join": f"with {_FS} select * from profile",
-    "lang_raw_scores": f"with {_FS} select * from raws",
-    "lang_rank": f"with {_FS} select source_id, lang, rank::int as rank from ranks",
-    "lang_margin": f"with {_FS} select source_id, raw - second as margin from ranks where rank = 1",
-    "lang_detect": f"with {_DETECT} select source_id, lang, reliable from detected",
-    "route_rates": f"with {_DETECT}, e as (select *, coalesce(code, 'unsupported') as expected from detected) select expected, count(*) filter (reliable and lang = expected) as correct, count(*) filter (not reliable) as unknown, count(*) filter (reliable and lang <> expected) as misrouted, round(count(*) filter (reliable and lang = expected) / count(*), 6) as rate from e group by 1",
-    "highest_locale": f"with {_FS}, r as (select *, row_number() over (partition by source_id order by raw desc, list_position([{', '.join(repr(c) for c in REGISTRY)}], lang) desc) as k from raws) select source_id, lang, raw from r where k = 1",
 }

@@ -155,7 +155,6 @@ QUERIES = {
     "surface_patterns": lambda s, d: _lex(s, d).select("id", F.explode(F.when(F.coalesce("pos", F.lit("n")).isin("n", "a") & ~F.contains("lemma", F.lit(" ")), F.array_distinct(F.array("lemma", F.when(F.col("lemma").endswith("z"), F.concat(F.expr("left(lemma, length(lemma) - 1)"), F.lit("ces"))).when(F.col("lemma").rlike("[aeiou]$"), F.concat("lemma", F.lit("s"))).when(F.col("lemma").endswith("l"), F.concat("lemma", F.lit("es"))).otherwise(F.col("lemma"))))).otherwise(F.array("lemma"))).alias("surface")),
     "hash_word_unigram": lambda s, d: _lex(s, d).select("id", F.expr("aggregate(transform(sequence(1, octet_length(lemma)), k -> cast(conv(hex(substring(cast(lemma as binary), k, 1)), 16, 10) as int)), aggregate(array(87, 1, 0), 8997, (h, b) -> ((h ^ b) * 435) & 65535), (h, b) -> ((h ^ b) * 435) & 65535)").alias("bin")),
     "hash_char_gram": lambda s, d: QUERIES["char_ngrams"](s, d).select("id", "gram", F.expr("aggregate(transform(sequence(1, octet_length(gram)), k -> cast(conv(hex(substring(cast(gram as binary), k, 1)), 16, 10) as int)), aggregate(array(67, 3), 8997, (h, b) -> ((h ^ b) * 435) & 65535), (h, b) -> ((h ^ b) * 435) & 65535)").alias("bin")),
-    "lexicon_scan": lambda s, d: _lex(s, d).select("id", F.regexp_extract("id", "^[A-Za-z]+", 0).alias("language"), F.trim("lemma").alias("lemma"), (F.col("stereotype") == "yes").alias("stereotype"), F.col("level").isin("conservative", "inclusive").alias("known_level")),
     "lexicon_match": lambda s, d: lemma_hits(s, d).groupBy("row_id", "id").agg(F.count(F.lit(1)).alias("hits")),
     "lexicon_match_views": lambda s, d: view_matches(rows(s, d), _lex(s, d)),
     "lexicon_match_phrases": _phrases,
@@ -216,7 +215,6 @@ SQL = {
     "surface_patterns": "select distinct id, unnest(case when coalesce(pos, 'n') in ('n', 'a') and not contains(lemma, ' ') then [lemma, case when lemma like '%z' then left(lemma, length(lemma) - 1) || 'ces' when regexp_matches(lemma, '[aeiou]$') then lemma || 's' when lemma like '%l' then lemma || 'es' else lemma end] else [lemma] end) as surface from lexicon_de",
     "hash_word_unigram": f"select id, {B.fnv16('[87, 1, 0]', 'lemma')}::int as bin from lexicon_de",
     "hash_char_gram": f"select id, gram, {B.fnv16('[67, 3]', 'gram')}::int as bin from ({_GRAMS})",
-    "lexicon_scan": "select id, regexp_extract(id, '^[A-Za-z]+') as language, trim(lemma) as lemma, stereotype = 'yes' as stereotype, level in ('conservative', 'inclusive') as known_level from lexicon_de",
     "lexicon_match": f"with {_LEMMAS} select row_id, id, count(*) as hits from hits group by all",
     "lexicon_match_phrases": f"with p as (select row_id, regexp_extract_all(unnest(regexp_split_to_array(lower(text), '{_CLAUSES}')), '{B.WORD}') as ws from corpus_rows), r as (select row_id, array_to_string(ws[i:i + n - 1], ' ') as phrase from p, (select unnest([2, 3]) as n), lateral (select unnest(generate_series(1, len(ws) - n + 1)) as i)) select row_id, phrase, count(*) as hits from r where phrase in ({', '.join(repr(p) for p in PHRASES)}) group by all",
     "lexicon_markers": f"with {_LEMMAS}, c as (select distinct row_id, category from hits) select row_id, 'lexhit' || string_agg(' lexcat' || category, '' order by category) as markers from c group by row_id",

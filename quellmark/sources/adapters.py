@@ -1,42 +1,10 @@
-"""Importers of labelled corpora: from the columns of each format to source_id, text, label, reason of exclusion."""
+"""Labels of the corpus formats, as column expressions; null where a row is illegal. The files are read by `importers`."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quellmark.functions.text import unescape
-
-#: Header of a corpus file.
-CORPUS_HEADER = ["split", "label", "text"]
-
-
-def corpus_file(spark: SparkSession, path: str) -> DataFrame:
-    """A corpus file with header and escapes; a wrong header or column count fails the read."""
-    lines = spark.read.text(path, lineSep="\n").where("value <> ''")
-    parts = F.split("value", "\t", -1)
-    checked = lines.where(F.col("value") != "\t".join(CORPUS_HEADER)).select(parts.alias("p"), F.assert_true(F.size(parts) == 3, F.lit("a line hasn't three columns")).alias("ok"))
-    return checked.select(F.col("p")[0].alias("split"), F.col("p")[1].alias("label"), unescape(F.col("p")[2]).alias("text"), "ok").drop("ok")
-
-
-def delimited(spark: SparkSession, path: str, columns: list[str], sep: str = "\t", quoted: bool = False, header: bool = True) -> DataFrame:
-    """A delimited file read with its exact columns as strings; malformed lines fail the read."""
-    schema = ", ".join(f"`{c}` string" for c in columns)
-    return spark.read.csv(path, schema=schema, sep=sep, quote='"' if quoted else "", header=header, enforceSchema=False if header else None, mode="FAILFAST")
-
-
-def json_pages(spark: SparkSession, path: str, prefix: str) -> DataFrame:
-    """Pages of {rows: [{row_idx, row: {text, toxic}}], num_rows_total}: one row per entry, named by its index."""
-    schema = "num_rows_total long, rows array<struct<row_idx: long, row: struct<text: string, toxic: int>>>"
-    return page_rows(spark.read.json(path, schema=schema, multiLine=True), prefix)
-
-
-def page_rows(pages: DataFrame, prefix: str) -> DataFrame:
-    """source_id, text, label of pages already read; entries beyond the stated total are left out."""
-    entry = pages.select("num_rows_total", F.explode("rows").alias("r")).where("r.row_idx < num_rows_total")
-    return entry.select(F.format_string(f"{prefix}/%06d", "r.row_idx").alias("source_id"), "r.row.text", binary_label(F.col("r.row.toxic")).alias("label"))
-
-
 def binary_label(flag: Column) -> Column:
     return F.when(flag == 1, "toxic").when(flag == 0, "clean")
 

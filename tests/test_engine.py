@@ -14,7 +14,7 @@ from quellmark.operators.lexicon import view_matches
 from quellmark.operators.ordering import nearest_rank, running
 from quellmark.operators.rules import events, phrase_hits, suppressed
 from quellmark.plans import adapter_queries as Q
-from quellmark.sources import adapters, sinks
+from quellmark.sources import sinks
 
 WORDS = "room poll garden report friend train picture rule page soup story lunch".split()
 
@@ -120,19 +120,6 @@ def test_rules(spark):
     assert got == {(0, "insult"): None, (1, "insult"): "negated", (2, "insult"): "quoted", (3, "insult"): "reported"}
 
 
-def test_files(spark, rows, tmp_path):
-    path = tmp_path / "c.tsv"
-    path.write_text("split\tlabel\ttext\ntest\tclean\ta\\tb\n\ndevelopment\ttoxic\tx\n")
-    assert sorted(map(tuple, adapters.corpus_file(spark, str(path)).collect())) == [("development", "toxic", "x"), ("test", "clean", "a\tb")]
-    page = tmp_path / "p.json"
-    page.write_text('{"num_rows_total": 2, "rows": [{"row_idx": 0, "row": {"text": "a", "toxic": 1}}, {"row_idx": 5, "row": {"text": "b", "toxic": 0}}]}')
-    assert [tuple(r) for r in adapters.json_pages(spark, str(page), "d@1/en").collect()] == [("d@1/en/000000", "a", "toxic")]
-    sinks.write_corpus(rows, str(tmp_path / "out"))
-    lines = [r[0] for r in spark.read.text(str(tmp_path / "out")).collect()]
-    assert len(lines) == 900
+def test_verdict_line(spark):
     line = spark.range(1).select(sinks.verdict_line(F.lit(True), F.lit(0.0), F.lit(None).cast("string"), F.lit(None).cast("string"))).first()[0]
     assert line == '{"safe":true,"score":0.0,"locale":null,"grawlix":null}'
-    bad = tmp_path / "bad.tsv"
-    bad.write_text("split\tlabel\ttext\ntest\tclean\n")
-    with pytest.raises(Exception):
-        adapters.corpus_file(spark, str(bad)).collect()

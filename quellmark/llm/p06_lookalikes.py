@@ -28,12 +28,14 @@ LOOKALIKES = {
     "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ": "ABEZHIKMNOPTYX",
     "ονϲϳ": "ovcj",
     "ɑɡıоԍ": "agıoG",
+    "ՍՏՕԼհոսօցզյ": "USOLhnuogqj",
+    "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎽᏀᏃᏎᏒᏔᏙᏚᏞᏟᏢᏦᏴ": "DRTAJEWMHYGZ4RWVSLCPKB",
     "‐‑‒": "---",
     "’‘": "''",
 }
 
 #: Code points that the rules below look at: no other holds spaces, widths or invisible characters.
-BLOCKS = ((0x80, 0x3400), (0xF900, 0x14000), (0x1BC00, 0x1BD00), (0x1D100, 0x1D200), (0xE0000, 0xE0100))
+BLOCKS = ((0x80, 0x3400), (0xF900, 0x14000), (0x1BC00, 0x1BD00), (0x1D100, 0x1D200), (0x1D400, 0x1D800), (0xE0000, 0xE0100))
 
 
 def _characters() -> dict[str, str]:
@@ -47,6 +49,7 @@ def _characters() -> dict[str, str]:
         for char, form in zip(row, forms, strict=True):
             if char != form:
                 put(char, form)
+    looks = str.maketrans(out)
     for point in chain(*(range(*r) for r in BLOCKS)):
         char = chr(point)
         kind, how = unicodedata.category(char), unicodedata.decomposition(char).partition(" ")[0]
@@ -54,8 +57,9 @@ def _characters() -> dict[str, str]:
             put(char, " ")
         elif kind == "Cf" and not 0x600 <= point < 0x900:  # invisible, but for the signs of Arabic script
             put(char, "")
-        elif 0xFB00 <= point <= 0xFB06 or how in ("<wide>", "<narrow>"):
-            put(char, unicodedata.normalize("NFKC", char))
+        elif 0xFB00 <= point <= 0xFB06 or how in ("<wide>", "<narrow>", "<font>"):
+            # letters of another style or width; what they stand for may itself be a look-alike
+            put(char, unicodedata.normalize("NFKC", char).translate(looks))
     for form in out.values():
         if any(c in out for c in form):
             raise ValueError(f"{form!r} is mapped again")

@@ -11,16 +11,19 @@ MODULES = (
     "p01_splits", "p02_overlap", "p04_duplicates", "p05_consensus", "p06_lookalikes", "p07_languages", "p08_packing", "p09_leakage", "p10_truncation",
 )
 
+#: Imported with this module: where one of them can't be, none is offered.
+_LOADED = [import_module(f"quellmark.llm.{name}") for name in MODULES]
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-    for name in MODULES:
-        found |= import_module(f"quellmark.llm.{name}").QUERIES
+    for module in _LOADED:
+        found |= module.QUERIES
     return found
 
 
 def oracle_sql() -> dict[str, str]:
     found: dict[str, str] = {}
-    for name in MODULES:
-        found |= getattr(import_module(f"quellmark.llm.{name}"), "SQL", {})
+    for module in _LOADED:
+        found |= getattr(module, "SQL", {})
     return found

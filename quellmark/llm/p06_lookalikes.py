@@ -66,6 +66,17 @@ def _characters() -> dict[str, str]:
     return out
 
 
+def _class(chars: str) -> str:
+    """The inside of a character class, in ranges: beyond the basic plane single characters would be tried one by one."""
+    out, points = [], sorted({ord(c) for c in chars})
+    for k, p in enumerate(points):
+        if k and p == points[k - 1] + 1:
+            out[-1][1] = p
+        else:
+            out.append([p, p])
+    return "".join(f"\\U{a:08x}" if a == b else f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+
 class Transducer:
     """Applies a one-pass mapping of characters and clusters; text without anything mapped is returned as it is."""
 
@@ -78,8 +89,9 @@ class Transducer:
             c for c in map(chr, range(0xC0, 0x2000))
             if "<" not in (d := unicodedata.decomposition(c)) and d and any(x in characters for x in unicodedata.normalize("NFD", c))
         ]
-        singles = "".join(re.escape(c) for c in [*characters, *composed])
-        hidden = "".join(re.escape(c) for c, f in characters.items() if not f)
+        singles = _class("".join([*characters, *composed]))
+        hidden = _class("".join(c for c, f in characters.items() if not f))
+        marks = _class(marks)
         # a base letter and its marks, with what is invisible between them, before runs of mapped characters
         self.clusters = re.compile(f"[^{marks}][{hidden}]*[{marks}][{marks}{hidden}]*|[{singles}]+(?![{marks}])|[{singles}]")
         # the same language where no mark occurs

@@ -67,12 +67,10 @@ class Judge:
         scored = raw.withColumn("score", L.scaled(F.col("raw"), F.lit(self.boundary), F.lit(self.scale)))
         return scored.select("row_id", "score", (F.col("score") < 50).alias("safe"))
 
-    def judge_with_rules(self, messages: DataFrame) -> DataFrame:
+    def judge_with_rules(self, messages: DataFrame, lang: str = "EN", pack: list[tuple[str, str, str]] | None = None) -> DataFrame:
         """row_id, score, safe: the larger of model and rules; the model counts at most 49 where a rule's event was suppressed."""
-        found = Workspace(messages.sparkSession, "rules").keep(R.phrase_hits(messages))
-        events = R.suppressed(found, R.events(found)).groupBy("row_id").agg(
-            F.max(F.when(F.col("suppressor").isNull(), F.col("points")).otherwise(0)).alias("rule"), F.bool_or(F.col("suppressor").isNotNull()).alias("capped")
-        )
+        lang = F.col("lang") if "lang" in messages.columns else F.lit(lang)
+        events = R.scored(R.events(messages.withColumn("lang", lang), pack))
         both = self.judge(messages).join(events, "row_id", "left")
         model = F.when(F.coalesce("capped", F.lit(False)), F.least("score", F.lit(49))).otherwise(F.col("score"))
         score = F.greatest(F.coalesce("rule", F.lit(0)), model)

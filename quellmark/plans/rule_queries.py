@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quellmark.functions import text as X
+from quellmark.operators import rule_pack as P
 from quellmark.operators import rules as R
 from quellmark.plans import sqlbits as B
 from quellmark.plans.model_queries import Trained
@@ -19,23 +20,36 @@ from quellmark.runtime import Workspace, table
 #: Characters of a mask, in turn.
 MASK = "@#$%&!"
 
-def found(s, d):
-    return Workspace(s, "rules").keep(R.phrase_hits(table(s, d, "corpus_rows")))
+#: Languages of words that the pack knows; other messages are read as English.
+LANGS = tuple(dict.fromkeys(lang for lang, *_ in P.default_pack()))
+SPOKEN = tuple(c for c in LANGS if c not in P.COMPACT)
 
 
-def made(s, d):
-    f = found(s, d)
-    w = Workspace(s, "events")
-    return f, w.keep(R.events(f))
+def messages(s, d):
+    """row_id, lang, text of the corpus rows, with the language of their prepared row, and of the fixture's paired messages."""
+    code = F.upper(F.trim("detector_language"))
+    codes = table(s, d, "prepared_rows").select("source_id", F.when(code.isin(*LANGS), code).alias("code"))
+    rows = table(s, d, "corpus_rows").select("row_id", "source_id", "text").join(codes, "source_id", "left")
+    rows = rows.where("row_id is not null and text is not null").select("row_id", F.coalesce("code", F.lit("EN")).alias("lang"), "text")
+    return rows.union(s.createDataFrame([m[:3] for m in P.MESSAGES], "row_id long, lang string, text string"))
+
+
+def spoken(s, d):
+    return messages(s, d).where(F.col("lang").isin(*SPOKEN))
 
 
 def judged(s, d):
-    f, e = made(s, d)
-    return R.suppressed(f, e)
+    return R.events(spoken(s, d))
+
+
+def _shown(s, d, event):
+    return judged(s, d).where(F.col("event") == event).select("row_id", "event", "first", "last", "points")
 
 
-def _shown(df):
-    return df.select("row_id", "event", "first", "last", "points")
+def _exact(s, d):
+    """Events of propositions that are one implicit phrase."""
+    rows = [r for r in P.default_pack() if r[1] in R.IMPLICIT or r[1] in ("boundary", "report", "counterspeech")]
+    return R.events(spoken(s, d), rows).select("row_id", "event", "first", "last", "suppressor")
 
 
 def _scores(s, d):
@@ -46,11 +60,10 @@ def _scores(s, d):
 
 
 def _clause_sentiment(s, d):
-    """Per message the largest clause sum of sentiment phrases (1 each, 2 after a negator in the clause), at most 8."""
-    f = found(s, d)
-    per = f.where(F.col("role").isin("sentiment", "negator")).groupBy("row_id", "clause").agg(
-        F.count_if(F.col("role") == "sentiment").alias("n"), F.bool_or(F.col("role") == "negator").alias("neg"))
-    return per.groupBy("row_id").agg(F.max(F.least(F.lit(8), F.col("n") * F.when(F.col("neg"), 2).otherwise(1))).alias("sentiment"))
+    """Per message the largest proposition sum of sentiment phrases (1 each, 2 after a negator in the clause), at most 8."""
+    found = R.phrase_hits(spoken(s, d)).where(F.col("role").isin("sentiment", "negator"))
+    per = found.groupBy("row_id").agg(F.count_if(F.col("role") == "sentiment").alias("n"), F.bool_or(F.col("role") == "negator").alias("neg"))
+    return per.select("row_id", F.least(F.lit(8), F.col("n") * F.when(F.col("neg"), 2).otherwise(1)).alias("sentiment"))
 
 
 def _budget(s, d):
@@ -63,8 +76,7 @@ def _budget(s, d):
 
 def _fused(s, d):
     """The larger of rule points and model score, the model at most 49 where an event was suppressed."""
-    j = judged(s, d).groupBy("row_id").agg(F.max(F.when(F.col("suppressor").isNull(), F.col("points")).otherwise(0)).alias("rule"), F.bool_or(F.col("suppressor").isNotNull()).alias("capped"))
-    v = Trained(s, d).verdicts.select("row_id", "score").join(j, "row_id", "left")
+    v = Trained(s, d).verdicts.select("row_id", "score").join(R.scored(judged(s, d)), "row_id", "left")
     model = F.when(F.coalesce("capped", F.lit(False)), F.least("score", F.lit(49))).otherwise(F.col("score"))
     return v.select("row_id", F.greatest(F.coalesce("rule", F.lit(0)), model).cast("int").alias("score"))
 
@@ -97,146 +109,120 @@ def _masked(s, d):
     return rows.select("row_id", "text", "spans").mapInArrow(_mask, "row_id long, masked string")
 
 
-def _intents(s, d):
-    return R.nearest_intent(found(s, d)).select("row_id", "h_first", "intent")
-
-
-def _targets(s, d):
-    f = found(s, d)
-    return R._near_target(R.nearest_intent(f), f, "h_first", "h_last", F.coalesce(F.col("intent"), F.lit(0))).select("row_id", "h_first", "target")
-
-
-def _es_suppression(s, d):
-    """Events with a negator at most three words before them in their scope, or a report marker there, or quoted."""
-    f, e = made(s, d)
-    marks = f.where(F.col("role").isin("negator", "report")).select("row_id", F.col("scope").alias("m_scope"), F.col("last").alias("m_last"))
-    near = (F.col("m_scope") == F.col("scope")) & (F.col("m_last") <= F.col("first")) & (F.col("first") - F.col("m_last") <= 3)
-    hit = e.join(marks, "row_id", "left").groupBy("row_id", "event", "first", "last", "quoted").agg(F.max(F.when(near, 1).otherwise(0)).alias("n"))
-    return hit.select("row_id", "event", "first", "last", ((F.col("n") == 1) | F.col("quoted")).alias("suppressed"))
-
-
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            past, hits = 0, sorted(R.hits(text), key=lambda h: (h[1], -h[2])) if text else []
-            for role, first, last, *_ in hits:
-                if role == "harm" and first >= past and any(r == "target" and 0 <= a - last <= 5 for r, a, *_ in hits):
-                    rows.append((i, first, last))
-                if first >= past:
-                    past = last
-        columns = list(zip(*rows)) if rows else [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()))], ["row_id", "first", "last"])
-
-
-def _compact(s, d):
-    """Messages in scripts without word gaps: insults of a target within 8 characters in a stretch without punctuation."""
-    t = F.regexp_replace(X.normalize_generic(F.col("text")), r"\s+", "")
-    parts = table(s, d, "corpus_rows").select("row_id", F.explode(F.split(t, r"[\p{P}\p{S}]+", -1)).alias("part"))
-    return parts.where(F.col("part").rlike("你.{0,8}(小丑|土豆|糊涂虫)")).groupBy("row_id").agg(F.count(F.lit(1)).alias("stretches"))
+def _threat_list(s, d):
+    return R._applied(messages(s, d).where("lang = 'ES'"), None, "row_id long, first int, last int", R.listed_threats)
 
 
 _AREAS = ("profanity", "targeted_abuse", "threat_language", "sentiment_support")
 QUERIES = {
-    "phrase_find": lambda s, d: found(s, d).select("row_id", "role", "first", "last"),
-    "propositions": lambda s, d: found(s, d).groupBy("row_id").agg(F.countDistinct("prop").alias("props"), F.max("prop").alias("last_prop")),
-    "asof_intent": _intents,
-    "proximity_target": _targets,
-    "rule_threat": lambda s, d: _shown(R.threats(found(s, d))),
-    "rule_wish": lambda s, d: _shown(R.wishes(found(s, d))),
-    "rule_insult": lambda s, d: _shown(R.insults(found(s, d))),
-    "rule_self_harm": lambda s, d: _shown(R.self_harm(found(s, d))),
-    "rule_sentiment": lambda s, d: _shown(made(s, d)[1].where("event = 'sentiment'")),
-    "exact_phrase_event": lambda s, d: table(s, d, "corpus_rows").select("row_id", F.explode(F.transform(X.clause_parts(F.lower("text")), lambda p: F.array_join(X.words(p), " "))).alias("clause")).where(F.col("clause").isin("reporter", "melder", "note")).select("row_id", "clause"),
-    "rule_suppression": lambda s, d: judged(s, d).select("row_id", "event", "first", "last", "suppressor"),
+    "phrase_find": lambda s, d: R.phrase_hits(spoken(s, d)),
+    "propositions": lambda s, d: R.propositions(spoken(s, d)),
+    "asof_intent": lambda s, d: R.harm_frames(spoken(s, d)).select("row_id", "first", "intent"),
+    "proximity_target": lambda s, d: R.harm_frames(spoken(s, d)).select("row_id", "first", "target"),
+    "rule_threat": lambda s, d: _shown(s, d, "threat"),
+    "rule_wish": lambda s, d: _shown(s, d, "wish"),
+    "rule_insult": lambda s, d: _shown(s, d, "insult"),
+    "rule_self_harm": lambda s, d: _shown(s, d, "self_harm"),
+    "rule_sentiment": lambda s, d: _shown(s, d, "sentiment"),
+    "exact_phrase_event": _exact,
+    "rule_suppression": lambda s, d: judged(s, d).select("row_id", "event", "first", "last", "suppressor", "by_first", "by_last"),
     "suppress_sparse": lambda s, d: judged(s, d).groupBy("row_id").agg(F.bool_or(F.col("suppressor").isNotNull()).alias("capped")),
     "category_scores": _scores,
     "policy_action": lambda s, d: _scores(s, d).select("row_id", F.when(F.col("threat_language") > 0, "block").when(F.col("targeted_abuse") > 0, "review").otherwise("allow").alias("action")),
     "clause_sentiment": _clause_sentiment,
     "suppressed_budget": _budget,
     "es_targeted_sum": lambda s, d: judged(s, d).where("suppressor is null").groupBy("row_id").agg(F.least(F.lit(100), F.sum("points")).alias("targeted")),
-    "es_semantic": lambda s, d: made(s, d)[1].where("event in ('threat', 'wish', 'self_harm')").groupBy("row_id").agg(F.max("points").alias("points")),
-    "es_lexical": lambda s, d: judged(s, d).where("event = 'insult'").groupBy("row_id").agg(F.max(F.when(F.col("suppressor").isNull(), 70).otherwise(10)).alias("points")),
-    "es_suppression": _es_suppression,
-    "es_threats": lambda s, d: table(s, d, "corpus_rows").select("row_id", "text").mapInArrow(_scan, "row_id long, first int, last int"),
-    "compact_rules": _compact,
+    "es_threats": _threat_list,
+    "compact_rules": lambda s, d: R.events(messages(s, d).where(F.col("lang").isin(*P.COMPACT))),
+    "evidence_ranges": lambda s, d: R.evidence_ranges(judged(s, d)),
     "fuse_score": _fused,
     "evidence_sorted": lambda s, d: judged(s, d).groupBy("row_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "last", "event"))), lambda x: F.concat_ws(":", x["first"], x["last"], x["event"])), ";").alias("evidence")),
     "span_merge": _merged,
     "grawlix_mask": _masked,
 }
 
-_PACK = "pack as materialized (select * from (values " + ", ".join(f"('{r}', '{p}', {len(p.split())})" for r, ps in R.PACK.items() for p in ps) + ") as p(role, phrase, n))"
-_TOKENS = (
-    "tok as materialized (select k.*, length(left(text, k.first)) - length(replace(left(text, k.first), '\"', chr(0)[:0])) as marks, contains(text[k.last + 1:], '\"') as shut from ("
-    + TEXT_SQL["context_tokens"] + ") k join corpus_rows c on c.row_id = k.row_id)"
-)
-_HITS = f"""{_TOKENS}, {_PACK},
-tok_ordered as (select *, marks % 2 = 1 and shut as quoted, sum(length(token)) over w - length(token) as before, sum(length(token)) over w as after,
-    pos > 0 and (clause <> lag(clause) over w or lag(token) over w in (select phrase from pack where role = 'boundary')) as cut from tok window w as (partition by row_id order by pos)),
-placed as materialized (select *, sum(cut::int) over (partition by row_id order by pos) as prop, pos = 0 or cut as begins from tok_ordered),
-runs as (select *, token as g1, token || ' ' || lead(token) over w as g2, token || ' ' || lead(token) over w || ' ' || lead(token, 2) over w as g3, lead(clause) over w as c2, lead(clause, 2) over w as c3, lead(after) over w as a2, lead(after, 2) over w as a3, lead(quoted) over w as q2, lead(quoted, 2) over w as q3 from placed window w as (partition by row_id order by pos)),
-hits as materialized (select row_id, role, pos as first, pos + n as last, prop, clause, scope, before, begins, case n when 1 then after when 2 then a2 else a3 end as after, quoted and (n < 2 or q2) and (n < 3 or q3) as quoted
-    from runs join pack on (n = 1 and phrase = g1) or (n = 2 and phrase = g2 and c2 = clause) or (n = 3 and phrase = g3 and c3 = clause))"""
+_LIST = ", ".join(f"'{c}'" for c in LANGS)
+_MESSAGES = f"""messages as materialized (select c.row_id, case when upper(trim(p.detector_language)) in ({_LIST}) then upper(trim(p.detector_language)) else 'EN' end as lang, c.text
+    from corpus_rows c left join prepared_rows p on p.source_id = c.source_id where c.row_id is not null and c.text is not null
+    union all select * from (values {", ".join("(" + str(i) + ", '" + lang + "', '" + text.replace("'", "''") + "')" for i, lang, text, _ in P.MESSAGES)}) as v(row_id, lang, text)),
+spoken as materialized (select * from messages where lang in ({", ".join(f"'{c}'" for c in SPOKEN)})),
+pack as materialized (select * from (values {", ".join(f"('{lang}', '{r}', '{p}', {len(p.split())})" for lang, r, p in P.default_pack() if lang in SPOKEN)}) as p(lang, role, phrase, n))"""
+_HITS = f"""{_MESSAGES},
+tok as materialized (select k.row_id, k.pos, k.token, k.first, k.last, k.clause, k.scope, c.lang, c.text, length(left(c.text, k.first)) - length(replace(left(c.text, k.first), '"', chr(0)[:0])) as marks,
+    contains(c.text[k.last + 1:], '"') as shut, exists (select 1 from pack b where b.lang = c.lang and b.role = 'boundary' and b.phrase = k.token) as edge
+    from ({TEXT_SQL["context_tokens"].replace("from corpus_rows", "from spoken")}) k join spoken c on c.row_id = k.row_id),
+counted as (select *, sum(length(token)) over w - length(token) as before, sum(length(token)) over w as after, regexp_matches(text[last + 1:coalesce(lead(first) over w, length(text))], '[?؟？]') as asked,
+    (pos > 0 and (clause <> lag(clause) over w or lag(edge) over w) or edge)::int as cut from tok window w as (partition by row_id order by pos)),
+placed as materialized (select * exclude (text), sum(cut) over (partition by row_id order by pos) as prop from counted),
+props as materialized (select row_id, lang, prop, min(pos) as p_first, max(pos) + 1 as p_last, string_agg(token, ' ' order by pos) as words, arg_max(asked, pos) as asked from placed where not edge group by all),
+runs as (select *, token as g1, token || ' ' || lead(token) over w as g2, token || ' ' || lead(token) over w || ' ' || lead(token, 2) over w as g3, lead(clause) over w as c2, lead(clause, 2) over w as c3,
+    lead(after) over w as a2, lead(after, 2) over w as a3, lead(prop) over w as p2, lead(prop, 2) over w as p3 from placed window w as (partition by row_id order by pos)),
+hits as materialized (select row_id, r.lang, role, pos as first, pos + n as last, case when n = 1 or n = 2 and p2 = prop or n = 3 and p3 = prop then prop end as prop, clause, scope, before, case n when 1 then after when 2 then a2 else a3 end as after
+    from runs r join pack k on k.lang = r.lang and (n = 1 and phrase = g1 or n = 2 and phrase = g2 and c2 = clause or n = 3 and phrase = g3 and c3 = clause))"""
 
 
 def _r(role: str) -> str:
-    return f"(select * from hits where role = '{role}')"
+    return f"(select * from hits where role = '{role}' and prop is not null)"
+
+
+def _near(name: str, anchors: str) -> str:
+    """`anchors` (row_id, prop, a_first, a_last, floor, ...) with t, [first, last] of their target."""
+    return f"""{name} as materialized (select a.*, t from {anchors} a left join (select a.row_id, a.prop, a.a_first, a.a_last, a.floor,
+    coalesce(min(case when t.first >= a.a_last and t.first - a.a_last <= {R.NEAR_WORDS} then [t.first, t.last] end), max(case when t.first >= a.floor and t.last <= a.a_first and a.a_first - t.last <= {R.NEAR_WORDS} then [t.first, t.last] end)) as t
+    from {anchors} a join {_r('target')} t on t.row_id = a.row_id and t.prop = a.prop group by all) x using (row_id, prop, a_first, a_last, floor))"""
 
 
-_INTENTS = f"""{_HITS}, prior as (select h.row_id, h.first, arg_max(i.first, i.last) as i_first, arg_max(i.after, i.last) as i_after from {_r('harm')} h join {_r('intent')} i on i.row_id = h.row_id and i.prop = h.prop and i.last <= h.first group by 1, 2),
-intents as materialized (select h.*, case when h.before - i_after <= {R.GAP} then i_first end as intent from {_r('harm')} h left join prior p on p.row_id = h.row_id and p.first = h.first)"""
-_TARGETS = f"""{_INTENTS}, targets as materialized (select i.row_id, i.first, min(case when t.first >= i.last and t.first - i.last <= {R.NEAR} then t.first end) as ahead,
-    max(case when t.last <= i.first and i.first - t.last <= {R.NEAR} and t.first >= coalesce(i.intent, 0) then t.first end) as behind from intents i left join {_r('target')} t on t.row_id = i.row_id and t.prop = i.prop group by 1, 2)"""
+_INTENTS = f"""{_HITS}, prior as (select h.row_id, h.first, h.last, max([i.last, i.first, i.after::bigint]) as i from {_r('harm')} h join {_r('intent')} i on i.row_id = h.row_id and i.prop = h.prop and i.last <= h.first group by all),
+intents as materialized (select h.row_id, h.prop, h.first as a_first, h.last as a_last, case when h.before - i[3] <= {R.GAP} then i end as i, p_first, asked from {_r('harm')} h left join prior using (row_id, first, last) join props using (row_id, prop)),
+harms as (select *, coalesce(i[2], p_first) as floor from intents)"""
+_TARGETS = f"{_INTENTS}, {_near('aimed', 'harms')}"
 _EVENTS = f"""{_TARGETS},
-threats as (select row_id, i.prop, 'threat' as event, least(first, coalesce(ahead, behind), coalesce(intent, first)) as f, greatest(last, coalesce(ahead, behind) + 1) as l, 95 as points, clause, scope, before, quoted from intents i join targets t using (row_id, first) where coalesce(ahead, behind) is not null and (intent is not null or begins and ahead is not null)),
-wished as (select w.row_id, w.prop, w.first, arg_min(o.last, o.first) as o_last, arg_min(o.before, o.first) as o_before from {_r('wish')} w join {_r('outcome')} o on o.row_id = w.row_id and o.prop = w.prop and o.first >= w.last group by 1, 2, 3),
-framed as (select w.*, o_last from {_r('wish')} w join wished x on x.row_id = w.row_id and x.first = w.first where o_before - w.after <= {R.GAP}),
-wtargets as (select w.row_id, w.first, coalesce(min(case when t.first >= w.o_last and t.first - w.o_last <= {R.NEAR} then t.first end), max(case when t.last <= w.first and w.first - t.last <= {R.NEAR} then t.first end)) as target from framed w join {_r('target')} t on t.row_id = w.row_id and t.prop = w.prop group by 1, 2),
-wishes as (select row_id, prop, 'wish', least(first, target), greatest(o_last, target + 1), 85, clause, scope, before, quoted from framed join wtargets using (row_id, first) where target is not null),
-begun as (select s.row_id, s.first, t.first as begin_ from {_r('insult')} s join {_r('target')} t on t.row_id = s.row_id and t.prop = s.prop and t.last = s.first
-    union all select s.row_id, s.first, t.first from {_r('insult')} s join {_r('target')} t on t.row_id = s.row_id and t.prop = s.prop join {_r('copula')} c on c.row_id = s.row_id and c.prop = s.prop and t.last <= c.first and c.last <= s.first),
-insults as (select s.row_id, s.prop, 'insult', max(begin_), s.last, 70, s.clause, s.scope, s.before, s.quoted from {_r('insult')} s join begun b on b.row_id = s.row_id and b.first = s.first group by s.row_id, s.prop, s.first, s.last, s.clause, s.scope, s.before, s.quoted),
-harms as (select row_id, prop, 'self_harm', first, last, 95, clause, scope, before, quoted from {_r('self_harm')}),
-strong as materialized (select * from threats union select * from wishes union select * from insults union select * from harms),
-sentiments as (select n.row_id, n.prop, 'sentiment', n.first, n.last, 20, n.clause, n.scope, n.before, n.quoted from {_r('sentiment')} n where exists (select 1 from {_r('target')} t where t.row_id = n.row_id and t.prop = n.prop) and not exists (select 1 from strong e where e.row_id = n.row_id and e.f < n.last and n.first < e.l)),
-events as materialized (select * from strong union select * from sentiments),
-begun_at as materialized (select e.* exclude (before), p.before from events e join placed p on p.row_id = e.row_id and p.pos = e.f),
-ranked as (select e.row_id, e.prop, e.event, e.f, e.l, e.points, e.quoted, min(case when role = 'negator' and m.clause = e.clause and m.scope = e.scope and (m.first >= e.f and m.last <= e.l or m.last <= e.f and e.before - m.after <= {R.GAP}) then 1
-    when role = 'counterspeech' and m.last = e.f then 2 when role = 'report' and m.last = e.f then 3 end) as r from begun_at e left join hits m on m.row_id = e.row_id and m.role in ('negator', 'counterspeech', 'report') group by all),
-judged as materialized (select *, case when quoted then 'quoted' when r = 1 then 'negated' when r = 2 then 'counterspeech' when r = 3 then 'reported' end as suppressor from ranked)"""
+threats as (select row_id, prop, 'threat' as event, least(a_first, i[2], t[1]) as f, greatest(a_last, i[1], t[2]) as l, a_first as main from aimed where t is not null and (i is not null or a_first = p_first and t[1] >= a_last and not asked)),
+hoped as (select w.row_id, w.prop, w.first as floor, w.last as w_last, min([o.first, o.last]) as o from {_r('wish')} w join {_r('outcome')} o on o.row_id = w.row_id and o.prop = w.prop and o.first >= w.last and o.before - w.after <= {R.GAP} group by all),
+outcomes as (select row_id, prop, floor, w_last, o[1] as a_first, o[2] as a_last from hoped), {_near('wished', 'outcomes')},
+wishes as (select row_id, prop, 'wish', least(floor, a_first, t[1]), greatest(w_last, a_last, t[2]), a_first from wished where t is not null),
+called as (select s.row_id, s.prop, s.first as a_first, s.last as a_last, p_first as floor from {_r('insult')} s join props using (row_id, prop)), {_near('thrown', 'called')},
+insults as (select row_id, prop, 'insult', least(a_first, t[1]), greatest(a_last, t[2]), a_first from thrown x where t is not null and (t[2] = a_first or exists (select 1 from {_r('copula')} c where c.row_id = x.row_id and c.prop = x.prop and c.first >= t[2] and c.last <= a_first))),
+commands as (select row_id, prop, 'self_harm', first, last, first from {_r('self_harm')}),
+implied as (select row_id, prop, replace(role, 'implicit_', '') as event, p_first as f, p_last as l, null::int as main from props join pack on pack.lang = props.lang and pack.phrase = props.words and starts_with(role, 'implicit_')),
+strong as materialized (select * from threats union all select * from wishes union all select * from insults union all select * from commands union all select * from implied),
+felt as (select s.row_id, s.prop, s.first as a_first, s.last as a_last, p_first as floor from {_r('sentiment')} s join props using (row_id, prop)), {_near('voiced', 'felt')},
+moods as (select row_id, prop, 'sentiment' as event, least(a_first, t[1]) as f, greatest(a_last, t[2]) as l, a_first as main from voiced where t is not null),
+sentiments as (select * from moods n where not exists (select 1 from strong e where e.row_id = n.row_id and e.f < n.l and n.f < e.l) and not exists (select 1 from moods e where e.row_id = n.row_id and e.main < n.main and e.f < n.l and n.f < e.l)),
+events as materialized (select row_number() over () as e, *, case event when 'threat' then 95 when 'wish' then 85 when 'self_harm' then 95 when 'insult' then 70 else 20 end as points from (select * from strong union all select * from sentiments)),
+begun_at as materialized (select e.*, p.before, m.clause, m.scope, p.marks % 2 = 1 and q.marks = p.marks and q.shut as quoted from events e join placed p on p.row_id = e.row_id and p.pos = e.f join placed q on q.row_id = e.row_id and q.pos = e.l - 1 join placed m on m.row_id = e.row_id and m.pos = coalesce(e.main, e.f)),
+ranked as (select e.e, min(case when role = 'negator' and e.main is not null and m.prop = e.prop and m.clause = e.clause and m.scope = e.scope and (m.first >= e.f and m.last <= e.l or m.last <= e.f and e.before - m.after <= {R.GAP}) then [1, m.first, m.last]
+    when role = 'counterspeech' and m.last = e.f and m.clause = e.clause then [2, m.first, m.last] when role = 'report' and m.last = e.f and m.clause = e.clause then [3, m.first, m.last] end) as r from begun_at e join hits m on m.row_id = e.row_id and m.role in ('negator', 'counterspeech', 'report') group by e.e),
+judged as materialized (select b.*, case when quoted then 'quoted' when r[1] = 1 then 'negated' when r[1] = 2 then 'counterspeech' when r[1] = 3 then 'reported' end as suppressor, (case when quoted then f else r[2] end)::int as by_first, (case when quoted then l else r[3] end)::int as by_last from begun_at b left join ranked using (e))"""
 
 
 def _shown_sql(source: str, where: str = "true") -> str:
-    return f"with {_EVENTS} select distinct row_id, event, f::int as first, l::int as last, points from {source} where {where}"
+    return f"with {_EVENTS} select row_id, event, f::int as first, l::int as last, points from {source} where {where}"
 
 
 _CELLS = "max(case when event in ('threat', 'wish', 'self_harm') and suppressor is null then points else 0 end) as threat_language, max(case when event = 'insult' and suppressor is null then points else 0 end) as targeted_abuse, max(case when event = 'sentiment' and suppressor is null then points else 0 end) as sentiment_support"
 _MERGED = f"{_SPANS}, m as (select distinct row_id, first, last from spans), fr as (select *, max(last) over (partition by row_id order by first, last rows between unbounded preceding and 1 preceding) as far from m), isl as (select *, sum((far is null or first > far)::int) over (partition by row_id order by first, last rows unbounded preceding) as island from fr), merged as materialized (select row_id, min(first) as first, max(last) as last from isl group by row_id, island)"
 
 SQL = {
-    "phrase_find": f"with {_HITS} select row_id, role, first::int as first, last::int as last from hits",
-    "propositions": f"with {_HITS} select row_id, count(distinct prop) as props, max(prop)::int as last_prop from hits group by 1",
-    "asof_intent": f"with {_INTENTS} select row_id, first::int as h_first, intent::int as intent from intents",
-    "proximity_target": f"with {_TARGETS} select row_id, first::int as h_first, coalesce(ahead, behind)::int as target from targets",
+    "phrase_find": f"with {_HITS} select row_id, lang, role, first::int as first, last::int as last from hits",
+    "propositions": f"with {_HITS} select row_id, p_first::int as first, p_last::int as last from props",
+    "asof_intent": f"with {_INTENTS} select row_id, a_first::int as first, i[2]::int as intent from intents",
+    "proximity_target": f"with {_TARGETS} select row_id, a_first::int as first, t[1]::int as target from aimed",
     "rule_threat": _shown_sql("events", "event = 'threat'"),
     "rule_wish": _shown_sql("events", "event = 'wish'"),
     "rule_insult": _shown_sql("events", "event = 'insult'"),
     "rule_self_harm": _shown_sql("events", "event = 'self_harm'"),
     "rule_sentiment": _shown_sql("events", "event = 'sentiment'"),
-    "exact_phrase_event": f"with c as (select row_id, array_to_string(regexp_extract_all(unnest(regexp_split_to_array(lower(text), '[{X.CLAUSE_END}]')), '{B.WORD}'), ' ') as clause from corpus_rows) select * from c where clause in ('reporter', 'melder', 'note')",
-    "rule_suppression": f"with {_EVENTS} select row_id, event, f::int as first, l::int as last, suppressor from judged",
+    "exact_phrase_event": f"with {_EVENTS} select row_id, event, f::int as first, l::int as last, suppressor from judged where main is null",
+    "rule_suppression": f"with {_EVENTS} select row_id, event, f::int as first, l::int as last, suppressor, by_first, by_last from judged",
     "suppress_sparse": f"with {_EVENTS} select row_id, bool_or(suppressor is not null) as capped from judged group by 1",
     "suppressed_budget": f"with {_EVENTS}, low as (select row_id, event, f, l, least(points, 10) as p from judged where suppressor is not null) select row_id, event, f::int as first, l::int as last, greatest(0, least(p, 10 - coalesce(sum(p) over (partition by row_id order by f, l, event rows between unbounded preceding and 1 preceding), 0)))::int as given from low",
-    "es_lexical": f"with {_EVENTS} select row_id, max(case when suppressor is null then 70 else 10 end) as points from judged where event = 'insult' group by 1",
-    "es_suppression": f"with {_EVENTS} select e.row_id, e.event, e.f::int as first, e.l::int as last, bool_or(coalesce(m.scope = e.scope and m.last <= e.f and e.f - m.last <= 3, false)) or e.quoted as suppressed from events e left join hits m on m.row_id = e.row_id and m.role in ('negator', 'report') group by e.row_id, e.event, e.f, e.l, e.quoted",
     "evidence_sorted": f"with {_EVENTS} select row_id, string_agg(f || ':' || l || ':' || event, ';' order by f, l, event) as evidence from judged group by 1",
     "fuse_score": f"with {B.CURVE}, {_EVENTS}, j as (select row_id, max(case when suppressor is null then points else 0 end) as rule, bool_or(suppressor is not null) as capped from judged group by 1) select v.row_id, greatest(coalesce(rule, 0), case when coalesce(capped, false) then least(score, 49) else score end)::int as score from verdicts v left join j on j.row_id = v.row_id",
     "category_scores": f"with {_EVENTS} select row_id, {_CELLS} from judged group by row_id",
     "policy_action": f"with {_EVENTS}, c as (select row_id, {_CELLS} from judged group by row_id) select row_id, case when threat_language > 0 then 'block' when targeted_abuse > 0 then 'review' else 'allow' end as action from c",
-    "clause_sentiment": f"with {_HITS}, p as (select row_id, clause, count(*) filter (role = 'sentiment') as n, bool_or(role = 'negator') as neg from hits where role in ('sentiment', 'negator') group by 1, 2) select row_id, max(least(8, n * case when neg then 2 else 1 end)) as sentiment from p group by 1",
+    "clause_sentiment": f"with {_HITS} select row_id, least(8, count(*) filter (role = 'sentiment') * case when bool_or(role = 'negator') then 2 else 1 end) as sentiment from hits where role in ('sentiment', 'negator') group by 1",
     "es_targeted_sum": f"with {_EVENTS} select row_id, least(100, sum(points))::bigint as targeted from judged where suppressor is null group by 1",
-    "es_semantic": f"with {_EVENTS} select row_id, max(points) as points from events where event in ('threat', 'wish', 'self_harm') group by 1",
     "span_merge": f"with {_MERGED} select row_id, first::int as first, last::int as last from merged",
     "grawlix_mask": rf"with {_MERGED}, ch as (select c.row_id, k, text[k] as x from corpus_rows c, lateral (select unnest(generate_series(1, length(text))) as k) where row_id in (select row_id from merged)), mk as (select ch.row_id, k, case when m.row_id is not null and not regexp_matches(x, '\s') then substr('{MASK}', ((k - 1 - m.first) % {len(MASK)} + 1)::int, 1) else x end as y from ch left join merged m on m.row_id = ch.row_id and k > m.first and k <= m.last) select row_id, string_agg(y, '' order by k) as masked from mk group by row_id",
 }

@@ -12,7 +12,6 @@ from quellmark.operators import linear_model as L
 from quellmark.operators.context import quote_ranges, tokens
 from quellmark.operators.lexicon import view_matches
 from quellmark.operators.ordering import nearest_rank, running
-from quellmark.operators.rules import events, phrase_hits, suppressed
 from quellmark.plans import adapter_queries as Q
 from quellmark.sources import sinks
 
@@ -112,14 +111,6 @@ def test_nb_logistic(spark):
     assert np.allclose(Q.fit_nb_logistic(rows, counts, 0.25), np.where(ratios != 0, 0.75 * np.abs(own[:6]).mean() + 0.25 * own, 0) * ratios)
 
 
-def test_rules(spark):
-    texts = ["you are a spoon", "nobody said you are a spoon", '"you are a spoon"', "as far as you are a spoon", "he is here"]
-    frame = spark.createDataFrame(list(enumerate(texts)), "row_id long, text string")
-    found = phrase_hits(frame)
-    got = {(r["row_id"], r["event"]): r["suppressor"] for r in suppressed(found, events(found)).collect()}
-    assert got == {(0, "insult"): None, (1, "insult"): "negated", (2, "insult"): "quoted", (3, "insult"): "reported"}
-
-
 def test_verdict_line(spark):
     line = spark.range(1).select(sinks.verdict_line(F.lit(True), F.lit(0.0), F.lit(None).cast("string"), F.lit(None).cast("string"))).first()[0]
     assert line == '{"safe":true,"score":0.0,"locale":null,"grawlix":null}'

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import functions as F
 
 from quellmark.functions.features import BINS
 from quellmark.operators import linear_model as L
+from quellmark.operators import logistic as G
 from quellmark.plans import sqlbits as B
-from quellmark.plans.model_queries import Trained
-from quellmark.runtime import table
+from quellmark.plans.model_queries import MINIMUM, Trained
+from quellmark.runtime import spread, table
 from quellmark.sources import adapters as A
 from quellmark.sources import sinks as K
 from quellmark.streaming.judge import stream_judge
@@ -67,48 +66,54 @@ def _evidence_check(s, d):
     return m.select("match_id", (raw == F.col("matched_text")).alias("same_text"), (F.octet_length("matched_text") == F.col("raw_end") - F.col("raw_start")).alias("same_length"))
 
 
-def fit_logistic(rows, ratios=None):
-    """Coefficients per bin and intercept of the L2-regularised logistic model of (label, bins); a bin's value is 1, or its ratio."""
-    spread = rows.sparkSession.sparkContext.broadcast(ratios)
+#: The grid of the ablation: costs, class weights, and blends of the naive Bayes model.
+COSTS, BETAS = (0.05, 0.15, 0.5, 1.0, 2.0), (1.0, 0.25)
 
-    def features(bins):
-        bins = sorted(bins)
-        return SparseVector(BINS, bins, [1.0] * len(bins) if spread.value is None else spread.value[bins])
 
-    used = rows.select(F.udf(features, VectorUDT())("bins").alias("features"), (F.col("label") == "toxic").cast("double").alias("label"))
-    model = LogisticRegression(maxIter=30, regParam=1.0 / max(used.count(), 1), elasticNetParam=0.0, standardization=False).fit(used)
-    return model.coefficients.toArray(), model.intercept
+def naive_bayes(t):
+    """(ratios per bin, kept bins) of the training counts; at most 65,536 rows reach the driver."""
+    found = L.nb_ratios(t.counts).collect()
+    active, ratios = np.array([r["bin"] for r in found], np.int64), np.zeros(BINS)
+    ratios[active] = [r["ratio"] for r in found]
+    return ratios, active
 
 
-def fit_nb_logistic(rows, counts, beta=1.0):
-    """Weights per bin of a model fitted on features scaled by naive Bayes ratios: (1 - beta) * mean |c| + beta * c, times the ratio; 0 for bins that aren't kept."""
-    found = L.nb_ratios(counts).collect()  # at most BINS rows
-    active, ratios = [int(r["bin"]) for r in found], np.zeros(BINS)
-    ratios[active] = [r["ratio"] for r in found]
-    own = fit_logistic(rows, ratios)[0]
-    blended = np.zeros(BINS)
-    blended[active] = (1 - beta) * np.abs(own[active]).mean() + beta * own[active] if active else 0.0
-    return blended * ratios
+def _table(s, weights):
+    """bin, weight and the bias of a model, in units of 1/256."""
+    kept = s.createDataFrame([(int(b), float(weights[b])) for b in np.flatnonzero(weights[:BINS])], "bin long, weight double")
+    bias = s.createDataFrame([(float(weights[BINS]),)], "bias double")
+    return kept.select("bin", L.quantize(F.col("weight")).alias("weight")), bias.select(L.quantize(F.col("bias"), L.I32).alias("bias"))
+
+
+def _rows(t):
+    """The training rows, dealt to all cores and written, as every pass reads them."""
+    return t.work.keep(spread(t.labelled.select("bins", "label")))
 
 
-def _logistic(s, d, reweight=False):
-    """Logistic weights per bin; with `reweight` those of the model on features scaled by naive Bayes ratios."""
+def _logistic(s, d, scaled=False):
+    """Weights per bin of the L2-regularised logistic model; with `scaled` of the one on bins scaled by naive Bayes ratios."""
     t = Trained(s, d)
-    weights = fit_nb_logistic(t.labelled, t.counts) if reweight else fit_logistic(t.labelled)[0]
-    kept = s.createDataFrame([(int(b), float(w)) for b, w in enumerate(weights) if w], "bin long, weight double")
-    return kept.select("bin", L.quantize(F.col("weight")).alias("weight"))
+    ratios, active = naive_bayes(t) if scaled else (None, None)
+    (found,) = G.fit(_rows(t), [G.Setting(scaled=scaled)], ratios, 1e-5)  # well within half a unit of 1/256
+    return _table(s, G.blended(found, ratios, active) if scaled else found)[0]
 
 
 def _ablation(s, d):
-    """Hits and false alarms on validation rows for several least document counts of a kept bin."""
+    """Every learner of the grid, calibrated on the validation rows: its boundary and confusion there, or why it has none."""
     t = Trained(s, d)
-    out = None
-    for least in (1, 2, 5, 10):
-        used = L.kept(t.counts, least)
-        scores = L.raw_scores(t.featured, L.logodds_weights(used, t.totals), L.logodds_bias(used, t.totals)).join(t.rows, "row_id").where("split = 'validation' and label is not null")
-        row = L.confusion(scores.withColumn("flag", F.col("raw") > 0)).withColumn("least", F.lit(least))
-        out = row if out is None else out.union(row)
-    return out
+    ratios, active = naive_bayes(t)
+    settings = [G.Setting(c, b) for b in (False, True) for c in COSTS] + [G.Setting(scaled=True)]
+    fitted = G.fit(_rows(t), settings, ratios, 1e-4)
+    models = [("log_odds", None, False, None, (L.logodds_weights(t.counts, t.totals), L.logodds_bias(t.counts, t.totals)))]
+    models += [("logistic", x.cost, x.balanced, None, _table(s, w)) for x, w in zip(settings[:-1], fitted)]
+    models += [("nb_logistic", 1.0, False, beta, _table(s, G.blended(fitted[-1], ratios, active, beta))) for beta in BETAS]
+    validation = t.work.keep(t.featured.join(t.rows.where("split = 'validation' and label is not null"), "row_id"))
+    out = []
+    for name, cost, balanced, beta, model in models:
+        scores = L.raw_scores(validation, *model).join(validation.select("row_id", "label"), "row_id")
+        found = L.best_boundary(L.calibration_curve(t.work.keep(scores), MINIMUM)).first()
+        out.append((name, cost, balanced, beta, *((found["boundary"], found["tp"], found["fp"], found["tn"], found["fn"], None) if found else (None,) * 5 + ("no boundary passes the gates",))))
+    return s.createDataFrame(out, "learner string, cost double, balanced boolean, beta double, boundary long, tp long, fp long, tn long, fn long, error string")
 
 
 _EVIDENCE = "case when registry.evidence is null then 'unknown' when registry.language <> panel.language then 'other language' else 'ok' end"

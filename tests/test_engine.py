@@ -12,7 +12,6 @@ from quellmark.operators import linear_model as L
 from quellmark.operators.context import quote_ranges, tokens
 from quellmark.operators.lexicon import view_matches
 from quellmark.operators.ordering import nearest_rank, running
-from quellmark.plans import adapter_queries as Q
 from quellmark.sources import sinks
 
 WORDS = "room poll garden report friend train picture rule page soup story lunch".split()
@@ -94,23 +93,6 @@ def test_lexicon_views(spark):
         (4, "b", "Evasion", 0, 9), (5, "c", "Normalized", 0, 6), (5, "d", "Normalized", 7, 17)]
 
 
-def test_nb_logistic(spark):
-    rng = random.Random(5)
-    labels = [rng.choice(["toxic", "clean"]) for _ in range(80)]
-    data = [(x, sorted({rng.choice([0, 1, 2, 3] if x == "toxic" else [2, 3, 4, 5]) for _ in range(3)})) for x in labels]
-    rows = spark.createDataFrame(data, "label string, bins array<int>")
-    counts = L.document_counts(rows)
-    ratio = {r["bin"]: r["ratio"] for r in L.nb_ratios(counts).collect()}
-    ratios = np.zeros(65_536)
-    ratios[list(ratio)] = list(ratio.values())
-    own, intercept = Q.fit_logistic(rows, ratios)
-    x = np.array([[ratio[b] if b in bins else 0.0 for b in range(6)] for _, bins in data])
-    miss = 1 / (1 + np.exp(-(x @ own[:6] + intercept))) - np.array([label == "toxic" for label, _ in data])
-    assert np.allclose(x.T @ miss / 80 + own[:6] / 80, 0, atol=1e-3)
-    assert np.allclose(Q.fit_nb_logistic(rows, counts), own * ratios)
-    assert np.allclose(Q.fit_nb_logistic(rows, counts, 0.25), np.where(ratios != 0, 0.75 * np.abs(own[:6]).mean() + 0.25 * own, 0) * ratios)
-
-
 def test_verdict_line(spark):
     line = spark.range(1).select(sinks.verdict_line(F.lit(True), F.lit(0.0), F.lit(None).cast("string"), F.lit(None).cast("string"))).first()[0]
     assert line == '{"safe":true,"score":0.0,"locale":null,"grawlix":null}'

@@ -51,6 +51,12 @@ def normalize_arabic(text: Column) -> Column:
     return F.translate(F.regexp_replace(nfkc(text), ARABIC_DROPPED, ""), *ALEF)
 
 
+def hindi_words(text: Column) -> Column:
+    """Words, with joiners (U+200C, U+200D) inside them where both neighbours are Devanagari word characters."""
+    devanagari = r"[\p{IsDevanagari}&&[\p{L}\p{N}\p{M}]]"
+    return F.regexp_extract_all(text, F.lit(rf"((?:[\p{{L}}\p{{N}}\p{{M}}]|(?<={devanagari})[\x{{200C}}\x{{200D}}](?={devanagari}))+)"), F.lit(1))
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({WORD})"), 1)
 

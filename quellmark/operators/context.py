@@ -14,23 +14,29 @@ from quellmark.functions.text import CLAUSE_END, SCOPE_END
 _TOKEN = regex.compile(r"[\p{L}\p{N}\p{M}]+")
 _CLAUSE = re.compile(f"[{re.escape(CLAUSE_END)}]")
 _SCOPE = re.compile(f"[{re.escape(CLAUSE_END + SCOPE_END)}]")
-#: Opening and closing quotes, in the orders that quote.
-QUOTES = (('"', '"'), ("„", "“"), ("“", "”"), ("«", "»"), ("»", "«"), ("「", "」"), ("『", "』"))
+#: Opening and closing quotes of token marks; rules read guillemets either way round, and corner brackets too.
+QUOTES = (('"', '"'), ("„", "“"), ("“", "”"), ("«", "»"))
+RULE_QUOTES = (*QUOTES, ("»", "«"), ("「", "」"), ("『", "』"))
 
 SCHEMA = "row_id long, pos int, token string, first int, last int, clause int, scope int, mention boolean, quoted boolean"
 
 
-def quote_ranges(text: str) -> list[tuple[int, int]]:
-    """(begin, end) of every stretch from an opening quote to its closing one, marks included; an open quote quotes nothing."""
-    out, at = [], 0
-    while at < len(text):
-        closing = next((b for a, b in QUOTES if a == text[at] and text.find(b, at + 1) > at), None)
-        if closing is None:
-            at += 1
+def quote_ranges(text: str, pairs: tuple[tuple[str, str], ...] = QUOTES) -> list[tuple[int, int]]:
+    """(begin, end) of every stretch between the marks of a pair, marks included, in order of their ends.
+
+    Pairs don't see each other, so quotes nest; a later opening mark replaces an earlier one; a mark that closes one pair opens no
+    other; an open quote quotes nothing.
+    """
+    opened: dict[str, int] = {}  # by the mark that closes it
+    out = []
+    for at, mark in enumerate(text):
+        if mark in opened:
+            out.append((opened.pop(mark), at + 1))
             continue
-        end = text.index(closing, at + 1) + 1
-        out.append((at, end))
-        at = end
+        for first, last in pairs:
+            # marks that pair either way round keep their first opening
+            if mark == first and not (last in opened and (last, first) in pairs):
+                opened[last] = at
     return out
 
 
@@ -63,12 +69,16 @@ def context_tokens(texts: DataFrame) -> DataFrame:
     return texts.select("row_id", "text").mapInArrow(_tokens, SCHEMA)
 
 
-def _quotes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [(i, a, b) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if text for a, b in quote_ranges(text)]
-        columns = list(zip(*rows)) if rows else [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()))], ["row_id", "first", "last"])
+def _quotes(pairs: tuple[tuple[str, str], ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, a, b) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if text for a, b in quote_ranges(text, pairs)]
+            columns = list(zip(*rows)) if rows else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()))], ["row_id", "first", "last"])
+
+    return run
 
 
-def quoted_spans(texts: DataFrame) -> DataFrame:
-    return texts.select("row_id", "text").mapInArrow(_quotes, "row_id long, first int, last int")
+def quoted_spans(texts: DataFrame, pairs: tuple[tuple[str, str], ...] = QUOTES) -> DataFrame:
+    """row_id, first, last of the quoted stretches of (row_id, text); null texts have none."""
+    return texts.select("row_id", "text").mapInArrow(_quotes(pairs), "row_id long, first int, last int")

@@ -103,6 +103,14 @@ def _corpus_duplicates(spark, d):
     return counted.where("n > 1").groupBy("kind").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("rows"))
 
 
+def _audit(spark, d):
+    """Ids of the audit list: excluded where the row would land in development; ids of other splits and of no row are named, as both are errors."""
+    listed = table(spark, d, "provenance").where("exclusion_reason = 'audit_only'").select("source_id").union(table(spark, d, "behavior_audit").select("source_id")).where("source_id is not null").distinct()
+    rows = keyed(imported(spark, d)).select("source_id", policy_split(F.col("group_id")).alias("split"), F.lit(True).alias("known"))
+    status = F.when(F.col("known").isNull(), "unknown").when(F.col("split") == "development", "excluded").otherwise("not development")
+    return listed.join(rows, "source_id", "left").select("source_id", status.alias("status"))
+
+
 def _order_check(spark, d):
     """Lines of each file that come before the line above them in byte order; a join on line numbers, so no file meets in one task."""
     r = table(spark, d, "corpus_raw").select("file_name", "line_no", "line")
@@ -144,7 +152,7 @@ QUERIES = {
     "corpus_duplicates": _corpus_duplicates,
     "prep_counts": _prep_counts,
     "prepare_union": lambda s, d: imported(s, d).select("source_id", "label", F.lit("prepared").alias("origin")).unionByName(table(s, d, "behavior_audit").select("source_id", "label", F.lit("audit").alias("origin"))),
-    "audit_exclusion": lambda s, d: table(s, d, "provenance").join(table(s, d, "behavior_audit").select("text").join(table(s, d, "corpus_rows").select("text", "source_id"), "text").select("source_id").distinct(), "source_id", "left_semi").where("detector_split = 'development'").select("record_id"),
+    "audit_exclusion": _audit,
     "row_source_id": lambda s, d: imported(s, d).where("text is not null").select("source_id", row_source_id(F.col("language"), F.col("text")).alias("row_source_id")),
     "split_digest": lambda s, d: table(s, d, "corpus_rows").where("split is not null and text is not null").groupBy("split").agg(F.count(F.lit(1)).alias("rows"), multiset_digest(F.concat(F.coalesce("label", F.lit("")), F.lit("\t"), "text", F.lit("\n"))).alias("digest")),
     "sealed_check": lambda s, d: (lambda a, b: a.join(b, "split").select("split", (F.col("x") == F.col("y")).alias("sealed")))(
@@ -202,7 +210,8 @@ SQL = {
     "corpus_duplicates": f"with x as (select unnest([{{'kind': 'source_id', 'key': source_id}}, {{'kind': 'text', 'key': text}}, {{'kind': 'normalized', 'key': nullif({_plain('text')}, '')}}]) as x from corpus_rows), c as (select x.kind as kind, x.key as key, count(*) as n from x where x.key is not null group by all having count(*) > 1) select kind, count(*) as values, sum(n)::bigint as rows from c group by kind",
     "prep_counts": "with x as (select unnest([" + ", ".join(f"{{'d': '{c}', 'v': coalesce({c}, 'none')}}" for c in ["detector_split", "detector_label", "inclusion_status", "exclusion_reason", "dataset", "detector_language_code"]) + "]) as x from provenance) select x.d as dimension, x.v as value, count(*) as rows from x group by all",
     "prepare_union": "select source_id, label, 'prepared' as origin from prepared_rows union all select source_id, label, 'audit' from behavior_audit",
-    "audit_exclusion": "select record_id from provenance where detector_split = 'development' and source_id in (select source_id from corpus_rows where text in (select text from behavior_audit))",
+    "audit_exclusion": f"""with {_KEYED}, listed as (select distinct source_id from provenance where exclusion_reason = 'audit_only' and source_id is not null union select source_id from behavior_audit where source_id is not null)
+        select l.source_id, case when k.source_id is null then 'unknown' when {_POLICY} = 'development' then 'excluded' else 'not development' end as status from listed l left join keyed k on k.source_id = l.source_id""",
     "row_source_id": f"with {_IMPORTED} select source_id, language || ':' || substr(sha256(text), 1, 12) as row_source_id from imported where text is not null",
     "split_digest": f"select split, count(*) as rows, {_digest_sql('coalesce(label, chr(0)[:0]) || chr(9) || text || chr(10)')} as digest from corpus_rows where split is not null and text is not null group by split",
     "sealed_check": f"with a as (select split, {_digest_sql('text')} as x from corpus_rows where split in ('validation', 'test') and text is not null group by split), b as (select split, {_digest_sql('text')} as y from corpus_rows where split in ('validation', 'test') and text is not null and label is not null group by split) select split, x = y as sealed from a join b using (split)",

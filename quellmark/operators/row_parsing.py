@@ -20,10 +20,8 @@ from quellmark.runtime import table
 
 SPLITS = ("development", "validation", "test")
 LABELS = ("clean", "toxic")
-#: Line breaks end a record for the csv reader; within a line they are characters of the text, so they travel as these.
-_HIDDEN = {"\r": "\U000f0001", "\n": "\U000f0002", "\0": "\U000f0003"}
-_HIDE = str.maketrans(_HIDDEN)
-_SHOW = str.maketrans({v: k for k, v in _HIDDEN.items()})
+#: Line breaks end a record for the csv reader; within a line they are characters of the text, so they travel as private ones that the line hasn't.
+_BREAKS = "\r\n\0"
 _CONTROL = re.compile("[" + "".join(re.escape(chr(p)) for p in range(0xA0) if unicodedata.category(chr(p)) == "Cc" and p != 9) + "�]")
 
 
@@ -31,14 +29,18 @@ def parse_line(line: str | None) -> tuple[str | None, list[str]]:
     """(reason or None, fields) of one line; an empty or null line has no fields."""
     if not line:
         return "columns", []
-    hide = any(c in line for c in _HIDDEN) and not any(c in line for c in _HIDDEN.values())
+    shown = {}
+    if any(c in line for c in _BREAKS):
+        free = (c for c in map(chr, range(0xF0000, 0x10FFFE)) if c not in line)
+        shown = {ord(next(free)): c for c in _BREAKS}
+        line = line.translate({ord(c): p for p, c in shown.items()})
     csv.field_size_limit(sys.maxsize)
     try:
-        (fields,) = csv.reader([line.translate(_HIDE) if hide else line], delimiter="\t", quotechar='"', doublequote=True, strict=True)
+        (fields,) = csv.reader([line], delimiter="\t", quotechar='"', doublequote=True, strict=True)
     except csv.Error:
         return "quoting", []
-    if hide:
-        fields = [f.translate(_SHOW) for f in fields]
+    if shown:
+        fields = [f.translate(shown) for f in fields]
     if len(fields) != 3:
         return "columns", fields
     if fields[0] not in SPLITS:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quellmark.functions.text import nfkc_text
-from quellmark.operators.context import quote_ranges, tokens
+from quellmark.operators.context import RULE_QUOTES, quote_ranges, tokens
 from quellmark.operators.rule_pack import COMPACT, ROLES, default_pack
 from quellmark.runtime import spread
 
@@ -209,7 +209,7 @@ def analyze(text: str, pack: Pack, reply: bool = False) -> list[Event]:
     if not line.symbols:
         return []
     found = line.hits(pack)
-    quotes = quote_ranges(text) if any(m in text for m in MARKS) else []
+    quotes = quote_ranges(text, RULE_QUOTES) if any(m in text for m in MARKS) else []
     out: list[Event] = []
     since = [0]
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 from quellmark.functions import text as X
-from quellmark.operators.context import context_tokens, quoted_spans
+from quellmark.operators.context import RULE_QUOTES, context_tokens, quoted_spans
 from quellmark.operators.lexicon import view_matches
 from quellmark.operators.ordering import running
 from quellmark.plans import sqlbits as B
@@ -98,10 +98,18 @@ def _assigned(s, d):
 
 
 def _siblings(s, d):
-    """Pairs of an entry and the entry that is its form with a further letter, whose category or level differs."""
-    lex = table(s, d, "lexicon_de").select("id", "lemma", "category", "level")
-    grown = lex.select("id", F.explode(F.transform(F.array(F.lit("n"), F.lit("s"), F.lit("e")), lambda e: F.concat("lemma", e))).alias("lemma"), F.col("category").alias("c"), F.col("level").alias("l"))
-    return grown.withColumnRenamed("id", "base").join(lex, "lemma").select("base", "id", ((F.col("c") != F.col("category")) | ~F.col("l").eqNullSafe(F.col("level"))).alias("differs"))
+    """Forms of every lemma with a further letter, and whether a form is a lemma itself, of another category or level."""
+    lex = table(s, d, "lexicon_de").select("id", F.lower("lemma").alias("form"), "category", "level")
+    grown = lex.select(F.col("id").alias("base"), F.explode(F.transform(F.array(F.lit("n"), F.lit("s"), F.lit("e")), lambda e: F.concat("form", e))).alias("form"), F.col("category").alias("c"), F.col("level").alias("l"))
+    both = grown.join(lex, "form", "left")
+    return both.select("base", "form", "id", F.when(F.col("id").isNotNull(), (F.col("c") != F.col("category")) | ~F.col("l").eqNullSafe(F.col("level"))).alias("differs"))
+
+
+def _category_filter(s, d):
+    """Of the categories a page lists (by language name, by code, or of another language) those of the wanted language, without its prefix."""
+    listed = F.array(F.concat(F.lit("German "), F.col("category")), F.concat(F.lit("de:"), F.coalesce("pos", F.lit("?"))), F.concat(F.lit("fr:"), F.col("category")), F.concat(F.lit("Germanic "), F.col("category")))
+    kept = F.filter(listed, lambda c: c.startswith("German ") | c.startswith("de:"))
+    return _lex(s, d).select("id", F.array_join(kept, ",").alias("kept"))
 
 
 def _evidence(s, d):
@@ -150,6 +158,9 @@ QUERIES = {
     "compact_segments": _segments,
     "context_tokens": lambda s, d: context_tokens(rows(s, d)).drop("quoted"),
     "quote_ranges": lambda s, d: quoted_spans(rows(s, d)),
+    "rule_quote_ranges": lambda s, d: quoted_spans(rows(s, d), RULE_QUOTES),
+    "normalize_hindi": lambda s, d: rows(s, d).select("row_id", X.nfkc(F.col("text")).alias("normalized")),
+    "hindi_tokens": lambda s, d: rows(s, d).select("row_id", F.posexplode(X.hindi_words(X.nfkc(F.col("text")))).alias("pos", "token")),
     "span_map": lambda s, d: _matches(s, d).select("match_id", "first", "last", "surface"),
     "match_boundary": _boundary,
     "surface_patterns": lambda s, d: _lex(s, d).select("id", F.explode(F.when(F.coalesce("pos", F.lit("n")).isin("n", "a") & ~F.contains("lemma", F.lit(" ")), F.array_distinct(F.array("lemma", F.when(F.col("lemma").endswith("z"), F.concat(F.expr("left(lemma, length(lemma) - 1)"), F.lit("ces"))).when(F.col("lemma").rlike("[aeiou]$"), F.concat("lemma", F.lit("s"))).when(F.col("lemma").endswith("l"), F.concat("lemma", F.lit("es"))).otherwise(F.col("lemma"))))).otherwise(F.array("lemma"))).alias("surface")),
@@ -171,9 +182,9 @@ QUERIES = {
     "collision_filter": lambda s, d: _evidence(s, d).groupBy("row_id").agg(F.max("points").alias("points"), F.count_if(F.col("points") == 0).alias("collisions")),
     "casefold_merge": lambda s, d: table(s, d, "lexicon_matches").where("entry_id is not null").groupBy(F.lower("matched_text").alias("key")).agg(F.array_join(F.array_sort(F.collect_set("entry_id")), ",").alias("entries")),
     "harvest_merge": lambda s, d: (lambda first, more: first.unionByName(more.join(first, "lemma", "left_anti")))(_lex(s, d).where("level = 'conservative'").select("lemma", F.lit("native").alias("origin")).distinct(), _lex(s, d).where("level is null or level <> 'conservative'").select("lemma", F.lit("later").alias("origin")).distinct()),
-    "category_filter": lambda s, d: _lex(s, d).groupBy("category").agg(F.count_if(F.col("lemma").startswith("m") | F.col("lemma").startswith("b")).alias("kept"), F.count(F.lit(1)).alias("entries")),
+    "category_filter": _category_filter,
     "variant_sweep": lambda s, d: _sweep(s, d, _lex(s, d), _lex(s, d)),
-    "drops_sweep": lambda s, d: _sweep(s, d, _drops(s, d), _lex(s, d)),
+    "drops_sweep": lambda s, d: _sweep(s, d, _lex(s, d).where("stereotype = 'yes'"), _lex(s, d)),
 }
 
 _CLAUSES = "[" + X.CLAUSE_END + "]"
@@ -224,13 +235,15 @@ SQL = {
     "lexicon_stale_drops": f"select lemma from {_DROPS} where lemma not in (select lemma from lexicon_de)",
     "lexicon_assign": "select id, coalesce(level, case when pos = 'n' and category = 'an' then 'inclusive' end, 'conservative') as level from lexicon_de",
     "lexicon_pos": "select id, coalesce(pos, case when regexp_matches(lemma, '(en|ern|eln)$') then 'v' when regexp_matches(lemma, '(ig|isch|lich)$') then 'a' else 'n' end) as pos from lexicon_de",
-    "lexicon_siblings": "select a.id as base, b.id, (a.category <> b.category or a.level is distinct from b.level) as differs from lexicon_de a join lexicon_de b on b.lemma in (a.lemma || 'n', a.lemma || 's', a.lemma || 'e')",
+    "lexicon_siblings": "with g as (select id as base, unnest([lower(lemma) || 'n', lower(lemma) || 's', lower(lemma) || 'e']) as form, category as c, level as l from lexicon_de) select base, form, x.id, case when x.id is not null then c <> category or l is distinct from level end as differs from g left join lexicon_de x on lower(x.lemma) = form",
     "lexicon_ids": "select id, format('DE{:05d}', row_number() over (order by category, lemma, id)) as new_id from lexicon_de",
     "lexical_evidence": f"with {_LEMMAS} select distinct row_id, token as lemma, case when token in ({', '.join(repr(c) for c in COLLISIONS)}) then 0 else 30 end as points from hits",
     "collision_filter": f"with {_LEMMAS}, e as (select distinct row_id, token, case when token in ({', '.join(repr(c) for c in COLLISIONS)}) then 0 else 30 end as points from hits) select row_id, max(points) as points, count(*) filter (points = 0) as collisions from e group by row_id",
     "casefold_merge": "select lower(matched_text) as key, string_agg(distinct entry_id, ',' order by entry_id) as entries from lexicon_matches where entry_id is not null group by 1",
     "harvest_merge": "with n as (select distinct lemma from lexicon_de where level = 'conservative') select lemma, 'native' as origin from n union all select distinct lemma, 'later' from lexicon_de where level is distinct from 'conservative' and lemma not in (select lemma from n)",
-    "category_filter": "select category, count(*) filter (lemma like 'm%' or lemma like 'b%') as kept, count(*) as entries from lexicon_de group by 1",
+    "category_filter": "select id, array_to_string(list_filter(['German ' || category, 'de:' || coalesce(pos, '?'), 'fr:' || category, 'Germanic ' || category], lambda c: starts_with(c, 'German ') or starts_with(c, 'de:')), ',') as kept from lexicon_de",
     "variant_sweep": _sweep_sql("lexicon_de"),
-    "drops_sweep": _sweep_sql(_DROPS),
+    "drops_sweep": _sweep_sql("lexicon_de where stereotype = 'yes'"),
+    "normalize_hindi": f"select row_id, {B.nfkc('text')} as normalized from corpus_rows",
+    "hindi_tokens": f"with t as (select row_id, regexp_extract_all({B.nfkc('text')}, '{B.WORD}') as ws from corpus_rows) select row_id, (unnest(generate_series(1, len(ws))) - 1)::int as pos, unnest(ws) as token from t",
 }

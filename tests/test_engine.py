@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quellmark.api import Judge, NotReady
 from quellmark.functions import text as X
 from quellmark.operators import linear_model as L
-from quellmark.operators.context import quote_ranges, tokens
+from quellmark.operators.context import RULE_QUOTES, quote_ranges, tokens
 from quellmark.operators.lexicon import view_matches
 from quellmark.operators.ordering import nearest_rank, running
 from quellmark.sources import sinks
@@ -81,6 +81,9 @@ def test_views_and_tokens(spark):
     frame = spark.createDataFrame([("1d10t",), ("101",), ("word",)], "t string")
     assert [r[0] for r in frame.select(X.unleet(F.col("t"))).collect()] == ["idiot", "101", "word"]
     assert quote_ranges('a "b" c') == [(2, 5)] and quote_ranges('open "b') == []
+    assert quote_ranges("„a“ “b” «c» »d« 「e」") == [(0, 3), (4, 7), (8, 11)] and quote_ranges("«a «b»") == [(3, 6)]
+    assert quote_ranges("»a« «b» 「c」 『d』", RULE_QUOTES) == [(0, 3), (4, 7), (8, 11), (12, 15)]
+    assert quote_ranges('«a "b" c»', RULE_QUOTES) == [(3, 6), (0, 9)] and quote_ranges("«a «b»", RULE_QUOTES) == [(0, 6)]
     assert [(t[0], t[3], t[4], t[5]) for t in tokens("Hi @you, all. Bye")] == [("hi", 0, 0, False), ("you", 0, 0, True), ("all", 0, 1, False), ("bye", 1, 2, False)]
 
 
@@ -93,6 +96,12 @@ def test_lexicon_views(spark):
         (4, "b", "Evasion", 0, 9), (5, "c", "Normalized", 0, 6), (5, "d", "Normalized", 7, 17)]
 
 
+def test_hindi_joiners(spark):
+    texts = ["क्\u200dष", "क\u200d क", "a\u200db", "\u200dक", "क\u200cख a1"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in frame.select(X.hindi_words(F.col("t"))).collect()] == [["क्\u200dष"], ["क", "क"], ["a", "b"], ["क"], ["क\u200cख", "a1"]]
+
+
 def test_verdict_line(spark):
     line = spark.range(1).select(sinks.verdict_line(F.lit(True), F.lit(0.0), F.lit(None).cast("string"), F.lit(None).cast("string"))).first()[0]
     assert line == '{"safe":true,"score":0.0,"locale":null,"grawlix":null}'

@@ -45,3 +45,10 @@ def test_table(spark):
     by_id = {r["raw_id"]: r["reason"] for r in found}
     assert all(by_id[k] == c[1] for k, c in enumerate(CASES)) and by_id[None] is None
     assert parse_rows(frame.limit(0)).collect() == []
+
+
+def test_private_characters_beside_breaks():
+    for private in ("\U000f0001", "\U000f0000\U000f0001\U000f0002\U000f0003"):
+        assert parse_line(f"development\tclean\ta\nb{private}")[0] == "text"
+        reason, fields = parse_line(f'development\tclean\t"a\r{private}"')
+        assert reason == "text" and fields[2] == f"a\r{private}"

@@ -84,3 +84,14 @@ def view_matches(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
 
     used = texts.where(F.col("row_id").isNotNull() & F.col("text").isNotNull()).select("row_id", "text")
     return used.mapInArrow(run, "row_id long, id string, view string, first int, last int")
+
+
+def folded_words(texts: DataFrame) -> DataFrame:
+    """row_id, view: the words of (row_id, text) in the confusable view; null texts are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [" ".join(w for w in map(folded, _LOOSE.findall(t)) if w) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["row_id", "view"])
+
+    return texts.where(F.col("text").isNotNull()).select("row_id", "text").mapInArrow(run, "row_id long, view string")

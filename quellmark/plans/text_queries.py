@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quellmark.functions import text as X
 from quellmark.operators.context import RULE_QUOTES, context_tokens, quoted_spans
-from quellmark.operators.lexicon import view_matches
+from quellmark.operators.lexicon import FOLDED, folded_words, view_matches
 from quellmark.operators.ordering import running
 from quellmark.plans import sqlbits as B
 from quellmark.runtime import table
@@ -64,11 +64,10 @@ def _boundary(s, d):
     return m.select("match_id", (F.when(F.col("first") == 0, F.lit(True)).otherwise(free(left)) & free(right)).alias("bounded"))
 
 
-def lemma_hits(s, d):
-    """row_id, id, hits: words of texts that are lemmas, without case; the fixed lexicon is the side Spark may broadcast."""
-    lex = table(s, d, "lexicon_de").select("id", F.lower(X.nfkc(F.col("lemma"))).alias("token"), "category", "level")
-    words = rows(s, d).select("row_id", F.explode(X.words(X.normalize_generic(F.col("text")))).alias("token"))
-    return words.join(lex, "token")
+def entry_matches(s, d):
+    """row_id, id, view, first, last, lemma, category, level: every place of every lemma in the three views, the first view that has it."""
+    lex = _lex(s, d)
+    return view_matches(rows(s, d), lex).join(lex.select("id", F.lower("lemma").alias("lemma"), "category", "level"), "id")
 
 
 def _phrases(s, d):
@@ -84,7 +83,9 @@ def _phrases(s, d):
 PHRASES = ("such a", "should know", "as soon as", "went away", "live stream", "without any reason")
 #: Lemmas to drop (one of them stale), category names by code, and lemmas of everyday use.
 DROPS = ("murmelkopf", "rübenkönig", "no such lemma")
-COLLISIONS = ("filzhut", "nebelbär")
+COLLISIONS = ("filzhut", "nebelbär", "murmelkopf", "rübenkönig")
+#: Phrases that make a lemma of everyday use count after all.
+REVIVING = ("such a", "so ein", "du", "you")
 
 
 def _drops(s, d):
@@ -113,17 +114,24 @@ def _category_filter(s, d):
 
 
 def _evidence(s, d):
-    """30 points per distinct lemma of a text unless it is of everyday use, then 0."""
-    hits = lemma_hits(s, d).select("row_id", "token").distinct()
-    return hits.select("row_id", F.col("token").alias("lemma"), F.when(F.col("token").isin(*COLLISIONS), 0).otherwise(30).alias("points"))
+    """30 points per distinct lemma and place, none for lemmas of everyday use unless a reactivating phrase comes right before them."""
+    found = entry_matches(s, d).select("row_id", "lemma", "first", "last").distinct().join(rows(s, d), "row_id")
+    before = F.lower(F.expr("left(text, first)"))
+    revived = before.rlike(r"(^|[^\p{L}\p{N}])(" + "|".join(REVIVING) + r") $")
+    return found.select("row_id", "lemma", "first", "last", F.when(F.col("lemma").isin(*COLLISIONS) & ~revived, 0).otherwise(30).alias("points"))
 
 
 def _markers(s, d):
     """What the model reads for a text with lexicon hits: a mark, and one per category."""
-    found = lemma_hits(s, d).groupBy("row_id").agg(F.array_sort(F.collect_set("category")).alias("c"))
+    found = entry_matches(s, d).groupBy("row_id").agg(F.array_sort(F.collect_set("category")).alias("c"))
     return found.select("row_id", F.concat(F.lit("lexhit"), F.array_join(F.transform("c", lambda x: F.concat(F.lit(" lexcat"), x)), "")).alias("markers"))
 
 
+def _confusable(s, d):
+    """The words of each text with what can't be seen left out and look-alikes as Latin letters."""
+    return folded_words(rows(s, d)).select("row_id", "view")
+
+
 def _representative(s, d):
     m = table(s, d, "lexicon_matches").where("entry_id is not null").join(table(s, d, "lexicon_de").select(F.col("id").alias("entry_id"), "level"), "entry_id")
     points = F.when(F.col("level") == "conservative", 30).otherwise(20)
@@ -166,7 +174,8 @@ QUERIES = {
     "surface_patterns": lambda s, d: _lex(s, d).select("id", F.explode(F.when(F.coalesce("pos", F.lit("n")).isin("n", "a") & ~F.contains("lemma", F.lit(" ")), F.array_distinct(F.array("lemma", F.when(F.col("lemma").endswith("z"), F.concat(F.expr("left(lemma, length(lemma) - 1)"), F.lit("ces"))).when(F.col("lemma").rlike("[aeiou]$"), F.concat("lemma", F.lit("s"))).when(F.col("lemma").endswith("l"), F.concat("lemma", F.lit("es"))).otherwise(F.col("lemma"))))).otherwise(F.array("lemma"))).alias("surface")),
     "hash_word_unigram": lambda s, d: _lex(s, d).select("id", F.expr("aggregate(transform(sequence(1, octet_length(lemma)), k -> cast(conv(hex(substring(cast(lemma as binary), k, 1)), 16, 10) as int)), aggregate(array(87, 1, 0), 8997, (h, b) -> ((h ^ b) * 435) & 65535), (h, b) -> ((h ^ b) * 435) & 65535)").alias("bin")),
     "hash_char_gram": lambda s, d: QUERIES["char_ngrams"](s, d).select("id", "gram", F.expr("aggregate(transform(sequence(1, octet_length(gram)), k -> cast(conv(hex(substring(cast(gram as binary), k, 1)), 16, 10) as int)), aggregate(array(67, 3), 8997, (h, b) -> ((h ^ b) * 435) & 65535), (h, b) -> ((h ^ b) * 435) & 65535)").alias("bin")),
-    "lexicon_match": lambda s, d: lemma_hits(s, d).groupBy("row_id", "id").agg(F.count(F.lit(1)).alias("hits")),
+    "lexicon_match": lambda s, d: entry_matches(s, d).groupBy("row_id", "id").agg(F.count(F.lit(1)).alias("hits"), F.min("first").alias("first")),
+    "view_confusable": _confusable,
     "lexicon_match_views": lambda s, d: view_matches(rows(s, d), _lex(s, d)),
     "lexicon_match_phrases": _phrases,
     "lexicon_markers": _markers,
@@ -191,10 +200,39 @@ _CLAUSES = "[" + X.CLAUSE_END + "]"
 _SCOPES = "[" + X.CLAUSE_END + X.SCOPE_END + "]"
 _DROPS = "(values " + ", ".join(f"('{x}')" for x in DROPS) + ") as drops(lemma)"
 _UNLEET = r"case when regexp_matches({0}, '\p{{L}}') and regexp_matches({0}, '[0-9]') then translate({0}, '013457', 'oieast') else {0} end"
-_LEMMAS = f"words as (select row_id, unnest(regexp_extract_all({B.clean('text')}, '{B.WORD}')) as token from corpus_rows), hits as (select row_id, id, token, category, level from words join (select *, {B.clean('lemma')} as l from lexicon_de) on l = token)"
 _GRAMS = "select id, unnest(list_transform(generate_series(1, length(lemma)), lambda i: substr(chr(2) || lemma || chr(3), i, 3))) as gram from lexicon_de"
 _RANK = "case view when 'Normalized' then 0 when 'Confusable' then 1 when 'Evasion' then 2 else 3 end"
 _SPANS = "spans as (select match_id, m.row_id, text, length(decode(encode(text)[1:raw_start])) as first, length(decode(encode(text)[1:raw_end])) as last, decode(encode(text)[raw_start + 1:raw_end]) as surface from lexicon_matches m join corpus_rows c on m.row_id = c.row_id)"
+_LOOSE = r"[\p{L}\p{N}\p{M}\p{Cf}]+"
+_FROM, _TO = ("".join(chr(k) for k in FOLDED), "".join(chr(v) if isinstance(v, int) else v for v in FOLDED.values()))
+
+
+def _folded(x: str) -> str:
+    return f"lower(translate({B.nfkc(f"regexp_replace({x}, '\\p{{Cf}}+', chr(0)[:0], 'g')")}, '{_FROM}', '{_TO}'))"
+
+
+def _words_at(name: str, pattern: str, form: str) -> str:
+    """(row_id, k, w, first, last) of the words of every text, in code points."""
+    return f"""{name}_split as (select row_id, unnest(regexp_extract_all(text, '{pattern}')) as raw, unnest(regexp_split_to_array(text, '{pattern}')[:len(regexp_extract_all(text, '{pattern}'))]) as gap, generate_subscripts(regexp_extract_all(text, '{pattern}'), 1) as k from corpus_rows),
+{name} as materialized (select * from (select row_id, k, {form} as w, (sum(length(gap) + length(raw)) over (partition by row_id order by k) - length(raw))::int as first, (sum(length(gap) + length(raw)) over (partition by row_id order by k))::int as last from {name}_split) where w <> chr(0)[:0])"""
+
+
+def _runs(name: str, lemma: str, rank: int) -> str:
+    return f"""select row_id, id, {rank} as v, first, last from {name} join {lemma} using (w) where n = 1 union all
+    select row_id, id, {rank}, first, last2 from (select *, w || ' ' || lead(w) over o as ww, lead(last) over o as last2 from {name} window o as (partition by row_id order by first)) x join {lemma} l on l.w = x.ww and n = 2"""
+
+
+_LEMMAS = f"""{_words_at("plain_words", B.WORD, B.clean("raw"))}, {_words_at("loose_words", _LOOSE, _folded("raw"))},
+singles as (select *, k - row_number() over (partition by row_id, length(w) = 1 order by k) as island, length(w) = 1 as one from plain_words),
+sized as (select *, count(*) over (partition by row_id, one, island) as many from singles),
+undone as materialized (select row_id, string_agg(w, '' order by k) as w, min(first) as first, max(last) as last from sized where one and many >= 3 group by row_id, island
+    union all select row_id, case when regexp_matches(w, '\\p{{L}}') and regexp_matches(w, '[0-9]') then translate(w, '{X.LEET[0]}', '{X.LEET[1]}') else w end, first, last from sized where not (one and many >= 3)),
+named as (select id, array_to_string(list_transform(regexp_extract_all(lemma, '{B.WORD}'), lambda w: {B.clean("w")}), ' ') as w, len(regexp_extract_all(lemma, '{B.WORD}')) as n from lexicon_de where id is not null and lemma is not null),
+looked as (select id, array_to_string(list_transform(regexp_extract_all(lemma, '{_LOOSE}'), lambda w: {_folded("w")}), ' ') as w, len(regexp_extract_all(lemma, '{_LOOSE}')) as n from lexicon_de where id is not null and lemma is not null),
+every as ({_runs("plain_words", "named", 0)} union all {_runs("loose_words", "looked", 1)} union all {_runs("undone", "named", 2)}),
+hits as materialized (select e.row_id, e.id, min(v) as v, e.first, e.last, any_value(lower(l.lemma)) as lemma, any_value(category) as category from every e join lexicon_de l on l.id = e.id group by e.row_id, e.id, e.first, e.last)"""
+_SCORED = f"""{_LEMMAS}, places as (select distinct row_id, lemma, first, last from hits), evidence as (select p.*, case when lemma in ({", ".join(repr(c) for c in COLLISIONS)}) and not regexp_matches(lower(left(text, first)), '(^|[^\\p{{L}}\\p{{N}}])({"|".join(REVIVING)}) $') then 0 else 30 end as points
+    from places p join corpus_rows c on c.row_id = p.row_id)"""
 
 
 def _sweep_sql(base: str) -> str:
@@ -226,7 +264,9 @@ SQL = {
     "surface_patterns": "select distinct id, unnest(case when coalesce(pos, 'n') in ('n', 'a') and not contains(lemma, ' ') then [lemma, case when lemma like '%z' then left(lemma, length(lemma) - 1) || 'ces' when regexp_matches(lemma, '[aeiou]$') then lemma || 's' when lemma like '%l' then lemma || 'es' else lemma end] else [lemma] end) as surface from lexicon_de",
     "hash_word_unigram": f"select id, {B.fnv16('[87, 1, 0]', 'lemma')}::int as bin from lexicon_de",
     "hash_char_gram": f"select id, gram, {B.fnv16('[67, 3]', 'gram')}::int as bin from ({_GRAMS})",
-    "lexicon_match": f"with {_LEMMAS} select row_id, id, count(*) as hits from hits group by all",
+    "lexicon_match": f"with {_LEMMAS} select row_id, id, count(*) as hits, min(first) as first from hits group by all",
+    "lexicon_match_views": f"with {_LEMMAS} select row_id, id, case v when 0 then 'Normalized' when 1 then 'Confusable' else 'Evasion' end as view, first, last from hits",
+    "view_confusable": f"with {_words_at('loose_words', _LOOSE, _folded('raw'))} select c.row_id, coalesce(string_agg(w, ' ' order by k), chr(0)[:0]) as view from corpus_rows c left join loose_words l on l.row_id = c.row_id group by c.row_id",
     "lexicon_match_phrases": f"with p as (select row_id, regexp_extract_all(unnest(regexp_split_to_array(lower(text), '{_CLAUSES}')), '{B.WORD}') as ws from corpus_rows), r as (select row_id, array_to_string(ws[i:i + n - 1], ' ') as phrase from p, (select unnest([2, 3]) as n), lateral (select unnest(generate_series(1, len(ws) - n + 1)) as i)) select row_id, phrase, count(*) as hits from r where phrase in ({', '.join(repr(p) for p in PHRASES)}) group by all",
     "lexicon_markers": f"with {_LEMMAS}, c as (select distinct row_id, category from hits) select row_id, 'lexhit' || string_agg(' lexcat' || category, '' order by category) as markers from c group by row_id",
     "match_dedupe": f"select row_id, entry_id, raw_start, raw_end, arg_min(match_id, ({_RANK}) * 1000000000000 + match_id) as match_id from lexicon_matches group by 1, 2, 3, 4",
@@ -237,8 +277,8 @@ SQL = {
     "lexicon_pos": "select id, coalesce(pos, case when regexp_matches(lemma, '(en|ern|eln)$') then 'v' when regexp_matches(lemma, '(ig|isch|lich)$') then 'a' else 'n' end) as pos from lexicon_de",
     "lexicon_siblings": "with g as (select id as base, unnest([lower(lemma) || 'n', lower(lemma) || 's', lower(lemma) || 'e']) as form, category as c, level as l from lexicon_de) select base, form, x.id, case when x.id is not null then c <> category or l is distinct from level end as differs from g left join lexicon_de x on lower(x.lemma) = form",
     "lexicon_ids": "select id, format('DE{:05d}', row_number() over (order by category, lemma, id)) as new_id from lexicon_de",
-    "lexical_evidence": f"with {_LEMMAS} select distinct row_id, token as lemma, case when token in ({', '.join(repr(c) for c in COLLISIONS)}) then 0 else 30 end as points from hits",
-    "collision_filter": f"with {_LEMMAS}, e as (select distinct row_id, token, case when token in ({', '.join(repr(c) for c in COLLISIONS)}) then 0 else 30 end as points from hits) select row_id, max(points) as points, count(*) filter (points = 0) as collisions from e group by row_id",
+    "lexical_evidence": f"with {_SCORED} select row_id, lemma, first, last, points from evidence",
+    "collision_filter": f"with {_SCORED} select row_id, max(points) as points, count(*) filter (points = 0) as collisions from evidence group by row_id",
     "casefold_merge": "select lower(matched_text) as key, string_agg(distinct entry_id, ',' order by entry_id) as entries from lexicon_matches where entry_id is not null group by 1",
     "harvest_merge": "with n as (select distinct lemma from lexicon_de where level = 'conservative') select lemma, 'native' as origin from n union all select distinct lemma, 'later' from lexicon_de where level is distinct from 'conservative' and lemma not in (select lemma from n)",
     "category_filter": "select id, array_to_string(list_filter(['German ' || category, 'de:' || coalesce(pos, '?'), 'fr:' || category, 'Germanic ' || category], lambda c: starts_with(c, 'German ') or starts_with(c, 'de:')), ',') as kept from lexicon_de",

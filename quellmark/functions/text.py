@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column
@@ -110,16 +111,38 @@ def normalize_text(text: Column) -> Column:
     return F.pandas_udf(_normalize_text, StringType())(text)
 
 
-def fnv64(data: bytes) -> int:
-    state = 0xCBF29CE484222325
+def fnv64(data: bytes, state: int = 0xCBF29CE484222325) -> int:
     for byte in data:
         state = ((state ^ byte) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
     return state
 
 
+def fnv64_all(blobs: list[bytes]) -> np.ndarray:
+    """The hashes of many byte strings, a byte of all of them at a time; the last few long ones are finished one by one."""
+    lengths = np.fromiter(map(len, blobs), np.int64, len(blobs))
+    order = np.argsort(-lengths, kind="stable")
+    data, begin = np.frombuffer(b"".join(blobs), np.uint8), (np.cumsum(lengths) - lengths)[order]
+    state = np.full(len(blobs), 0xCBF29CE484222325, np.uint64)
+    steps = int(lengths.max(initial=0))
+    live = np.searchsorted(-lengths[order], -np.arange(steps), side="left")
+    done = 0
+    while done < steps and live[done] >= 16:
+        n = live[done]
+        state[:n] = (state[:n] ^ data[begin[:n] + done]) * np.uint64(0x100000001B3)
+        done += 1
+    if done < steps:
+        for k in range(live[done]):
+            state[k] = fnv64(blobs[order[k]][done:], int(state[k]))
+    out = np.empty_like(state)
+    out[order] = state
+    return out
+
+
 def _group_hash(keys: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for series in keys:
-        yield series.map(lambda k: f"{fnv64(k.encode()):016x}", na_action="ignore")
+        known = series.dropna()
+        found = [f"{h:016x}" for h in fnv64_all([k.encode() for k in known]).tolist()]
+        yield pd.Series(found, known.index, dtype=object).reindex(series.index)
 
 
 def group_hash(language: Column, normalized: Column) -> Column:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from quellmark.functions import features as X
+from quellmark.functions.text import fnv64, fnv64_all
 
 #: Bins that every implementation of these features must give.
 CASES = [
@@ -43,3 +44,9 @@ def test_side_by_side_equals_one_by_one(profile, monkeypatch):
     found = np.split(np.concatenate(bins), np.cumsum(np.concatenate(sizes))[:-1])
     assert [f.tolist() for f in found] == [sorted(X.PROFILES[profile](t)) for t in texts]
     assert X.hashed_sets([], X.SHAPES[profile])[1].tolist() == []
+
+
+def test_hashes_of_many_equal_single_ones():
+    rng = random.Random(9)
+    blobs = [rng.randbytes(rng.choice([0, 1, 7, 300])) for _ in range(200)] + [rng.randbytes(5000)]
+    assert fnv64_all(blobs).tolist() == [fnv64(b) for b in blobs] and fnv64_all([]).tolist() == []

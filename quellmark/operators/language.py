@@ -107,6 +107,17 @@ class Profiles:
         return 1 + self.weights[np.where(self.keys[at] == own, at, len(self.keys))].sum(0)
 
 
+    def detect(self, text: str) -> tuple[str | None, bool]:
+        """(best language, whether it is reliable) of one text, as `detect` says it of a table."""
+        found = features(text)
+        raw = self.raw(found)
+        order = [k for k in np.argsort(-raw, kind="stable") if raw[k] > 1] if found else []
+        if not order:
+            return None, False
+        first, second = (1 - np.exp(-SCALE / len(found) * raw[k]) if k is not None else 0.0 for k in (order[0], order[1] if len(order) > 1 else None))
+        return LANGUAGES[order[0]], bool(len(found) >= LEAST and first >= SHARE * self.averages[order[0]] and first - second > LEAD)
+
+
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Profiles:
     """Profiles of (key, lang, text); what reaches the driver is bounded by the features of `sample` texts."""
     profiles = Profiles([(r["lang"], r["feature"], r["weight"]) for r in profile_table(labelled, sample).collect()])

@@ -65,14 +65,20 @@ def matches(text: str, lexicons: list[dict[tuple[str, ...], list[str]]], longest
     return [(entry, view, first, last) for (entry, first, last), view in seen.items()]
 
 
-def view_matches(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """row_id, id, view, first, last: lemmas of (id, lemma) in (row_id, text). Nulls are left out; the lexicon is a small table."""
+def lookups(entries: list[tuple[str, str]]) -> tuple[list[dict[tuple[str, ...], list[str]]], int]:
+    """The lemmas of (id, lemma) as each view spells them, and the words of the longest."""
     tables: list[dict[tuple[str, ...], list[str]]] = [{}, {}, {}]
-    for r in lexicon.where("id is not null and lemma is not null").select("id", "lemma").distinct().collect():
+    for entry, lemma in entries:
         for own, fold, word in zip(tables, (plain, folded, plain), (_WORD, _LOOSE, _WORD)):
-            if key := tuple(w for w in map(fold, word.findall(r["lemma"])) if w):
-                own.setdefault(key, []).append(r["id"])
-    longest = max((len(k) for t in tables for k in t), default=0)
+            if key := tuple(w for w in map(fold, word.findall(lemma)) if w):
+                own.setdefault(key, []).append(entry)
+    return tables, max((len(k) for t in tables for k in t), default=0)
+
+
+def view_matches(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """row_id, id, view, first, last: lemmas of (id, lemma) in (row_id, text). Nulls are left out; the lexicon is a small table."""
+    used = lexicon.where("id is not null and lemma is not null").select("id", "lemma").distinct()
+    tables, longest = lookups([(r["id"], r["lemma"]) for r in used.collect()])
     spread = texts.sparkSession.sparkContext.broadcast((tables, longest))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,22 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quellmark.functions import text as X
+from quellmark import judge as J
+from quellmark.functions.features import BINS
+from quellmark.operators import linear_model as L
 from quellmark.operators import rule_pack as P
 from quellmark.operators import rules as R
+from quellmark.operators.masking import MASK, masked
 from quellmark.plans import sqlbits as B
+from quellmark.plans.language_queries import _profiles as language_profiles
 from quellmark.plans.model_queries import Trained
 from quellmark.plans.text_queries import SQL as TEXT_SQL
 from quellmark.plans.text_queries import _matches, _SPANS
 from quellmark.runtime import Workspace, table
 
-#: Characters of a mask, in turn.
-MASK = "@#$%&!"
-
 #: Languages of words that the pack knows; other messages are read as English.
 LANGS = tuple(dict.fromkeys(lang for lang, *_ in P.default_pack()))
 SPOKEN = tuple(c for c in LANGS if c not in P.COMPACT)
@@ -92,14 +94,7 @@ def _merged(s, d):
 
 def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            chars = list(text)
-            for span in spans:
-                for k in range(span["first"], min(span["last"], len(chars))):
-                    if not chars[k].isspace():
-                        chars[k] = MASK[(k - span["first"]) % len(MASK)]
-            out.append("".join(chars))
+        out = [masked(text, [(x["first"], x["last"]) for x in spans]) for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["row_id", "masked"])
 
 
@@ -113,6 +108,27 @@ def _threat_list(s, d):
     return R._applied(messages(s, d).where("lang = 'ES'"), None, "row_id long, first int, last int", R.listed_threats)
 
 
+def message_judge(s, d, grawlix=True):
+    """The judge of the trained model in every locale, routed by profiles of documents, with the rule pack and the German lexicon."""
+    t = Trained(s, d)
+    weights = {r["bin"]: r["weight"] for r in L.logodds_weights(t.counts, t.totals).collect()}  # at most 65,536 rows
+    vector = np.zeros(BINS, np.int64)
+    vector[list(weights)] = list(weights.values())
+    model = J.Model(vector, L.logodds_bias(t.counts, t.totals).first()["bias"], t.boundary, L.score_scale(t.validation, t.boundary).first()["scale"])
+    entries = [(r["id"], r["lemma"]) for r in table(s, d, "lexicon_de").where("id is not null and lemma is not null").collect()]  # a fixed table
+    return J.MessageJudge(dict.fromkeys(J.REGISTRY, model), language_profiles(s, d), lexicons={"DE": entries}, grawlix=grawlix)
+
+
+def _judge_lines(s, d):
+    return J.lines(message_judge(s, d).judge(table(s, d, "corpus_rows").select("row_id", "text"))).select("row_id", "line")
+
+
+def _exit_codes(s, d):
+    """What a run over each file of messages ends with: 1 if any is unsafe, else 0."""
+    judged = message_judge(s, d, False).judge(table(s, d, "corpus_raw").select("file_name", F.col("line").alias("text")))
+    return judged.groupBy("file_name").agg(F.max(F.when(F.col("judgement.safe"), 0).otherwise(1)).alias("code"), F.count(F.lit(1)).alias("messages"))
+
+
 _AREAS = ("profanity", "targeted_abuse", "threat_language", "sentiment_support")
 QUERIES = {
     "phrase_find": lambda s, d: R.phrase_hits(spoken(s, d)),
@@ -134,6 +150,8 @@ QUERIES = {
     "es_targeted_sum": lambda s, d: judged(s, d).where("suppressor is null").groupBy("row_id").agg(F.least(F.lit(100), F.sum("points")).alias("targeted")),
     "es_threats": _threat_list,
     "compact_rules": lambda s, d: R.events(messages(s, d).where(F.col("lang").isin(*P.COMPACT))),
+    "judge_lines": _judge_lines,
+    "judge_exit": _exit_codes,
     "evidence_ranges": lambda s, d: R.evidence_ranges(judged(s, d)),
     "fuse_score": _fused,
     "evidence_sorted": lambda s, d: judged(s, d).groupBy("row_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "last", "event"))), lambda x: F.concat_ws(":", x["first"], x["last"], x["event"])), ";").alias("evidence")),
@@ -218,6 +236,7 @@ SQL = {
     "suppress_sparse": f"with {_EVENTS} select row_id, bool_or(suppressor is not null) as capped from judged group by 1",
     "suppressed_budget": f"with {_EVENTS}, low as (select row_id, event, f, l, least(points, 10) as p from judged where suppressor is not null) select row_id, event, f::int as first, l::int as last, greatest(0, least(p, 10 - coalesce(sum(p) over (partition by row_id order by f, l, event rows between unbounded preceding and 1 preceding), 0)))::int as given from low",
     "evidence_sorted": f"with {_EVENTS} select row_id, string_agg(f || ':' || l || ':' || event, ';' order by f, l, event) as evidence from judged group by 1",
+    "evidence_ranges": f"with {_EVENTS} select distinct j.row_id, p.first, q.last from judged j join placed p on p.row_id = j.row_id and p.pos = coalesce(j.by_first, j.f) join placed q on q.row_id = j.row_id and q.pos = coalesce(j.by_last, j.l) - 1",
     "fuse_score": f"with {B.CURVE}, {_EVENTS}, j as (select row_id, max(case when suppressor is null then points else 0 end) as rule, bool_or(suppressor is not null) as capped from judged group by 1) select v.row_id, greatest(coalesce(rule, 0), case when coalesce(capped, false) then least(score, 49) else score end)::int as score from verdicts v left join j on j.row_id = v.row_id",
     "category_scores": f"with {_EVENTS} select row_id, {_CELLS} from judged group by row_id",
     "policy_action": f"with {_EVENTS}, c as (select row_id, {_CELLS} from judged group by row_id) select row_id, case when threat_language > 0 then 'block' when targeted_abuse > 0 then 'review' else 'allow' end as action from c",

@@ -122,7 +122,7 @@ class MessageJudge:
     def _judged(self, text: str, locale: str, model: int) -> tuple[int, list[tuple[int, int]]]:
         """(points, spans of the evidence) of a message in a locale whose model gives so many points."""
         events = R.analyze(text, self.packs[locale], self.reply) if locale in self.packs else []
-        hits = W.matches(text, *self.lookups[locale]) if locale in self.lookups else []
+        hits = W.matches(text, self.lookups[locale]) if locale in self.lookups else []
         rule = max((e.points for e in events if e.suppressor is None), default=0)
         if any(e.suppressor for e in events):
             model = min(model, CAPPED)

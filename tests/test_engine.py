@@ -96,6 +96,14 @@ def test_lexicon_views(spark):
         (4, "b", "Evasion", 0, 9), (5, "c", "Normalized", 0, 6), (5, "d", "Normalized", 7, 17)]
 
 
+def test_lookalike_lemmas_match_plain_texts():
+    from quellmark.operators.lexicon import lookups, matches
+
+    tables = lookups([("a", "murmеl"), ("b", "zwei wörter"), ("c", "x")])  # the first has a Cyrillic letter
+    assert matches("a murmel", tables) == [("a", "Confusable", 2, 8)] and matches("zwei  W\u00f6rter", tables) == [("b", "Normalized", 0, 12)]
+    assert matches("zw\u200bei w0rt3r", tables) == [] and matches("m u r m \u0435 l", tables) == [("a", "Evasion", 0, 11)] and matches("", tables) == []
+
+
 def test_hindi_joiners(spark):
     texts = ["क्\u200dष", "क\u200d क", "a\u200db", "\u200dक", "क\u200cख a1"]
     frame = spark.createDataFrame([(t,) for t in texts], "t string")

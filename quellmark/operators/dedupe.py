@@ -11,8 +11,12 @@ from quellmark.runtime import Workspace, table
 
 #: Order in which splits outrank each other within a group of duplicates.
 PRIORITY = {"development": 0, "validation": 1, "test": 2}
-#: The dataset whose rows outrank all others, and the one whose rows only ever train.
+#: In the queries: the dataset whose rows outrank all others, and the one whose rows only ever train.
 BASELINE, TRAINING_ONLY = "lumen-board", "quill-notes"
+#: In the queries: the dataset whose records may be of unresolved lineage, in these languages.
+LINEAGE = ("mesa-forum", ("ZH", "FR"))
+#: Fields in which a delivery must agree with the catalog.
+FIELDS = ("dataset", "author_id", "canonical_group_id", "file_sha256", "revision", "license_id", "source_language_code", "source_label", "detector_split", "inclusion_status", "exclusion_reason")
 
 
 def imported(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,31 +43,31 @@ def hash_split(group: Column) -> Column:
     return F.when(bucket < 70, "development").when(bucket < 85, "validation").otherwise("test")
 
 
-def policy_split(group: Column) -> Column:
+def policy_split(group: Column, training_only: str = TRAINING_ONLY) -> Column:
     """Training-only sources develop; Turkish keeps its official test and hashes the rest 85 to 15; Vietnamese keeps all; others hash."""
     official = F.when(F.col("native") == "test", "test").when(F.col("native") == "train", "development").otherwise("validation")
     turkish = F.when(F.col("native") == "test", "test").when(X.hash_bucket(group) < 85, "development").otherwise("validation")
     return (
-        F.when(F.col("dataset") == TRAINING_ONLY, "development").when(F.col("language") == "TR", turkish)
+        F.when(F.col("dataset") == training_only, "development").when(F.col("language") == "TR", turkish)
         .when(F.col("language") == "VI", official).otherwise(hash_split(group))
     )
 
 
-def resolved(rows: DataFrame) -> DataFrame:
+def resolved(rows: DataFrame, baseline: str = BASELINE, training_only: str = TRAINING_ONLY) -> DataFrame:
     """Every row with group, conflict, representative, split and exclusion reason.
 
     A representative is the first by baseline dataset, then highest split, then smallest source_id; its split is that of
     all rows of its group. Groups are aggregated map-side and joined back, so a group of any size costs a row per task.
     """
-    own = Workspace(rows.sparkSession, "resolved").keep(keyed(rows).withColumn("own_split", policy_split(F.col("group_id"))).withColumn("g", F.coalesce("group_id", F.lit(""))))
+    own = Workspace(rows.sparkSession, "resolved").keep(keyed(rows).withColumn("own_split", policy_split(F.col("group_id"), training_only)).withColumn("g", F.coalesce("group_id", F.lit(""))))
     rank = F.coalesce(*(F.when(F.col("own_split") == s, F.lit(k)) for s, k in PRIORITY.items()))
-    first = F.min(F.struct((F.col("dataset") != BASELINE).alias("later"), (-rank).alias("rank"), "source_id", "own_split")).alias("first")
+    first = F.min(F.struct((F.col("dataset") != baseline).alias("later"), (-rank).alias("rank"), "source_id", "own_split")).alias("first")
     both = F.coalesce(F.bool_or(F.col("label") == "toxic") & F.bool_or(F.col("label") == "clean"), F.lit(False)).alias("both")
     groups = own.groupBy("language", "g").agg(first, both)
     seen = own.join(groups, ["language", "g"]).withColumn("conflict", F.col("both") & F.col("group_id").isNotNull())
     reason = (
         F.when(F.col("label").isNull(), "unlabelled").when(F.coalesce("normalized", F.lit("")) == "", "empty_text").when(F.col("conflict"), "label_conflict")
-        .when((F.col("source_id") != F.col("first.source_id")) & ~F.col("first.later") & (F.col("dataset") == TRAINING_ONLY), "sealed_baseline_duplicate")
+        .when((F.col("source_id") != F.col("first.source_id")) & ~F.col("first.later") & (F.col("dataset") == training_only), "sealed_baseline_duplicate")
         .when(F.col("source_id") != F.col("first.source_id"), "duplicate")
     )
     return seen.select(
@@ -126,15 +130,40 @@ def _manifest(spark, d):
     return both.select("batch_id", *(F.coalesce(F.col(f"have_{s}") - F.col(s), F.lit(-1)).alias(f"{s}_more") for s in PRIORITY))
 
 
+def source_diff(catalog: DataFrame, observed: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """source_id, record_id, problem of every observed record that the catalog lacks or that differs from it (the fields are named), and of catalog entries nobody delivered."""
+    known = catalog.select("source_id", F.lit(True).alias("listed"), *(F.col(f).alias(f"c_{f}") for f in fields))
+    both = observed.select("source_id", "record_id", F.lit(True).alias("seen"), *fields).join(known, "source_id", "full")
+    differs = F.array_join(F.array_compact(F.array(*(F.when(~F.col(f"c_{f}").eqNullSafe(F.col(f)), F.lit(f)) for f in fields))), ",")
+    problem = F.when(F.col("listed").isNull(), "not in the catalog").when(F.col("seen").isNull(), "not delivered").otherwise(differs)
+    return both.select("source_id", "record_id", problem.alias("problem")).where("problem <> ''")
+
+
 def _source_diff(spark, d):
-    """Records delivered more than once whose fields differ between the first and the last delivery."""
+    """Every delivery of a provenance record against its first one, which stands for the catalog; records of datasets without a license aren't catalogued."""
     p = table(spark, d, "provenance").where("source_id is not null and record_id is not null")
-    fields = ["author_id", "canonical_group_id", "detector_split", "inclusion_status", "source_label", "license_id"]
-    ends = p.groupBy("source_id").agg(F.min("record_id").alias("a"), F.max("record_id").alias("b")).where("a <> b")
-    first = p.select(F.col("record_id").alias("a"), *(F.col(f).alias(f"a_{f}") for f in fields))
-    last = p.select(F.col("record_id").alias("b"), *(F.col(f).alias(f"b_{f}") for f in fields))
-    differs = F.array_join(F.array_compact(F.array(*(F.when(~F.col(f"a_{f}").eqNullSafe(F.col(f"b_{f}")), F.lit(f)) for f in fields))), ",")
-    return ends.join(first, "a").join(last, "b").select("source_id", differs.alias("fields")).where("fields <> ''")
+    first = p.groupBy("source_id").agg(F.min("record_id").alias("record_id"))
+    catalog = p.join(first, ["source_id", "record_id"], "left_semi").where("license_id is not null")
+    return source_diff(catalog, p)
+
+
+def lineage_problems(records: DataFrame, dataset: str, languages: tuple[str, ...]) -> DataFrame:
+    """source_id, problem: ids of more than one record, and unresolved lineage outside of the dataset and languages that may have it."""
+    code = F.upper(F.regexp_extract("source_language_code", "^([A-Za-z]+)", 1))
+    may = F.coalesce((F.col("dataset") == dataset) & code.isin(*languages), F.lit(False))
+    rows = records.where("source_id is not null")
+    repeated = rows.groupBy("source_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("source_id", F.lit("repeated id").alias("problem"))
+    return repeated.union(rows.where((F.col("lineage_status") == "unresolved") & ~may).select("source_id", F.lit("unresolved lineage")))
+
+
+def _sealed(spark, d):
+    """Validation and test texts against a lock of their digests that was written before one text of `test` was changed."""
+    rows = table(spark, d, "corpus_rows").where("split in ('validation', 'test') and text is not null").select("row_id", "split", "text")
+    work = Workspace(spark, "lock")
+    lock = work.keep(rows.groupBy("split").agg(multiset_digest(F.col("text")).alias("locked")))
+    changed = rows.where("split = 'test'").agg(F.min("row_id").alias("m")).scalar()
+    now = rows.withColumn("text", F.when((F.col("split") == "test") & (F.col("row_id") == changed), F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return lock.join(now.groupBy("split").agg(multiset_digest(F.col("text")).alias("found")), "split", "full").select("split", F.col("locked").eqNullSafe(F.col("found")).alias("sealed"))
 
 
 _VALID = "record_id, not coalesce(case inclusion_status when 'included' then detector_label is not null and detector_split is not null and representative_source_id is not null when 'excluded' then exclusion_reason is not null end, false) as broken"
@@ -155,13 +184,11 @@ QUERIES = {
     "audit_exclusion": _audit,
     "row_source_id": lambda s, d: imported(s, d).where("text is not null").select("source_id", row_source_id(F.col("language"), F.col("text")).alias("row_source_id")),
     "split_digest": lambda s, d: table(s, d, "corpus_rows").where("split is not null and text is not null").groupBy("split").agg(F.count(F.lit(1)).alias("rows"), multiset_digest(F.concat(F.coalesce("label", F.lit("")), F.lit("\t"), "text", F.lit("\n"))).alias("digest")),
-    "sealed_check": lambda s, d: (lambda a, b: a.join(b, "split").select("split", (F.col("x") == F.col("y")).alias("sealed")))(
-        table(s, d, "corpus_rows").where("split in ('validation', 'test') and text is not null").groupBy("split").agg(multiset_digest(F.col("text")).alias("x")),
-        table(s, d, "corpus_rows").where("split in ('validation', 'test') and text is not null and label is not null").groupBy("split").agg(multiset_digest(F.col("text")).alias("y"))),
+    "sealed_check": _sealed,
     "corpus_order_check": _order_check,
     "manifest_check": _manifest,
     "source_diff": _source_diff,
-    "source_lineage": lambda s, d: table(s, d, "provenance").groupBy("dataset", "lineage_status").agg(F.count(F.lit(1)).alias("records"), F.count_if(F.coalesce(F.size("upstream_lineage"), F.lit(0)) <= 0).alias("without_lineage")),
+    "source_lineage": lambda s, d: lineage_problems(table(s, d, "provenance"), *LINEAGE),
     "provenance_validity": lambda s, d: table(s, d, "provenance").selectExpr(*_VALID.replace("record_id, ", "record_id;").split(";")).where("broken").select("record_id"),
 }
 
@@ -214,10 +241,10 @@ SQL = {
         select l.source_id, case when k.source_id is null then 'unknown' when {_POLICY} = 'development' then 'excluded' else 'not development' end as status from listed l left join keyed k on k.source_id = l.source_id""",
     "row_source_id": f"with {_IMPORTED} select source_id, language || ':' || substr(sha256(text), 1, 12) as row_source_id from imported where text is not null",
     "split_digest": f"select split, count(*) as rows, {_digest_sql('coalesce(label, chr(0)[:0]) || chr(9) || text || chr(10)')} as digest from corpus_rows where split is not null and text is not null group by split",
-    "sealed_check": f"with a as (select split, {_digest_sql('text')} as x from corpus_rows where split in ('validation', 'test') and text is not null group by split), b as (select split, {_digest_sql('text')} as y from corpus_rows where split in ('validation', 'test') and text is not null and label is not null group by split) select split, x = y as sealed from a join b using (split)",
+    "sealed_check": f"with r as (select * from corpus_rows where split in ('validation', 'test') and text is not null), m as (select min(row_id) as m from r where split = 'test'), n as (select split, case when split = 'test' and row_id = m then text || '!' else text end as text from r, m), a as (select split, {_digest_sql('text')} as x from r group by split), b as (select split, {_digest_sql('text')} as y from n group by split) select split, x = y as sealed from a join b using (split)",
     "corpus_order_check": "with r as (select *, lag(line) over (partition by file_name order by line_no, raw_id) as before from corpus_raw) select file_name, count(*) as lines, count(*) filter (line < before) as out_of_order from r group by file_name",
     "manifest_check": "with h as (select batch_id, " + ", ".join(f"count(*) filter (split = '{s}') as have_{s}" for s in PRIORITY) + " from corpus_rows where batch_id is not null group by 1), p as (select batch_id, " + ", ".join(f"max({s}) as {s}" for s in PRIORITY) + " from prepared_counts group by 1) select coalesce(h.batch_id, p.batch_id) as batch_id, " + ", ".join(f"coalesce(have_{s} - {s}, -1)::bigint as {s}_more" for s in PRIORITY) + " from p full join h on p.batch_id = h.batch_id",
-    "source_diff": "with e as (select source_id, min(record_id) as a, max(record_id) as b from provenance where source_id is not null group by 1 having min(record_id) <> max(record_id)), j as (select e.source_id, array_to_string(list_filter([" + ", ".join(f"case when x.{f} is distinct from y.{f} then '{f}' end" for f in ["author_id", "canonical_group_id", "detector_split", "inclusion_status", "source_label", "license_id"]) + "], lambda f: f is not null), ',') as fields from e join provenance x on x.record_id = a join provenance y on y.record_id = b) select * from j where fields <> ''",
-    "source_lineage": "select dataset, lineage_status, count(*) as records, count(*) filter (coalesce(len(upstream_lineage), 0) = 0) as without_lineage from provenance group by all",
+    "source_diff": "with p as (select * from provenance where source_id is not null and record_id is not null), k as (select p.* from p join (select source_id, min(record_id) as record_id from p group by 1) using (source_id, record_id) where license_id is not null), j as (select p.source_id, p.record_id, case when k.source_id is null then 'not in the catalog' else array_to_string(list_filter([" + ", ".join(f"case when p.{f} is distinct from k.{f} then '{f}' end" for f in FIELDS) + "], lambda f: f is not null), ',') end as problem from p left join k on k.source_id = p.source_id) select * from j where problem <> chr(0)[:0]",
+    "source_lineage": f"select source_id, 'repeated id' as problem from provenance where source_id is not null group by 1 having count(*) > 1 union all select source_id, 'unresolved lineage' from provenance where source_id is not null and lineage_status = 'unresolved' and not coalesce(dataset = '{LINEAGE[0]}' and upper(regexp_extract(source_language_code, '^([A-Za-z]+)', 1)) in ({', '.join(repr(c) for c in LINEAGE[1])}), false)",
     "provenance_validity": f"select record_id from (select {_VALID} from provenance) where broken",
 }

@@ -47,10 +47,12 @@ judged as (select named.g, named.n - named.last as inside, named.last as termina
     when rate * (named.n - named.last) >= :frequent and named.last - 1 < rate * named.n then true
     when rate * (kinds.n - kinds.last) >= :broad then kinds.last - 1 < rate * kinds.n
     when rate * (closes.n - closes.last) >= :frequent then closes.last - 1 < rate * closes.n
-    else closes.last <= :usual * ends end as cut
+    else closes.last <= :usual * ends end as cut, case
+    when rate * (named.n - named.last) >= :frequent and named.last - 1 < rate * named.n then 'trigram'
+    when rate * (kinds.n - kinds.last) >= :broad then 'endings' when rate * (closes.n - closes.last) >= :frequent then 'ending' else 'rare ending' end as decided_by
     from named join kinds on named.k = kinds.k join closes on substring_index(trim(named.k), ' ', -1) = closes.c
     cross join base where named.last > 0)
-select l.doc_id, l.source, l.g as final_trigram, coalesce(inside, 0) as inside, coalesce(terminal, 0) as terminal, coalesce(cut, false) as cut
+select l.doc_id, l.source, l.g as final_trigram, coalesce(inside, 0) as inside, coalesce(terminal, 0) as terminal, coalesce(cut, false) as cut, decided_by
 from {lines} l left join judged on l.g = judged.g
 """
 
@@ -64,7 +66,7 @@ def _braces(sql: str, *kept: str) -> str:
 
 
 def truncation(documents: DataFrame) -> DataFrame:
-    """doc_id, source, final_trigram, inside, terminal, cut (by the counts).
+    """doc_id, source, final_trigram, inside, terminal, cut (by the counts), decided_by (the word trigram itself, or which coarser count).
 
     Null texts and ids are left out; an empty text is complete; repeated rows are judged alike; trailing white space
     doesn't count; of other columns only source is read. Trigrams are counted map-side first, so a hot one costs a row per task;
@@ -82,6 +84,11 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation(table(spark, sf_dir, "documents")).where("cut").select("doc_id")
 
 
+def p10_method(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only what the word trigrams themselves decide: frequent inside texts, almost never at ends. A word cut in two makes a trigram that is never inside, so most cuts aren't here."""
+    return truncation(table(spark, sf_dir, "documents")).where("cut and decided_by = 'trigram'").select("doc_id", "source", "final_trigram", "inside", "terminal")
+
+
 def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each source truncates."""
     found = truncation(table(spark, sf_dir, "documents"))
@@ -90,7 +97,7 @@ def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p10_found": p10_found, "p10_sources": p10_sources}
+QUERIES = {"p10_method": p10_method, "p10_found": p10_found, "p10_sources": p10_sources}
 
 #: Characters that end a complete text, for the SQL only.
 ENDS = ".!?…。！？؟।)]}»”\"』」）"

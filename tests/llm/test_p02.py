@@ -114,3 +114,15 @@ def test_one_sort_orders_as_three():
     for docs in (50, 2**36):
         order = P._in_order(doc, least, gram, docs)
         assert all(np.array_equal(x[order], x[np.lexsort((gram, least, doc))]) for x in (doc, least, gram))
+
+
+def test_containment_alone_keeps_every_match(spark):
+    full = frame(spark, copied_rows(random.Random(7), 40, 4))
+    classes = {}
+    for r in full.collect():
+        classes.setdefault((r["split"] == "development", tuple(words(r["text"]))), []).append(r["row_id"])
+    first = {i: min(g) for g in classes.values() for i in g}
+    found = {(r["dev"], r["held"]): r["containment"] for r in P.containments(full).collect()}
+    matched = {(first[r["row_dev"]], first[r["row_eval"]]): r["containment"] for r in P.overlaps(full).collect()}
+    assert all(abs(found[pair] - c) < 1e-9 for pair, c in matched.items()) and all(0 < c <= 1 for c in found.values())
+    assert P.containments(full.limit(0)).collect() == []

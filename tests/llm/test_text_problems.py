@@ -210,6 +210,7 @@ def test_truncation(spark):
     found = P10.truncation(frame).toPandas()
     assert set(found[found.cut].doc_id) == cut | {902} and len(found) == 403
     assert P10.truncation(frame.limit(0)).collect() == []
+    assert set(found[found.cut].decided_by) <= {"trigram", "endings", "ending", "rare ending"} and (found[found.decided_by == "trigram"].inside > 0).all()
     assert re.match(r"\S+\s", found.final_trigram[0])
 
 

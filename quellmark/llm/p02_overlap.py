@@ -217,7 +217,7 @@ def _meetings(grams: DataFrame) -> DataFrame:
     return train.join(held, on).where(near & (F.col("hd") != F.col("he"))).select("hd", "he").distinct()
 
 
-def class_overlaps(rows: DataFrame, check=_verified, schema: str = "hd binary, he binary, distance int, containment double") -> tuple[DataFrame, DataFrame]:
+def class_overlaps(rows: DataFrame, check=_verified, out: str = "hd binary, he binary, distance int, containment double") -> tuple[DataFrame, DataFrame]:
     """Classes of rows of equal words, (row_id, evaluation, h), and the pairs of different classes that match, (hd, he, distance, containment).
 
     Rows with a null split, row_id or text take no part; empty texts have no words and are one class; columns other than
@@ -237,7 +237,7 @@ def class_overlaps(rows: DataFrame, check=_verified, schema: str = "hd binary, h
     spelled = work.keep(owners.join(used.select("row_id", "text"), "row_id").select("h", "text"))
     pairs = hits.join(spelled.select(F.col("h").alias("hd"), F.col("text").alias("td")), "hd")
     pairs = pairs.join(spelled.select(F.col("h").alias("he"), F.col("text").alias("te")), "he")
-    return texts, pairs.mapInPandas(check, schema)
+    return texts, pairs.mapInPandas(check, out)
 
 
 def overlaps(rows: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ word alone, both summed from the same counts. Nothing but these counts decides:
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quellmark.runtime import Workspace, table
 
@@ -85,8 +86,12 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_method(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only what the word trigrams themselves decide: frequent inside texts, almost never at ends. A word cut in two makes a trigram that is never inside, so most cuts aren't here."""
-    return truncation(table(spark, sf_dir, "documents")).where("cut and decided_by = 'trigram'").select("doc_id", "source", "final_trigram", "inside", "terminal")
+    """What the word trigrams themselves say of every document: its final one's counts, and whether it is frequent inside texts but almost never at ends.
+
+    A word cut in two makes a trigram that is never inside, so most cuts aren't flagged; the more documents, the more trigrams can tell.
+    """
+    flagged = F.col("cut") & F.coalesce(F.col("decided_by") == "trigram", F.lit(False))
+    return truncation(table(spark, sf_dir, "documents")).select("doc_id", "source", "final_trigram", "inside", "terminal", flagged.alias("flagged"))
 
 
 def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

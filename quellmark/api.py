@@ -32,16 +32,16 @@ class Judge:
         spark = rows.sparkSession
         work = Workspace(spark, "judge")
         used = rows.where("text is not null and label is not null").select("row_id", "split", "label", "text")
-        featured = work.keep(with_bins(used))
+        featured = work.keep(with_bins(used, carry=("split", "label")))
         names = used.select("row_id", "split", "label")
         dev = names.where("split = 'development'")
         totals = L.class_totals(dev).first()
         if not totals["nt"] or not totals["nc"]:
             raise NotReady("development rows of both labels are needed")
-        counts = work.keep(L.document_counts(featured.join(dev, "row_id")))
+        counts = work.keep(L.document_counts(featured.where("split = 'development'")))
         weights = work.keep(L.logodds_weights(counts, L.class_totals(dev)))
         bias = L.logodds_bias(counts, L.class_totals(dev))
-        scores = work.keep(L.raw_scores(featured, weights, bias).join(names.where("split = 'validation'"), "row_id"))
+        scores = work.keep(L.raw_scores(featured.where("split = 'validation'"), weights, bias, carry=("label",)))
         best = L.best_boundary(L.calibration_curve(scores, minimum)).first()
         if best is None:
             raise NotReady("no boundary passes the gates")

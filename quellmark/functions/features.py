@@ -277,14 +277,15 @@ def _bins(profile: str):
                 found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
             else:
                 found = pa.array([sorted(make(t)) for t in plain], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), found], ["row_id", "bins"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), found, *batch.columns[2:]], ["row_id", "bins", *batch.schema.names[2:]])
 
     return run
 
 
-def with_bins(texts: DataFrame, profile: str = "word_char_35") -> DataFrame:
-    """row_id, bins (ascending) of each (row_id, text); a null or empty text has none."""
-    return spread(texts.select("row_id", "text")).mapInArrow(_bins(profile), "row_id long, bins array<int>")
+def with_bins(texts: DataFrame, profile: str = "word_char_35", carry: tuple[str, ...] = ()) -> DataFrame:
+    """row_id, bins (ascending) of each (row_id, text), and the columns to carry along; a null or empty text has none."""
+    used = texts.select("row_id", "text", *carry)
+    return spread(used).mapInArrow(_bins(profile), ", ".join(["row_id long, bins array<int>", *(f"`{c}` {dict(used.dtypes)[c]}" for c in carry)]))
 
 
 def bin_array(bins: np.ndarray) -> np.ndarray:

@@ -65,8 +65,8 @@ def nb_ratios(counts: DataFrame) -> DataFrame:
     return used.crossJoin(F.broadcast(sums)).select("bin", ratio.alias("ratio"))
 
 
-def raw_scores(featured: DataFrame, weights: DataFrame, bias: DataFrame) -> DataFrame:
-    """row_id, raw: bias plus the weights of each row's bins, clamped; a narrow step, as the model has at most 65,536 weights."""
+def raw_scores(featured: DataFrame, weights: DataFrame, bias: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """row_id, raw, and the columns to carry along: bias plus the weights of each row's bins, clamped; a narrow step, as the model has at most 65,536 weights."""
     lookup = np.zeros(BINS, np.int64)
     for r in weights.collect():  # at most BINS rows
         lookup[r["bin"]] = r["weight"]
@@ -80,9 +80,10 @@ def raw_scores(featured: DataFrame, weights: DataFrame, bias: DataFrame) -> Data
             totals = np.concatenate([[0], np.cumsum(known[column.flatten().to_numpy()])])
             ends = np.cumsum(lengths)
             raw = np.clip(totals[ends] - totals[ends - lengths] + base, -I32 - 1, I32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw)], ["row_id", "raw"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw), *batch.columns[2:]], ["row_id", "raw", *carry])
 
-    return featured.select("row_id", "bins").mapInArrow(run, "row_id long, raw long")
+    used = featured.select("row_id", "bins", *carry)
+    return used.mapInArrow(run, ", ".join(["row_id long, raw long", *(f"`{c}` {dict(used.dtypes)[c]}" for c in carry)]))
 
 
 def scaled(raw: Column, boundary: Column, scale: Column) -> Column:

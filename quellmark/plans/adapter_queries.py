@@ -53,12 +53,6 @@ def _pairs(s, d):
     return toxic.join(clean, "pair_id", "full").select("pair_id", F.when(F.col("toxic").isNull(), "unknown pair").when(F.col("controls").isNull(), "missing control").when(F.col("controls") > 1, "duplicate control").otherwise("ok").alias("status"))
 
 
-def _audit(s, d):
-    t = Trained(s, d).verdicts
-    rows = table(s, d, "corpus_rows").select("row_id", F.length("text").alias("length"))
-    return t.where("split = 'validation' and label is not null").join(rows, "row_id").select("row_id", "label", "length", "raw", "score", ((F.col("score") >= 50) == (F.col("label") == "toxic")).alias("agrees"))
-
-
 def _evidence_check(s, d):
     """Recorded matches whose text isn't what their place in the row says, and whose view can't be right for it."""
     m = table(s, d, "lexicon_matches").join(table(s, d, "corpus_rows").select("row_id", "text"), "row_id")
@@ -107,10 +101,10 @@ def _ablation(s, d):
     models = [("log_odds", None, False, None, (L.logodds_weights(t.counts, t.totals), L.logodds_bias(t.counts, t.totals)))]
     models += [("logistic", x.cost, x.balanced, None, _table(s, w)) for x, w in zip(settings[:-1], fitted)]
     models += [("nb_logistic", 1.0, False, beta, _table(s, G.blended(fitted[-1], ratios, active, beta))) for beta in BETAS]
-    validation = t.work.keep(t.featured.join(t.rows.where("split = 'validation' and label is not null"), "row_id"))
+    validation = t.featured.where("split = 'validation' and label is not null")
     out = []
     for name, cost, balanced, beta, model in models:
-        scores = L.raw_scores(validation, *model).join(validation.select("row_id", "label"), "row_id")
+        scores = L.raw_scores(validation, *model, carry=("label",))
         found = L.best_boundary(L.calibration_curve(t.work.keep(scores), MINIMUM)).first()
         out.append((name, cost, balanced, beta, *((found["boundary"], found["tp"], found["fp"], found["tn"], found["fn"], None) if found else (None,) * 5 + ("no boundary passes the gates",))))
     return s.createDataFrame(out, "learner string, cost double, balanced boolean, beta double, boundary long, tp long, fp long, tn long, fn long, error string")
@@ -127,7 +121,6 @@ QUERIES = {
     "p95_summary": lambda s, d: fixture(s, "timings").groupBy(F.split_part("name", F.lit("-"), F.lit(2)).alias("kind")).agg(F.median("p95").alias("middle"), F.max("p95").alias("worst")),
     "evidence_check": _evidence_check,
     "verdict_lines": lambda s, d: (lambda t: t.verdicts.select("row_id", K.verdict_line(F.col("score") < 50, F.col("score"), F.lit(None).cast("string"), F.lit(None).cast("string")).alias("line")))(Trained(s, d)),
-    "validation_audit": _audit,
     "train_logistic": _logistic,
     "train_nb_logistic": lambda s, d: _logistic(s, d, True),
     "ablation": _ablation,
@@ -144,6 +137,5 @@ SQL = {
     "behavior_evidence": f"{_cte('panel', 'registry')} select case_id, {_EVIDENCE} as status from panel left join registry on panel.evidence = registry.evidence",
     "behavior_report": f"{_cte('panel', 'actual')} select language, count(*) as cases, count(*) filter (expected = flagged) as passed, bool_and(expected = flagged) as passes from panel join actual using (case_id) group by 1",
     "latest_run": f"{_cte('runs')} select path, stamp::bigint as stamp from runs where retrained and version = 1 and section = 'test' order by stamp desc, path desc limit 1",
-    "validation_audit": f"with {B.CURVE} select v.row_id, v.label, length(text)::int as length, raw, score, (score >= 50) = (v.label = 'toxic') as agrees from verdicts v join corpus_rows c on c.row_id = v.row_id where v.split = 'validation' and v.label is not null",
     "p95_summary": f"{_cte('timings')} select split_part(name, '-', 2) as kind, median(p95) as middle, max(p95) as worst from timings group by 1",
 }

@@ -23,12 +23,10 @@ class Trained:
     def __init__(self, spark: SparkSession, sf_dir: str):
         rows = table(spark, sf_dir, "corpus_rows").where("text is not null")
         self.work = Workspace(spark, "model")
-        featured = self.work.keep(X.with_bins(rows))
+        self.featured = self.work.keep(X.with_bins(rows, carry=("split", "label")))
         self.rows = rows.select("row_id", "split", "label")
-        self.featured = featured
-        dev = self.rows.where("split = 'development' and label is not null")
-        self.labelled = featured.join(dev, "row_id")
-        self.totals = L.class_totals(dev)
+        self.labelled = self.featured.where("split = 'development' and label is not null")
+        self.totals = L.class_totals(self.rows.where("split = 'development' and label is not null"))
 
     @cached_property
     def counts(self) -> DataFrame:
@@ -36,8 +34,8 @@ class Trained:
 
     @cached_property
     def scores(self) -> DataFrame:
-        raw = L.raw_scores(self.featured, L.logodds_weights(self.counts, self.totals), L.logodds_bias(self.counts, self.totals))
-        return self.work.keep(self.rows.join(raw, "row_id"))
+        model = L.logodds_weights(self.counts, self.totals), L.logodds_bias(self.counts, self.totals)
+        return self.work.keep(L.raw_scores(self.featured, *model, carry=("split", "label")))
 
     @property
     def validation(self) -> DataFrame:

@@ -108,6 +108,15 @@ def _threat_list(s, d):
     return R._applied(messages(s, d).where("lang = 'ES'"), None, "row_id long, first int, last int", R.listed_threats)
 
 
+def _audit(s, d):
+    """Every validation row: length, model score, rule points, whether evidence is suppressed, the verdict and whether it is right."""
+    rows = table(s, d, "corpus_rows").select("row_id", F.length("text").alias("length"))
+    v = Trained(s, d).verdicts.where("split = 'validation' and label is not null").join(rows, "row_id").join(R.scored(judged(s, d)), "row_id", "left")
+    capped = F.coalesce("capped", F.lit(False))
+    fused = F.greatest(F.coalesce("rule", F.lit(0)), F.when(capped, F.least("score", F.lit(49))).otherwise(F.col("score")))
+    return v.select("row_id", "label", "length", "raw", "score", F.coalesce("rule", F.lit(0)).alias("rule"), capped.alias("suppressed"), (fused >= 50).alias("flag"), ((fused >= 50) == (F.col("label") == "toxic")).alias("agrees"))
+
+
 def message_judge(s, d, grawlix=True):
     """The judge of the trained model in every locale, routed by profiles of documents, with the rule pack and the German lexicon."""
     t = Trained(s, d)
@@ -150,6 +159,7 @@ QUERIES = {
     "es_targeted_sum": lambda s, d: judged(s, d).where("suppressor is null").groupBy("row_id").agg(F.least(F.lit(100), F.sum("points")).alias("targeted")),
     "es_threats": _threat_list,
     "compact_rules": lambda s, d: R.events(messages(s, d).where(F.col("lang").isin(*P.COMPACT))),
+    "validation_audit": _audit,
     "judge_lines": _judge_lines,
     "judge_exit": _exit_codes,
     "evidence_ranges": lambda s, d: R.evidence_ranges(judged(s, d)),
@@ -237,6 +247,7 @@ SQL = {
     "suppressed_budget": f"with {_EVENTS}, low as (select row_id, event, f, l, least(points, 10) as p from judged where suppressor is not null) select row_id, event, f::int as first, l::int as last, greatest(0, least(p, 10 - coalesce(sum(p) over (partition by row_id order by f, l, event rows between unbounded preceding and 1 preceding), 0)))::int as given from low",
     "evidence_sorted": f"with {_EVENTS} select row_id, string_agg(f || ':' || l || ':' || event, ';' order by f, l, event) as evidence from judged group by 1",
     "evidence_ranges": f"with {_EVENTS} select distinct j.row_id, p.first, q.last from judged j join placed p on p.row_id = j.row_id and p.pos = coalesce(j.by_first, j.f) join placed q on q.row_id = j.row_id and q.pos = coalesce(j.by_last, j.l) - 1",
+    "validation_audit": f"with {B.CURVE}, {_EVENTS}, j as (select row_id, max(case when suppressor is null then points else 0 end) as rule, bool_or(suppressor is not null) as capped from judged group by 1), f as (select v.row_id, v.label, length(c.text)::int as length, raw, score, coalesce(rule, 0)::int as rule, coalesce(capped, false) as suppressed, greatest(coalesce(rule, 0), case when coalesce(capped, false) then least(score, 49) else score end) >= 50 as flag from verdicts v join corpus_rows c on c.row_id = v.row_id left join j on j.row_id = v.row_id where v.split = 'validation' and v.label is not null) select *, flag = (label = 'toxic') as agrees from f",
     "fuse_score": f"with {B.CURVE}, {_EVENTS}, j as (select row_id, max(case when suppressor is null then points else 0 end) as rule, bool_or(suppressor is not null) as capped from judged group by 1) select v.row_id, greatest(coalesce(rule, 0), case when coalesce(capped, false) then least(score, 49) else score end)::int as score from verdicts v left join j on j.row_id = v.row_id",
     "category_scores": f"with {_EVENTS} select row_id, {_CELLS} from judged group by row_id",
     "policy_action": f"with {_EVENTS}, c as (select row_id, {_CELLS} from judged group by row_id) select row_id, case when threat_language > 0 then 'block' when targeted_abuse > 0 then 'review' else 'allow' end as action from c",

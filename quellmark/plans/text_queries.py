@@ -147,6 +147,23 @@ def _sweep(s, d, base, known):
     return words.join(fresh, "token").groupBy("token").agg(F.count_if(F.col("label") == "toxic").alias("toxic"), F.count_if(F.col("label") == "clean").alias("clean"))
 
 
+#: Spanish entries (id, pos, lemma) for the plural rule, which no German entry falls under.
+SPANISH = [("ES00001", "n", "payaso"), ("ES00002", "N", "nuez"), ("ES00003", "a", "banal"), ("ES00004", "a", "gris"), ("ES00005", "v", "pegar"), ("ES00006", "n", "cara dura"), ("ES00007", None, "tonto"), ("ES00008", "n", "feliz")]
+
+
+def surface_patterns(entry, pos, lemma):
+    """The forms of an entry: the lemma and, of a Spanish noun or adjective of one word, its plural."""
+    nominal = F.upper(entry).startswith("ES") & F.lower(F.trim(pos)).isin("n", "a") & ~lemma.rlike(r"\s")
+    stem = F.regexp_replace(lemma, "z$", "ces")
+    plural = F.when(lemma.endswith("z"), stem).when(lemma.rlike("[aeiou]$"), F.concat(lemma, F.lit("s"))).when(lemma.endswith("l"), F.concat(lemma, F.lit("es"))).otherwise(lemma)
+    return F.array_distinct(F.when(nominal, F.array(lemma, plural)).otherwise(F.array(lemma)))
+
+
+def _with_spanish(s, d):
+    fixture = s.createDataFrame(SPANISH, "id string, pos string, lemma string")
+    return _lex(s, d).where("lemma is not null").select("id", "pos", "lemma").union(fixture)
+
+
 def _lex(s, d):
     return table(s, d, "lexicon_de")
 
@@ -171,7 +188,7 @@ QUERIES = {
     "hindi_tokens": lambda s, d: rows(s, d).select("row_id", F.posexplode(X.hindi_words(X.nfkc(F.col("text")))).alias("pos", "token")),
     "span_map": lambda s, d: _matches(s, d).select("match_id", "first", "last", "surface"),
     "match_boundary": _boundary,
-    "surface_patterns": lambda s, d: _lex(s, d).select("id", F.explode(F.when(F.coalesce("pos", F.lit("n")).isin("n", "a") & ~F.contains("lemma", F.lit(" ")), F.array_distinct(F.array("lemma", F.when(F.col("lemma").endswith("z"), F.concat(F.expr("left(lemma, length(lemma) - 1)"), F.lit("ces"))).when(F.col("lemma").rlike("[aeiou]$"), F.concat("lemma", F.lit("s"))).when(F.col("lemma").endswith("l"), F.concat("lemma", F.lit("es"))).otherwise(F.col("lemma"))))).otherwise(F.array("lemma"))).alias("surface")),
+    "surface_patterns": lambda s, d: _with_spanish(s, d).select("id", F.explode(surface_patterns(F.col("id"), F.col("pos"), F.col("lemma"))).alias("surface")),
     "hash_word_unigram": lambda s, d: _lex(s, d).select("id", F.expr("aggregate(transform(sequence(1, octet_length(lemma)), k -> cast(conv(hex(substring(cast(lemma as binary), k, 1)), 16, 10) as int)), aggregate(array(87, 1, 0), 8997, (h, b) -> ((h ^ b) * 435) & 65535), (h, b) -> ((h ^ b) * 435) & 65535)").alias("bin")),
     "hash_char_gram": lambda s, d: QUERIES["char_ngrams"](s, d).select("id", "gram", F.expr("aggregate(transform(sequence(1, octet_length(gram)), k -> cast(conv(hex(substring(cast(gram as binary), k, 1)), 16, 10) as int)), aggregate(array(67, 3), 8997, (h, b) -> ((h ^ b) * 435) & 65535), (h, b) -> ((h ^ b) * 435) & 65535)").alias("bin")),
     "lexicon_match": lambda s, d: entry_matches(s, d).groupBy("row_id", "id").agg(F.count(F.lit(1)).alias("hits"), F.min("first").alias("first")),
@@ -261,7 +278,7 @@ SQL = {
         select row_id, (k - 1)::int as pos, lower(w) as token, (last - length(w))::int as first, last::int as last, clause::int as clause, scope::int as scope, gap[-1] = '@' as mention from c""",
     "span_map": f"with {_SPANS} select match_id, first::int as first, last::int as last, surface from spans",
     "match_boundary": rf"with {_SPANS}, n as (select match_id, first = 0 as start, text[first] as a, text[last + 1] as b from spans) select match_id, (start or not regexp_matches(a, '[\p{{L}}\p{{N}}]') or regexp_matches(a, '[\p{{Han}}\p{{Hiragana}}\p{{Katakana}}]')) and (b = '' or not regexp_matches(b, '[\p{{L}}\p{{N}}]') or regexp_matches(b, '[\p{{Han}}\p{{Hiragana}}\p{{Katakana}}]')) as bounded from n",
-    "surface_patterns": "select distinct id, unnest(case when coalesce(pos, 'n') in ('n', 'a') and not contains(lemma, ' ') then [lemma, case when lemma like '%z' then left(lemma, length(lemma) - 1) || 'ces' when regexp_matches(lemma, '[aeiou]$') then lemma || 's' when lemma like '%l' then lemma || 'es' else lemma end] else [lemma] end) as surface from lexicon_de",
+    "surface_patterns": f"with e as (select id, pos, lemma from lexicon_de where lemma is not null union all select * from (values {', '.join('(' + ', '.join('null' if x is None else repr(x) for x in r) + ')' for r in SPANISH)}) as v(id, pos, lemma)) select distinct id, unnest(case when starts_with(upper(id), 'ES') and lower(trim(pos)) in ('n', 'a') and not regexp_matches(lemma, '\\s') then [lemma, case when lemma like '%z' then left(lemma, length(lemma) - 1) || 'ces' when regexp_matches(lemma, '[aeiou]$') then lemma || 's' when lemma like '%l' then lemma || 'es' else lemma end] else [lemma] end) as surface from e",
     "hash_word_unigram": f"select id, {B.fnv16('[87, 1, 0]', 'lemma')}::int as bin from lexicon_de",
     "hash_char_gram": f"select id, gram, {B.fnv16('[67, 3]', 'gram')}::int as bin from ({_GRAMS})",
     "lexicon_match": f"with {_LEMMAS} select row_id, id, count(*) as hits, min(first) as first from hits group by all",

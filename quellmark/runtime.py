@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +63,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores)
 
 
+def median_seconds(run: Callable[[], object], times: int = 7) -> float:
+    """The middle one of an odd number of timed runs."""
+    if times % 2 == 0:
+        raise ValueError("an even number of runs has no middle one")
+    took = []
+    for _ in range(times):
+        begun = time.perf_counter()
+        run()
+        took.append(time.perf_counter() - begun)
+    return sorted(took)[times // 2]
+
+
 class Workspace:
     """Intermediate tables of one operator run, written to the shared folder.
 

@@ -12,6 +12,7 @@ from quellmark.operators import linear_model as L
 from quellmark.operators.context import RULE_QUOTES, quote_ranges, tokens
 from quellmark.operators.lexicon import view_matches
 from quellmark.operators.ordering import nearest_rank, running
+from quellmark.runtime import median_seconds
 from quellmark.sources import sinks
 
 WORDS = "room poll garden report friend train picture rule page soup story lunch".split()
@@ -113,3 +114,12 @@ def test_hindi_joiners(spark):
 def test_verdict_line(spark):
     line = spark.range(1).select(sinks.verdict_line(F.lit(True), F.lit(0.0), F.lit(None).cast("string"), F.lit(None).cast("string"))).first()[0]
     assert line == '{"safe":true,"score":0.0,"locale":null,"grawlix":null}'
+
+
+def test_median_of_runs():
+    import time
+
+    waits = iter([0.0, 0.05, 0.001])
+    assert median_seconds(lambda: time.sleep(next(waits)), 3) < 0.04
+    with pytest.raises(ValueError):
+        median_seconds(lambda: None, 4)

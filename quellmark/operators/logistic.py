@@ -1,9 +1,9 @@
 """L2-regularised logistic models over hashed bins, fitted side by side in full passes over the rows.
 
 The objective is 1/2 |w|^2 + C * sum of class weight * log loss over all rows, the bias being the weight of a bin that every row has, and
-so regularised as well. One pass sends the weights of all models that are still fitted (at most 65,537 numbers each)
-to the partitions, which send back gradients in blocks of bins, summed in two steps; each model takes its own
-limited-memory quasi-Newton steps on the driver until its gradient is small.
+so regularised as well. The rows are written once, a text's bins as two bytes each. One pass sends the weights of all models that are
+still fitted (at most 65,537 numbers each) to the partitions, which send back their gradients, summed in blocks of bins where there are
+many; each model takes its own limited-memory quasi-Newton steps on the driver until its gradient is small, however many passes that takes.
 """
 
 from __future__ import annotations
@@ -14,15 +14,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quellmark.functions.features import BINS
+from quellmark.runtime import Workspace
 
 #: Weight of a feature, and the accuracy of the fit (of the first gradient's length).
 BIAS, EPSILON = 1.0, 1e-8
-#: Passes at most, steps that the curvature is taken from, and blocks that a gradient is summed in.
-PASSES, MEMORY, BLOCKS = 300, 40, 16
+#: Steps that the curvature is taken from (of one model, of all together), blocks that a gradient is summed in, and rows whose bins are gathered at once.
+MEMORY, MEMORIES, BLOCKS, CHUNK = 100, 440, 16, 256
+#: Share of a row's cost that foretells its curvature near the optimum, where most rows are told well.
+CURVED = 3e-4
 _SIZE = BINS + 1
 
 
@@ -35,23 +39,25 @@ class Setting:
     scaled: bool = False
 
 
-def minimised(accuracy: float = EPSILON) -> Generator[np.ndarray, tuple[float, np.ndarray], np.ndarray]:
-    """L-BFGS as a dialogue: yields points, is sent (value, gradient) there, returns the minimum."""
+def minimised(accuracy: float = EPSILON, scale: np.ndarray | None = None, memory: int = MEMORY) -> Generator[np.ndarray, tuple[float, np.ndarray], np.ndarray]:
+    """L-BFGS as a dialogue: yields points, is sent (value, gradient) there, returns the minimum. Steps are taken in units of `scale` per weight."""
+    scale = np.ones(_SIZE) if scale is None else scale
     x = np.zeros(_SIZE)
     value, slope = yield x
     small = accuracy * max(np.linalg.norm(slope), 1e-30)
-    past: deque[tuple[np.ndarray, np.ndarray]] = deque(maxlen=MEMORY)
+    past: deque[tuple[np.ndarray, np.ndarray, float]] = deque(maxlen=memory)
     while np.linalg.norm(slope) > small:
-        step, kept = -slope, []
-        for s, y in reversed(past):
-            a = (s @ step) / (s @ y)
-            step = step - a * y
-            kept.append((a, s, y))
+        step, kept = -slope * scale, []
+        for s, y, sy in reversed(past):
+            a = (s @ step) / sy
+            step -= a * y
+            kept.append((a, s, y, sy))
         if past:
-            s, y = past[-1]
-            step = step * ((s @ y) / (y @ y))
-        for a, s, y in reversed(kept):
-            step = step + s * (a - (y @ step) / (s @ y))
+            s, y, sy = past[-1]
+            step *= sy / (y @ y)
+        for a, s, y, sy in reversed(kept):
+            step += s * (a - (y @ step) / sy)
+        step *= scale
         down = slope @ step
         length = 1.0 if past else min(1.0, 1.0 / np.linalg.norm(slope))
         for _ in range(30):
@@ -61,38 +67,125 @@ def minimised(accuracy: float = EPSILON) -> Generator[np.ndarray, tuple[float, n
             length /= 2
         else:
             return x
-        s, y = other - x, turned - slope
+        s, y = (other - x) / scale, (turned - slope) * scale
         if s @ y > 1e-12 * (y @ y):
-            past.append((s, y))
+            past.append((s, y, s @ y))
         if value - new <= 1e-15 * abs(value):
             return other
         x, value, slope = other, new, turned
     return x
 
 
-def _pass(points, costs: np.ndarray, ratios):
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bins as two bytes each, one binary value per row."""
+    for batch in batches:
+        bins = batch.column(0)
+        offsets = bins.offsets.to_numpy()
+        data = bins.flatten().to_numpy().astype("<u2")
+        packed = pa.Array.from_buffers(pa.binary(), len(bins), [None, pa.py_buffer(((offsets - offsets[0]) * 2).astype(np.int32)), pa.py_buffer(data)])
+        yield pa.RecordBatch.from_arrays([packed, batch.column(1)], ["bins", "toxic"])
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bins, their number per row, toxic) of some rows at a time, few enough to stay in a core's cache."""
+    for batch in batches:
+        column, toxic = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        _, where, data = column.buffers()
+        ends = np.frombuffer(where, np.int32, len(column) + 1, 4 * column.offset) // 2
+        every = np.frombuffer(data, "<u2", ends[-1]) if data is not None else np.zeros(0, np.uint16)
+        for a in range(0, len(column), CHUNK):
+            b = min(a + CHUNK, len(column))
+            yield every[ends[a] : ends[b]].astype(np.int64), np.diff(ends[a : b + 1]), toxic[a:b]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row: bytes of the documents per label and bin, behind them those per label."""
+    out = np.zeros((2, _SIZE), np.int64)
+    for bins, lengths, toxic in _chunks(batches):
+        told = np.repeat(toxic, lengths)
+        for label in (0, 1):
+            out[label, :BINS] += np.bincount(bins[told == label], minlength=BINS)
+            out[label, BINS] += np.count_nonzero(toxic == label)
+    yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["block", "sums"])
+
+
+def _files(spark, path: str) -> list[str]:
+    """The files of a table, the largest first, if they lie in a mounted folder, else none."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.getScheme() != "file":
+        return []
+    found = [(-f.getLen(), f.getPath().toUri().getPath()) for f in system.listStatus(target) if f.getPath().getName().endswith(".parquet")]
+    return [name for _, name in sorted(found)]
+
+
+def _opened(run, files: list[str], cores: int):
+    """`run` on the rows of every `cores`-th file from the one whose number comes in."""
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = (pq.ParquetFile(name) for batch in batches for first in batch.column(0).to_pylist() for name in files[first::cores])
+        yield from run(part for found in tables for k in range(found.num_row_groups) for part in found.read_row_group(k, use_threads=False).to_batches())
+
+    return opened
+
+
+class Rows:
+    """The labelled rows of (bins, label), written once as every pass reads them; rows without bins or with another label are left out.
+
+    Where the shared folder is a mounted one, the Python workers read its files themselves, which spares each pass the way through the JVM. `counts` [label, bin] has the documents per bin, the last one being the bias, which all rows have.
+    """
+
+    def __init__(self, rows: DataFrame):
+        spark = rows.sparkSession
+        self.work = Workspace(spark, "logistic")
+        used = rows.where("label in ('toxic', 'clean') and bins is not null").select(F.col("bins").cast("array<int>").alias("bins"), (F.col("label") == "toxic").alias("toxic"))
+        self.path = f"{self.work.root}/rows"
+        used.mapInArrow(_packed, "bins binary, toxic boolean").write.option("compression", "none").parquet(self.path)  # two bytes a bin hardly shrink
+        self.cores = spark.sparkContext.defaultParallelism
+        self.files = _files(spark, self.path)
+        if self.files:
+            parts = min(self.cores, len(self.files))
+            self.read = spark.range(0, parts, 1, parts)
+        else:
+            # a core sums all its rows before it sends anything, so a pass sends one gradient per core, however many files there are
+            self.read = spark.read.schema("bins binary, toxic boolean").parquet(self.path).coalesce(self.cores)
+        found = self.over(_counted).toLocalIterator()
+        self.counts = sum((np.frombuffer(r["sums"], np.int64).reshape(2, _SIZE) for r in found), np.zeros((2, _SIZE), np.int64))
+
+    def over(self, run) -> DataFrame:
+        """(block, sums) of what `run` makes of the batches of each core."""
+        return self.read.mapInArrow(_opened(run, self.files, self.cores) if self.files else run, "block int, sums binary")
+
+    def drop(self) -> None:
+        target = self.work.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        target.getFileSystem(self.work.spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _pass(points, costs: np.ndarray):
     """Values and gradients of the loss of every point, (block, values) per partition; `costs` [setting, label]."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, scaled = points.value
-        ratio = ratios.value
+        weights = points.value
         total = np.zeros(weights.shape)
         loss = np.zeros(len(weights))
-        for batch in batches:
-            bins = batch.column(0)
-            lengths = np.diff(bins.offsets.to_numpy())
-            flat = bins.flatten().to_numpy()
-            row = np.repeat(np.arange(len(lengths)), lengths)
-            toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        room = np.zeros(0)
+        for bins, lengths, toxic in _chunks(batches):
+            if len(room) < len(bins):
+                room = np.empty(2 * len(bins))
+            value = room[: len(bins)]
+            some = np.flatnonzero(lengths)
+            starts = (np.cumsum(lengths) - lengths)[some]
             sign, label = np.where(toxic, 1.0, -1.0), toxic.astype(int)
             for k, w in enumerate(weights):
-                value = ratio[flat] if scaled[k] else None
-                score = np.bincount(row, w[flat] if value is None else w[flat] * value, len(lengths)) + w[BINS] * BIAS
+                score = np.full(len(lengths), w[BINS] * BIAS)
+                if len(some):
+                    np.take(w, bins, out=value, mode="clip")
+                    score[some] += np.add.reduceat(value, starts)
                 margin = sign * score
                 cost = costs[k][label]
                 loss[k] += (cost * np.logaddexp(0, -margin)).sum()
                 pull = -cost * sign / (1 + np.exp(np.minimum(margin, 500)))
-                total[k, :BINS] += np.bincount(flat, pull[row] if value is None else pull[row] * value, BINS)
+                total[k, :BINS] += np.bincount(bins, np.repeat(pull, lengths), BINS)
                 total[k, BINS] += pull.sum() * BIAS
         bounds = np.linspace(0, _SIZE, BLOCKS + 1).astype(int)
         blobs = [total[:, a:b].tobytes() for a, b in zip(bounds, bounds[1:])] + [loss.tobytes()]
@@ -110,42 +203,45 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["block", "sums"])
 
 
-def fit(rows: DataFrame, settings: list[Setting], ratios: np.ndarray | None = None, accuracy: float = EPSILON) -> list[np.ndarray]:
+def fit(rows: DataFrame | Rows, settings: list[Setting], ratios: np.ndarray | None = None, accuracy: float = EPSILON) -> list[np.ndarray]:
     """The weights of every setting (the last one is the bias) on rows of (bins, label); `ratios` are the values of bins in scaled settings.
 
-    Rows without a label are left out. A class that has no rows raises ValueError. All settings share each pass; `rows` should be a written
-    table, as it is read once a pass.
+    Rows without a label are left out. A class that has no rows raises ValueError. All settings share each pass; passes go on until the
+    last of them is as accurate as asked for.
     """
-    spark = rows.sparkSession
-    used = rows.where("label in ('toxic', 'clean') and bins is not null").select(F.col("bins").cast("array<int>").alias("bins"), (F.col("label") == "toxic").alias("toxic"))
-    # a core sums all its rows before it sends anything, so a pass shuffles one gradient per core, however many files there are
-    cores = spark.sparkContext.defaultParallelism
-    used = used.coalesce(cores)
-    counts = {r["toxic"]: r["n"] for r in used.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(counts) < 2:
+    own = rows if isinstance(rows, Rows) else Rows(rows)
+    context = own.work.spark.sparkContext
+    counts = own.counts[:, BINS]
+    if not counts.all():
         raise ValueError("rows of both labels are needed")
-    whole = sum(counts.values())
-    costs = np.array([[s.cost * (whole / (2 * counts[c]) if s.balanced else 1.0) for c in (False, True)] for s in settings])
-    shared = spark.sparkContext.broadcast(ratios if ratios is not None else np.ones(BINS))
-    talks = [minimised(accuracy) for _ in settings]
+    costs = np.array([[s.cost * (counts.sum() / (2 * counts[c]) if s.balanced else 1.0) for c in (0, 1)] for s in settings])
+    plain = np.ones(_SIZE)
+    shared = plain if ratios is None else np.append(ratios, 1.0)
+    values = [shared if s.scaled else plain for s in settings]
+    memory = max(5, min(MEMORY, MEMORIES // len(settings)))
+    talks = [minimised(accuracy, 1 / np.sqrt(1 + CURVED * (c @ own.counts) * v * v), memory) for c, v in zip(costs, values)]
     asked: dict[int, np.ndarray] = {k: next(t) for k, t in enumerate(talks)}
     out: dict[int, np.ndarray] = {}
-    for _ in range(PASSES):
+    while asked:
         order = list(asked)
-        points = spark.sparkContext.broadcast((np.stack([asked[k] for k in order]), [settings[k].scaled for k in order]))
-        sent = used.mapInArrow(_pass(points, costs[order], shared), "block int, sums binary")
-        sums = {r["block"]: np.frombuffer(r["sums"]) for r in sent.repartition(min(BLOCKS, cores), "block").mapInArrow(_added, "block int, sums binary").collect()}
-        points.unpersist()
+        points = context.broadcast(np.stack([asked[k] * values[k] for k in order]))
+        sent = own.over(_pass(points, costs[order]))
+        if own.cores > BLOCKS:  # fewer gradients are summed on the driver
+            sent = sent.repartition(BLOCKS, "block").mapInArrow(_added, "block int, sums binary")
+        sums: dict[int, np.ndarray] = {}
+        for r in sent.collect():
+            part = np.frombuffer(r["sums"])
+            sums[r["block"]] = sums[r["block"]] + part if r["block"] in sums else part
+        points.destroy()
         loss, slope = sums[BLOCKS], np.concatenate([sums[b].reshape(len(order), -1) for b in range(BLOCKS)], 1)
         for i, k in enumerate(order):
             x = asked.pop(k)
             try:
-                asked[k] = talks[k].send((loss[i] + 0.5 * x @ x, slope[i] + x))
+                asked[k] = talks[k].send((loss[i] + 0.5 * x @ x, slope[i] * values[k] + x))
             except StopIteration as done:
                 out[k] = done.value
-        if not asked:
-            break
-    out |= asked  # not yet as accurate as asked for after PASSES passes
+    if own is not rows:
+        own.drop()
     return [out[k] for k in range(len(settings))]
 
 

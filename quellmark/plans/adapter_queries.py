@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
+from quellmark.functions import features as X
 from quellmark.functions.features import BINS
 from quellmark.operators import linear_model as L
 from quellmark.operators import logistic as G
 from quellmark.plans import sqlbits as B
 from quellmark.plans.model_queries import MINIMUM, Trained
-from quellmark.runtime import spread, table
+from quellmark.runtime import Workspace, table
 from quellmark.sources import adapters as A
 from quellmark.sources import sinks as K
 from quellmark.streaming.judge import stream_judge
@@ -64,9 +66,21 @@ def _evidence_check(s, d):
 COSTS, BETAS = (0.05, 0.15, 0.5, 1.0, 2.0), (1.0, 0.25)
 
 
-def naive_bayes(t):
+def _rows(s, d, split, carry=("label",)):
+    """Bins of the labelled rows of a split."""
+    return X.with_bins(table(s, d, "corpus_rows").where("text is not null and label is not null").where(F.col("split") == split), carry=carry)
+
+
+def _counts(s, rows):
+    """bin, toxic, clean of the training rows; at most 65,536 rows."""
+    clean, toxic = rows.counts[:, :BINS]
+    used = np.flatnonzero(clean + toxic)
+    return s.createDataFrame(pd.DataFrame({"bin": used, "toxic": toxic[used], "clean": clean[used]}), "bin long, toxic long, clean long")
+
+
+def naive_bayes(counts):
     """(ratios per bin, kept bins) of the training counts; at most 65,536 rows reach the driver."""
-    found = L.nb_ratios(t.counts).collect()
+    found = L.nb_ratios(counts).collect()
     active, ratios = np.array([r["bin"] for r in found], np.int64), np.zeros(BINS)
     ratios[active] = [r["ratio"] for r in found]
     return ratios, active
@@ -79,33 +93,32 @@ def _table(s, weights):
     return kept.select("bin", L.quantize(F.col("weight")).alias("weight")), bias.select(L.quantize(F.col("bias"), L.I32).alias("bias"))
 
 
-def _rows(t):
-    """The training rows, dealt to all cores and written, as every pass reads them."""
-    return t.work.keep(spread(t.labelled.select("bins", "label")))
-
-
 def _logistic(s, d, scaled=False):
     """Weights per bin of the L2-regularised logistic model; with `scaled` of the one on bins scaled by naive Bayes ratios."""
-    t = Trained(s, d)
-    ratios, active = naive_bayes(t) if scaled else (None, None)
-    (found,) = G.fit(_rows(t), [G.Setting(scaled=scaled)], ratios, 1e-5)  # well within half a unit of 1/256
+    rows = G.Rows(_rows(s, d, "development"))
+    ratios, active = naive_bayes(_counts(s, rows)) if scaled else (None, None)
+    (found,) = G.fit(rows, [G.Setting(scaled=scaled)], ratios, 1e-5)
+    rows.drop()
     return _table(s, G.blended(found, ratios, active) if scaled else found)[0]
 
 
 def _ablation(s, d):
     """Every learner of the grid, calibrated on the validation rows: its boundary and confusion there, or why it has none."""
-    t = Trained(s, d)
-    ratios, active = naive_bayes(t)
+    work, rows = Workspace(s, "ablation"), G.Rows(_rows(s, d, "development"))
+    counts, (clean, toxic) = _counts(s, rows), map(int, rows.counts[:, BINS])
+    totals = s.createDataFrame([(toxic, clean)], "nt long, nc long")
+    ratios, active = naive_bayes(counts)
     settings = [G.Setting(c, b) for b in (False, True) for c in COSTS] + [G.Setting(scaled=True)]
-    fitted = G.fit(_rows(t), settings, ratios, 1e-4)
-    models = [("log_odds", None, False, None, (L.logodds_weights(t.counts, t.totals), L.logodds_bias(t.counts, t.totals)))]
+    fitted = G.fit(rows, settings, ratios, 1e-4)
+    rows.drop()
+    models = [("log_odds", None, False, None, (L.logodds_weights(counts, totals), L.logodds_bias(counts, totals)))]
     models += [("logistic", x.cost, x.balanced, None, _table(s, w)) for x, w in zip(settings[:-1], fitted)]
     models += [("nb_logistic", 1.0, False, beta, _table(s, G.blended(fitted[-1], ratios, active, beta))) for beta in BETAS]
-    validation = t.featured.where("split = 'validation' and label is not null")
+    validation = work.keep(_rows(s, d, "validation"))
     out = []
     for name, cost, balanced, beta, model in models:
         scores = L.raw_scores(validation, *model, carry=("label",))
-        found = L.best_boundary(L.calibration_curve(t.work.keep(scores), MINIMUM)).first()
+        found = L.best_boundary(L.calibration_curve(work.keep(scores), MINIMUM)).first()
         out.append((name, cost, balanced, beta, *((found["boundary"], found["tp"], found["fp"], found["tn"], found["fn"], None) if found else (None,) * 5 + ("no boundary passes the gates",))))
     return s.createDataFrame(out, "learner string, cost double, balanced boolean, beta double, boundary long, tp long, fp long, tn long, fn long, error string")
 

@@ -61,3 +61,27 @@ def test_both_labels_are_needed(spark, data):
     for some in (rows.where("label = 'clean'"), rows.limit(0)):
         with pytest.raises(ValueError):
             G.fit(some, [G.Setting()])
+
+
+@pytest.mark.parametrize("mounted", [True, False])
+def test_rows_are_packed_once(spark, data, mounted, monkeypatch):
+    if not mounted:
+        monkeypatch.setattr(G, "_files", lambda spark, path: [])
+    odd = [("toxic", []), ("clean", []), ("clean", list(range(65_536)))]
+    rows = G.Rows(spark.createDataFrame([*data, *odd, (None, [1]), ("toxic", None), ("odd", [2])], "label string, bins array<int>").repartition(5))
+    held = [*data, *odd]
+    for label, name in enumerate(("clean", "toxic")):
+        assert [rows.counts[label, b] for b in (0, 3, 65_535)] == [sum(x == name and b in own for x, own in held) for b in (0, 3, 65_535)]
+        assert rows.counts[label, BINS] == sum(x == name for x, _ in held)
+    (w,) = G.fit(rows, [G.Setting()])
+    small = [r for r in held if len(r[1]) < 10]
+    full = 1 / (1 + np.exp(w.sum()))  # the pull of the row that holds all bins
+    slope = gradient(small, w, 1.0, False, lambda b: 1.0)[0] + (1 - full)
+    assert np.abs(slope).max() < 1e-5
+    rows.drop()
+
+
+def test_passes_go_on_until_the_gradient_is_small(spark, data, monkeypatch):
+    monkeypatch.setattr(G, "PASSES", 3, raising=False)  # a bound on passes would leave the fit half done
+    (w,) = G.fit(spark.createDataFrame(data, "label string, bins array<int>"), [G.Setting()])
+    assert np.abs(gradient(data, w, 1.0, False, lambda b: 1.0)[0]).max() < 1e-5

@@ -77,6 +77,11 @@ def clauses(text: str) -> list[list[str]]:
     return [_WORD.findall(part) for part in _CLAUSE.split(text)]
 
 
+def words(text: str | None) -> list[str]:
+    """The words of a text as it came, in normal form."""
+    return _WORD.findall(nfkc_text(text).lower()) if text else []
+
+
 def segments(text: str) -> list[str]:
     """Stretches between punctuation, symbols and control characters, white space taken out."""
     return [s for s in (_SPACE.sub("", part) for part in _BREAK.split(text)) if s]

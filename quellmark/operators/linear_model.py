@@ -86,6 +86,31 @@ def raw_scores(featured: DataFrame, weights: DataFrame, bias: DataFrame, carry:
     return used.mapInArrow(run, ", ".join(["row_id long, raw long", *(f"`{c}` {dict(used.dtypes)[c]}" for c in carry)]))
 
 
+def quantized(x: np.ndarray, bound: int = I16) -> np.ndarray:
+    """What `quantize` makes of each number."""
+    units = x * UNIT
+    whole = np.trunc(units)
+    return np.clip(whole + np.sign(units) * (np.abs(units - whole) >= 0.5), -bound - 1, bound).astype(np.int64)
+
+
+def grid_scores(featured: DataFrame, models: list[tuple[np.ndarray, int]]) -> DataFrame:
+    """model (its index), label, raw: what raw_scores says of each (bins, label) for every (weight of each bin, bias), from one pass over the rows."""
+    lookups, bases = np.stack([lookup for lookup, _ in models]), [base for _, base in models]
+    known = featured.sparkSession.sparkContext.broadcast((lookups, bases))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookups, bases = known.value
+        for batch in batches:
+            lengths = np.diff(batch.column(0).offsets.to_numpy())
+            bins, ends = batch.column(0).flatten().to_numpy(), np.cumsum(lengths)
+            for k, (lookup, base) in enumerate(zip(lookups, bases)):
+                totals = np.concatenate([[0], np.cumsum(lookup[bins])])
+                raw = np.clip(totals[ends] - totals[ends - lengths] + base, -I32 - 1, I32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), k, np.int32)), batch.column(1), pa.array(raw)], ["model", "label", "raw"])
+
+    return featured.select("bins", "label").mapInArrow(run, "model int, label string, raw long")
+
+
 def scaled(raw: Column, boundary: Column, scale: Column) -> Column:
     """0 to 100 with the boundary at 50; below it the distance rounds up, so that nothing below reaches 50."""
     gap = raw - boundary
@@ -126,6 +151,26 @@ def best_boundary(curve: DataFrame) -> DataFrame:
     return best.select("b.boundary", "b.tp", (-F.col("b.nfp")).alias("fp"), "b.tn", "b.fn")
 
 
+def grid_boundaries(scores: DataFrame, models: int, minimum: int) -> DataFrame:
+    """model, boundary, tp, fp, tn, fn: best_boundary of every model that has one, from (model, label, raw), where all models tell the same rows.
+
+    All scores are swept at once, one model behind another, as calibration_curve does it with one.
+    """
+    toxic, clean = F.col("label") == "toxic", F.col("label") == "clean"
+    counts = scores.groupBy("model", "raw").agg(F.count_if(toxic).alias("t"), F.count_if(clean).alias("c"))
+    own = scores.where("model = 0").agg(F.count_if(toxic).alias("t"), F.count_if(clean).alias("c")).first()
+    nt, nc = own["t"], own["c"]
+    spread = scores.select("model", F.explode(F.array("raw", F.least(F.col("raw") + 1, F.lit(I32)))).alias("at")).where(F.col("at") >= minimum)
+    floors = scores.sparkSession.createDataFrame([(k, minimum) for k in range(models)], "model int, at long")
+    marks = spread.union(floors).distinct().select("model", "at", F.lit(0).alias("t"), F.lit(0).alias("c"), F.lit(True).alias("mark"))
+    points = counts.select("model", F.col("raw").alias("at"), "t", "c", F.lit(False).alias("mark")).union(marks)
+    swept = running(points, [F.col("model"), -F.col("at"), F.col("mark")], tp=F.col("t"), fp=F.col("c")).where("mark")
+    tp, fp = F.col("tp") - F.col("model") * nt, F.col("fp") - F.col("model") * nc  # less the rows of the models before
+    curve = swept.select("model", F.col("at").alias("boundary"), tp.alias("tp"), fp.alias("fp"), (F.lit(nc) - fp).alias("tn"), (F.lit(nt) - tp).alias("fn"))
+    best = curve.where(passes_gates()).groupBy("model").agg(F.max(F.struct("tp", (-F.col("fp")).alias("nfp"), "boundary", "tn", "fn")).alias("b"))
+    return best.select("model", "b.boundary", "b.tp", (-F.col("b.nfp")).alias("fp"), "b.tn", "b.fn")
+
+
 def score_scale(scores: DataFrame, boundary: int) -> DataFrame:
     """scale: the larger distance of the 10th and the 90th percentile (by index) to the boundary, at least 1."""
     n = scores.count()

@@ -1,16 +1,20 @@
 """L2-regularised logistic models over hashed bins, fitted side by side in full passes over the rows.
 
 The objective is 1/2 |w|^2 + C * sum of class weight * log loss over all rows, the bias being the weight of a bin that every row has, and
-so regularised as well. The rows are written once, a text's bins as two bytes each. One pass sends the weights of all models that are
+so regularised as well. The rows are written once, in blocks that tell a text by its words and the words by their bins. One pass sends the weights of all models that are
 still fitted (at most 65,537 numbers each) to the partitions, which send back their gradients, summed in blocks of bins where there are
 many; each model takes its own limited-memory quasi-Newton steps on the driver until its gradient is small, however many passes that takes.
 """
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections import deque
 from collections.abc import Generator, Iterator
 from dataclasses import dataclass
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +22,15 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quellmark.functions.features import BINS
+from quellmark.functions.features import BINS, SHAPES, hashed_sets, words
 from quellmark.runtime import Workspace
 
 #: Weight of a feature, and the accuracy of the fit (of the first gradient's length).
 BIAS, EPSILON = 1.0, 1e-8
 #: Steps that the curvature is taken from (of one model, of all together), blocks that a gradient is summed in, and rows whose bins are gathered at once.
 MEMORY, MEMORIES, BLOCKS, CHUNK = 100, 440, 16, 256
+#: Rows and bins at which a block ends, and values that stay in a core's cache.
+HELD, LONG, CACHED = 32_768, 16_000_000, 65_536
 #: Share of a row's cost that foretells its curvature near the optimum, where most rows are told well.
 CURVED = 3e-4
 _SIZE = BINS + 1
@@ -76,36 +82,130 @@ def minimised(accuracy: float = EPSILON, scale: np.ndarray | None = None, memory
     return x
 
 
+class Block(NamedTuple):
+    """Some rows of one label each, as sums: a row is its entries (bins, and from BINS on words of the block) less the bins that these have too often."""
+
+    toxic: np.ndarray
+    lengths: np.ndarray
+    entries: np.ndarray
+    spare_lengths: np.ndarray
+    spare: np.ndarray
+    word_lengths: np.ndarray
+    word_bins: np.ndarray
+
+
+_KINDS = Block(*map(np.dtype, ("?", "<i4", "<i4", "<i4", "<u2", "<i4", "<u2")))
+_BLOCK = ", ".join(f"{name} binary" for name in Block._fields)
+
+
+def _each(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of the stretches that begin at `starts`, one after another."""
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+
+
+def packed(lengths: np.ndarray, bins: np.ndarray, toxic: np.ndarray, texts: list[str | None] | None) -> Block:
+    """The rows with these bins, written by the words of their texts: a word stands for all bins that it has by itself, once for each text that holds it.
+
+    Whatever the words are, entries less spare ones are the bins of the row.
+    """
+    count = len(lengths)
+    codes: dict[str, int] = {}
+    held = [{codes.setdefault(w, len(codes)) for w in words(t)} for t in texts] if texts else [()] * count
+    word_lengths, word_bins = hashed_sets(list(codes), SHAPES["word_char_35"])
+    sizes = np.fromiter(map(len, held), np.int64, count)
+    code, row = np.fromiter(chain.from_iterable(held), np.int64, sizes.sum()), np.repeat(np.arange(count), sizes)
+    starts = np.cumsum(word_lengths) - word_lengths
+    new, spare = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    ends, told = np.append(0, np.cumsum(lengths)), np.append(0, np.cumsum(sizes))
+    for a in range(0, count, CHUNK):
+        b = min(a + CHUNK, count)
+        part = code[told[a] : told[b]]
+        own = word_lengths[part]
+        said = np.repeat(row[told[a] : told[b]], own) << 16 | word_bins[_each(starts[part], own)]
+        rest = np.repeat(np.arange(a, b), lengths[a:b]) << 16 | bins[ends[a] : ends[b]]
+        keys = np.sort(np.concatenate([said << 1, rest << 1 | 1]))
+        if not len(keys):
+            continue
+        first = np.flatnonzero(np.append(True, keys[1:] >> 1 != keys[:-1] >> 1))
+        last = np.append(first[1:], len(keys))
+        missing = 2 * (keys[last - 1] & 1) - (last - first)  # 1 if no word has it, below 0 if words have it too often
+        keys = keys[first] >> 1
+        new.append(keys[missing > 0])
+        spare.append(np.repeat(keys[missing < 0], -missing[missing < 0]))
+    new, spare = np.concatenate(new), np.concatenate(spare)
+    whose = np.concatenate([row, new >> 16])
+    order = np.argsort(whose, kind="stable")
+    entries = np.concatenate([BINS + code, new & 0xFFFF])[order]
+    return Block(toxic, np.bincount(whose, minlength=count), entries, np.bincount(spare >> 16, minlength=count), spare & 0xFFFF, word_lengths, word_bins)
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bins as two bytes each, one binary value per row."""
+    """Blocks of (bins, toxic) or (bins, toxic, text), one a row."""
+    parts: list[tuple] = []
+
+    def block() -> pa.RecordBatch:
+        lengths, bins, toxic, texts = zip(*parts)
+        found = packed(np.concatenate(lengths), np.concatenate(bins), np.concatenate(toxic), list(chain.from_iterable(texts)) if texts[0] is not None else None)
+        parts.clear()
+        return pa.RecordBatch.from_arrays([pa.array([x.astype(kind).tobytes()], pa.binary()) for x, kind in zip(found, _KINDS)], list(Block._fields))
+
+    for whole in batches:
+        for a in range(0, len(whole), CHUNK):
+            batch = whole.slice(a, CHUNK)
+            bins, toxic = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            texts = batch.column(2).to_pylist() if batch.num_columns > 2 else None
+            parts.append((np.diff(bins.offsets.to_numpy()).astype(np.int64), bins.flatten().to_numpy().astype(np.int64), toxic, texts))
+            if sum(len(p[0]) for p in parts) >= HELD or sum(len(p[1]) for p in parts) >= LONG:
+                yield block()
+    if parts:
+        yield block()
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     for batch in batches:
-        bins = batch.column(0)
-        offsets = bins.offsets.to_numpy()
-        data = bins.flatten().to_numpy().astype("<u2")
-        packed = pa.Array.from_buffers(pa.binary(), len(bins), [None, pa.py_buffer(((offsets - offsets[0]) * 2).astype(np.int32)), pa.py_buffer(data)])
-        yield pa.RecordBatch.from_arrays([packed, batch.column(1)], ["bins", "toxic"])
+        for k in range(len(batch)):
+            found = Block(*(np.frombuffer(batch.column(i)[k].as_buffer(), kind) for i, kind in enumerate(_KINDS)))
+            # numpy looks up and counts by whole machine words, and would widen the numbers again for every model
+            yield Block(found.toxic, *(x.astype(np.int64) for x in found[1:]))
+
+
+def _sums(values: np.ndarray, index: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The sum of the values at each row's places, few enough rows at a time to stay in a core's cache."""
+    out = np.zeros(len(lengths), values.dtype)
+    ends = np.append(0, np.cumsum(lengths))
+    step = max(1, CACHED * len(lengths) // max(1, len(index)))
+    for a in range(0, len(lengths), step):
+        part = lengths[a : a + step]
+        some = np.flatnonzero(part)
+        if len(some):
+            out[a + some] = np.add.reduceat(np.take(values, index[ends[a] : ends[a + len(part)]], mode="clip"), ends[a + some] - ends[a])
+    return out
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(bins, their number per row, toxic) of some rows at a time, few enough to stay in a core's cache."""
-    for batch in batches:
-        column, toxic = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        _, where, data = column.buffers()
-        ends = np.frombuffer(where, np.int32, len(column) + 1, 4 * column.offset) // 2
-        every = np.frombuffer(data, "<u2", ends[-1]) if data is not None else np.zeros(0, np.uint16)
-        for a in range(0, len(column), CHUNK):
-            b = min(a + CHUNK, len(column))
-            yield every[ends[a] : ends[b]].astype(np.int64), np.diff(ends[a : b + 1]), toxic[a:b]
+def scored(block: Block, weights: np.ndarray) -> np.ndarray:
+    """The sum of the weights of each row's bins and of the bias."""
+    known = np.concatenate([weights[:BINS], _sums(weights, block.word_bins, block.word_lengths)]) if len(block.word_lengths) else weights
+    score = weights[BINS] * BIAS + _sums(known, block.entries, block.lengths)
+    return score - _sums(weights, block.spare, block.spare_lengths) if len(block.spare) else score
+
+
+def summed(block: Block, values: np.ndarray) -> np.ndarray:
+    """The sum per bin of the values of the rows that have it, and behind them the sum for the bias."""
+    every = np.bincount(block.entries, np.repeat(values, block.lengths), BINS + len(block.word_lengths))
+    out = np.append(every[:BINS], values.sum() * BIAS)
+    if len(block.word_lengths):
+        out[:BINS] += np.bincount(block.word_bins, np.repeat(every[BINS:], block.word_lengths), BINS)
+    if len(block.spare):
+        out[:BINS] -= np.bincount(block.spare, np.repeat(values, block.spare_lengths), BINS)
+    return out
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row: bytes of the documents per label and bin, behind them those per label."""
     out = np.zeros((2, _SIZE), np.int64)
-    for bins, lengths, toxic in _chunks(batches):
-        told = np.repeat(toxic, lengths)
+    for block in _blocks(batches):
         for label in (0, 1):
-            out[label, :BINS] += np.bincount(bins[told == label], minlength=BINS)
-            out[label, BINS] += np.count_nonzero(toxic == label)
+            out[label] += np.rint(summed(block, (block.toxic == label).astype(float))).astype(np.int64)
     yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["block", "sums"])
 
 
@@ -130,17 +230,19 @@ def _opened(run, files: list[str], cores: int):
 
 
 class Rows:
-    """The labelled rows of (bins, label), written once as every pass reads them; rows without bins or with another label are left out.
+    """The labelled rows of (bins, label) or (bins, label, text), written once as every pass reads them; rows without bins or with another label are left out.
 
+    With their texts, rows of `word_char_35` take about a third of the entries, as bins of a word that many texts share are written once per block.
     Where the shared folder is a mounted one, the Python workers read its files themselves, which spares each pass the way through the JVM. `counts` [label, bin] has the documents per bin, the last one being the bias, which all rows have.
     """
 
     def __init__(self, rows: DataFrame):
         spark = rows.sparkSession
         self.work = Workspace(spark, "logistic")
-        used = rows.where("label in ('toxic', 'clean') and bins is not null").select(F.col("bins").cast("array<int>").alias("bins"), (F.col("label") == "toxic").alias("toxic"))
+        text = [c for c in ("text",) if c in rows.columns]
+        used = rows.where("label in ('toxic', 'clean') and bins is not null").select(F.col("bins").cast("array<int>").alias("bins"), (F.col("label") == "toxic").alias("toxic"), *text)
         self.path = f"{self.work.root}/rows"
-        used.mapInArrow(_packed, "bins binary, toxic boolean").write.option("compression", "none").parquet(self.path)  # two bytes a bin hardly shrink
+        used.mapInArrow(_packed, _BLOCK).write.option("compression", "none").parquet(self.path)  # read again in every pass
         self.cores = spark.sparkContext.defaultParallelism
         self.files = _files(spark, self.path)
         if self.files:
@@ -148,7 +250,7 @@ class Rows:
             self.read = spark.range(0, parts, 1, parts)
         else:
             # a core sums all its rows before it sends anything, so a pass sends one gradient per core, however many files there are
-            self.read = spark.read.schema("bins binary, toxic boolean").parquet(self.path).coalesce(self.cores)
+            self.read = spark.read.schema(_BLOCK).parquet(self.path).coalesce(self.cores)
         found = self.over(_counted).toLocalIterator()
         self.counts = sum((np.frombuffer(r["sums"], np.int64).reshape(2, _SIZE) for r in found), np.zeros((2, _SIZE), np.int64))
 
@@ -162,31 +264,24 @@ class Rows:
 
 
 def _pass(points, costs: np.ndarray):
-    """Values and gradients of the loss of every point, (block, values) per partition; `costs` [setting, label]."""
+    """Values and gradients of the loss of every point, (block, values) per partition; `points` has a `value` or is the name of a file; `costs` [setting, label]."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = points.value
+        weights = np.load(points) if isinstance(points, str) else points.value
         total = np.zeros(weights.shape)
         loss = np.zeros(len(weights))
-        room = np.zeros(0)
-        for bins, lengths, toxic in _chunks(batches):
-            if len(room) < len(bins):
-                room = np.empty(2 * len(bins))
-            value = room[: len(bins)]
-            some = np.flatnonzero(lengths)
-            starts = (np.cumsum(lengths) - lengths)[some]
-            sign, label = np.where(toxic, 1.0, -1.0), toxic.astype(int)
-            for k, w in enumerate(weights):
-                score = np.full(len(lengths), w[BINS] * BIAS)
-                if len(some):
-                    np.take(w, bins, out=value, mode="clip")
-                    score[some] += np.add.reduceat(value, starts)
-                margin = sign * score
+        for block in _blocks(batches):
+            sign, label = np.where(block.toxic, 1.0, -1.0), block.toxic.astype(int)
+            score = np.zeros((len(weights) + 1, len(sign)))
+            for k in range(0, len(weights), 2):
+                # two models are looked up at once, as parts of complex numbers
+                two = scored(block, weights[k] + 1j * weights[k + 1] if k + 1 < len(weights) else weights[k])
+                score[k], score[k + 1] = two.real, two.imag
+            for k in range(len(weights)):
+                margin = sign * score[k]
                 cost = costs[k][label]
                 loss[k] += (cost * np.logaddexp(0, -margin)).sum()
-                pull = -cost * sign / (1 + np.exp(np.minimum(margin, 500)))
-                total[k, :BINS] += np.bincount(bins, np.repeat(pull, lengths), BINS)
-                total[k, BINS] += pull.sum() * BIAS
+                total[k] += summed(block, -cost * sign / (1 + np.exp(np.minimum(margin, 500))))
         bounds = np.linspace(0, _SIZE, BLOCKS + 1).astype(int)
         blobs = [total[:, a:b].tobytes() for a, b in zip(bounds, bounds[1:])] + [loss.tobytes()]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS + 1), pa.int32()), pa.array(blobs, pa.binary())], ["block", "sums"])
@@ -203,6 +298,50 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["block", "sums"])
 
 
+def _left(run, folder: str):
+    """`run`, its sums left in a file of the mounted folder, whose name is sent: megabytes from each core go through the JVM many times slower."""
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            name = f"{folder}/{uuid.uuid4().hex}.sums"
+            with open(name, "wb") as out:
+                for blob in batch.column(1):
+                    out.write(blob.as_buffer())
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([name.encode()], pa.binary())], ["block", "sums"])
+
+    return left
+
+
+def _passed(own: Rows, points: np.ndarray, costs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and gradients of the loss at the points, over all rows."""
+    few = own.cores <= BLOCKS
+    bounds = np.linspace(0, _SIZE, BLOCKS + 1).astype(int)
+    if own.files and few:
+        folder = os.path.dirname(os.path.dirname(own.files[0]))
+        name = f"{folder}/{uuid.uuid4().hex}.npy"
+        np.save(name, points)
+        whole = np.zeros(points.size + len(points))
+        for r in own.over(_left(_pass(name, costs), folder)).collect():  # one name per core
+            found = r["sums"].decode()
+            whole += np.fromfile(found)
+            os.remove(found)
+        os.remove(name)
+        ends = np.append(bounds * len(points), len(whole))
+        parts = [whole[a:b] for a, b in zip(ends, ends[1:])]
+    else:
+        shared = own.work.spark.sparkContext.broadcast(points)
+        sent = own.over(_pass(shared, costs))
+        if not few:  # fewer gradients are summed on the driver
+            sent = sent.repartition(BLOCKS, "block").mapInArrow(_added, "block int, sums binary")
+        sums: dict[int, np.ndarray] = {}
+        for r in sent.collect():
+            part = np.frombuffer(r["sums"])
+            sums[r["block"]] = sums[r["block"]] + part if r["block"] in sums else part
+        shared.destroy()
+        parts = [sums[b] for b in range(BLOCKS + 1)]
+    return parts[BLOCKS], np.concatenate([p.reshape(len(points), -1) for p in parts[:BLOCKS]], 1)
+
+
 def fit(rows: DataFrame | Rows, settings: list[Setting], ratios: np.ndarray | None = None, accuracy: float = EPSILON) -> list[np.ndarray]:
     """The weights of every setting (the last one is the bias) on rows of (bins, label); `ratios` are the values of bins in scaled settings.
 
@@ -210,7 +349,6 @@ def fit(rows: DataFrame | Rows, settings: list[Setting], ratios: np.ndarray | No
     last of them is as accurate as asked for.
     """
     own = rows if isinstance(rows, Rows) else Rows(rows)
-    context = own.work.spark.sparkContext
     counts = own.counts[:, BINS]
     if not counts.all():
         raise ValueError("rows of both labels are needed")
@@ -224,16 +362,7 @@ def fit(rows: DataFrame | Rows, settings: list[Setting], ratios: np.ndarray | No
     out: dict[int, np.ndarray] = {}
     while asked:
         order = list(asked)
-        points = context.broadcast(np.stack([asked[k] * values[k] for k in order]))
-        sent = own.over(_pass(points, costs[order]))
-        if own.cores > BLOCKS:  # fewer gradients are summed on the driver
-            sent = sent.repartition(BLOCKS, "block").mapInArrow(_added, "block int, sums binary")
-        sums: dict[int, np.ndarray] = {}
-        for r in sent.collect():
-            part = np.frombuffer(r["sums"])
-            sums[r["block"]] = sums[r["block"]] + part if r["block"] in sums else part
-        points.destroy()
-        loss, slope = sums[BLOCKS], np.concatenate([sums[b].reshape(len(order), -1) for b in range(BLOCKS)], 1)
+        loss, slope = _passed(own, np.stack([asked[k] * values[k] for k in order]), costs[order])
         for i, k in enumerate(order):
             x = asked.pop(k)
             try:

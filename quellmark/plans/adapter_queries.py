@@ -71,6 +71,14 @@ def _rows(s, d, split, carry=("label",)):
     return X.with_bins(table(s, d, "corpus_rows").where("text is not null and label is not null").where(F.col("split") == split), carry=carry)
 
 
+def _told(s, d):
+    """The development rows as the fits read them, with their texts."""
+    rows = table(s, d, "corpus_rows").where("text is not null and label is not null and split = 'development'").select("row_id", "label", "text", F.col("text").alias("said"))
+    cores = s.sparkContext.defaultParallelism
+    rows = rows.repartition(cores * -(-rows._jdf.queryExecution().toRdd().getNumPartitions() // cores))  # in each pass all cores have as much to do
+    return G.Rows(X.with_bins(rows, carry=("label", "said")).withColumnRenamed("said", "text"))
+
+
 def _counts(s, rows):
     """bin, toxic, clean of the training rows; at most 65,536 rows."""
     clean, toxic = rows.counts[:, :BINS]
@@ -93,9 +101,22 @@ def _table(s, weights):
     return kept.select("bin", L.quantize(F.col("weight")).alias("weight")), bias.select(L.quantize(F.col("bias"), L.I32).alias("bias"))
 
 
+def _units(weights):
+    """(weight of each bin, bias) of a fitted model, in units of 1/256."""
+    return L.quantized(weights[:BINS]), int(L.quantized(weights[BINS:], L.I32)[0])
+
+
+def _log_odds(counts, totals):
+    """(weight of each bin, bias) of the log-odds model; at most 65,536 rows reach the driver."""
+    lookup = np.zeros(BINS, np.int64)
+    for r in L.logodds_weights(counts, totals).collect():
+        lookup[r["bin"]] = r["weight"]
+    return lookup, L.logodds_bias(counts, totals).first()["bias"]
+
+
 def _logistic(s, d, scaled=False):
     """Weights per bin of the L2-regularised logistic model; with `scaled` of the one on bins scaled by naive Bayes ratios."""
-    rows = G.Rows(_rows(s, d, "development"))
+    rows = _told(s, d)
     ratios, active = naive_bayes(_counts(s, rows)) if scaled else (None, None)
     (found,) = G.fit(rows, [G.Setting(scaled=scaled)], ratios, 1e-5)
     rows.drop()
@@ -104,21 +125,21 @@ def _logistic(s, d, scaled=False):
 
 def _ablation(s, d):
     """Every learner of the grid, calibrated on the validation rows: its boundary and confusion there, or why it has none."""
-    work, rows = Workspace(s, "ablation"), G.Rows(_rows(s, d, "development"))
+    work, rows = Workspace(s, "ablation"), _told(s, d)
     counts, (clean, toxic) = _counts(s, rows), map(int, rows.counts[:, BINS])
     totals = s.createDataFrame([(toxic, clean)], "nt long, nc long")
     ratios, active = naive_bayes(counts)
     settings = [G.Setting(c, b) for b in (False, True) for c in COSTS] + [G.Setting(scaled=True)]
     fitted = G.fit(rows, settings, ratios, 1e-4)
     rows.drop()
-    models = [("log_odds", None, False, None, (L.logodds_weights(counts, totals), L.logodds_bias(counts, totals)))]
-    models += [("logistic", x.cost, x.balanced, None, _table(s, w)) for x, w in zip(settings[:-1], fitted)]
-    models += [("nb_logistic", 1.0, False, beta, _table(s, G.blended(fitted[-1], ratios, active, beta))) for beta in BETAS]
-    validation = work.keep(_rows(s, d, "validation"))
+    models = [("log_odds", None, False, None, _log_odds(counts, totals))]
+    models += [("logistic", x.cost, x.balanced, None, _units(w)) for x, w in zip(settings[:-1], fitted)]
+    models += [("nb_logistic", 1.0, False, beta, _units(G.blended(fitted[-1], ratios, active, beta))) for beta in BETAS]
+    scores = work.keep(L.grid_scores(_rows(s, d, "validation"), [m[-1] for m in models]))
+    best = {r["model"]: r for r in L.grid_boundaries(scores, len(models), MINIMUM).collect()}  # a row per model
     out = []
-    for name, cost, balanced, beta, model in models:
-        scores = L.raw_scores(validation, *model, carry=("label",))
-        found = L.best_boundary(L.calibration_curve(work.keep(scores), MINIMUM)).first()
+    for k, (name, cost, balanced, beta, _) in enumerate(models):
+        found = best.get(k)
         out.append((name, cost, balanced, beta, *((found["boundary"], found["tp"], found["fp"], found["tn"], found["fn"], None) if found else (None,) * 5 + ("no boundary passes the gates",))))
     return s.createDataFrame(out, "learner string, cost double, balanced boolean, beta double, boundary long, tp long, fp long, tn long, fn long, error string")
 

@@ -4,8 +4,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from quellmark.functions import features as X
 from quellmark.functions.features import BINS
+from quellmark.functions.text import nfkc_text
+from quellmark.operators import linear_model as L
 from quellmark.operators import logistic as G
 
 
@@ -85,3 +89,41 @@ def test_passes_go_on_until_the_gradient_is_small(spark, data, monkeypatch):
     monkeypatch.setattr(G, "PASSES", 3, raising=False)  # a bound on passes would leave the fit half done
     (w,) = G.fit(spark.createDataFrame(data, "label string, bins array<int>"), [G.Setting()])
     assert np.abs(gradient(data, w, 1.0, False, lambda b: 1.0)[0]).max() < 1e-5
+
+
+def test_blocks_of_words_say_the_same_as_bins():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["spoon", "Muppet", "garden", "a", "ｆork", "Forks", "window", "!"], k=12)) for _ in range(300)] + [None, "", "...", "spoon"]
+    rows = [sorted(X.word_char_bins(nfkc_text(t).lower())) if t else [] for t in texts]
+    rows[-1] = [1, 2]  # not what its text has
+    lengths, bins = np.array([len(r) for r in rows]), np.array([b for r in rows for b in r])
+    toxic, w, pull = np.arange(len(rows)) % 2 == 0, np.random.default_rng(1).normal(size=BINS + 1), np.random.default_rng(2).normal(size=len(rows))
+    sums = np.zeros(BINS + 1)
+    for p, r in zip(pull, rows):
+        sums[r] += p
+    sums[BINS] = pull.sum()
+    for said in (None, texts):
+        block = G.packed(lengths, bins, toxic, said)
+        assert np.allclose(G.scored(block, w), [w[r].sum() + w[BINS] for r in rows]) and np.allclose(G.summed(block, pull), sums)
+    assert len(block.entries) + len(block.spare) + len(block.word_bins) < len(bins) / 2
+
+
+def test_all_models_are_calibrated_in_one_sweep(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(k, "toxic" if k % 3 else "clean", [3, 9] if k % 3 and k % 7 else [9] if k % 5 else []) for k in range(60)], "row_id long, label string, bins array<int>")
+    models = [(rng.integers(-300, 300, BINS), int(b)) for b in (0, 40)] + [(np.zeros(BINS, np.int64), -5)]
+    models[0][0][[3, 9]] = [200, 10]
+    swept, plain = [], L.running
+    monkeypatch.setattr(L, "running", lambda *a, **k: swept.append(1) or plain(*a, **k))
+    found = {r["model"]: tuple(r)[1:] for r in L.grid_boundaries(L.grid_scores(rows, models), len(models), 0).collect()}
+    assert len(swept) == 1 and 0 in found and 2 not in found
+    for k, (lookup, base) in enumerate(models):
+        weights = spark.createDataFrame([(b, int(lookup[b])) for b in (3, 9)], "bin long, weight long")
+        alone = L.best_boundary(L.calibration_curve(L.raw_scores(rows, weights, spark.createDataFrame([(base,)], "bias long"), carry=("label",)), 0)).first()
+        assert found.get(k) == (alone and tuple(alone))
+
+
+def test_units_round_as_in_sql(spark):
+    x = np.array([0.5, 1.5, -0.5, -2.5, 0.49999999999999994, 3.2, 1e9, -1e9]) / 256
+    sql = [r[0] for r in spark.createDataFrame([(float(v),) for v in x], "x double").select(L.quantize(F.col("x"))).collect()]
+    assert L.quantized(x).tolist() == sql

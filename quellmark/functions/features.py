@@ -256,6 +256,102 @@ def hashed_sets(texts: list[str], shape: Shape) -> tuple[np.ndarray, np.ndarray]
     return np.bincount(found >> 16, minlength=count), (found & 0xFFFF).astype(np.int32)
 
 
+class Parts(NamedTuple):
+    """The words of some texts: text and code of each in order; of each code its bins (repeated ones too) and the same as stems.
+
+    A stem is the windows that begin at one character, shared by all words that have them; stems count from BINS on, so that a word's own bin
+    can stand beside them. Those of most windows come first: `stem_bins` are the first windows of all stems, the second ones of those that have
+    two, and the third ones. Pairs are the bins of neighbours in a clause, in the order of the texts.
+    """
+
+    text: np.ndarray
+    code: np.ndarray
+    sizes: np.ndarray
+    bins: np.ndarray
+    sizes_in_stems: np.ndarray
+    stems: np.ndarray
+    stem_sizes: np.ndarray
+    stem_bins: np.ndarray
+    pair_text: np.ndarray
+    pair_bins: np.ndarray
+
+
+def each(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of the stretches that begin at `starts`, one after another."""
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+
+
+def word_parts(texts: list[str]) -> Parts:
+    """What `word_char_35` hashes, for texts in normal form: words, neighbours, and 3 to 5 characters within words."""
+    whole = "".join(t + "\n" for t in texts)  # the end of a text ends its clause
+    points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+    seen = np.flatnonzero(np.bincount(points)) if len(points) else np.zeros(0, np.int64)
+    chars = [chr(p) for p in seen]
+    kinds = np.zeros((2, int(seen[-1]) + 1 if len(seen) else 1), bool)
+    kinds[:, seen] = [[bool(_WORD.fullmatch(c)) for c in chars], [c in CLAUSE_END for c in chars]]
+    inside = np.concatenate([[False], kinds[0][points], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    first = edges[::2]
+    text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), first, side="right")
+    clause = np.cumsum(kinds[1][points])[first] if len(first) else first
+    if not len(first):
+        none = np.zeros(0, np.int64)
+        return Parts(*[none] * len(Parts._fields))
+    code, unique = pd.factorize(np.array(np.where(inside[1:-1], points, ord(" ")).astype("<u4").tobytes().decode("utf-32-le").split(), dtype=object))
+    unique = list(unique)
+    plain = Tokens(unique, False)
+    own = plain.hashed(np.full(len(unique), fnv16(b"W\x01\0"), np.uint32), plain.first, plain.last)
+
+    marked = Tokens(unique, True)
+    begin = np.cumsum(marked.chars) - marked.chars
+    at = each(begin, marked.chars - 2)  # where a window of three characters begins
+    room = np.minimum(marked.chars[marked.owner[at]] - (at - begin[marked.owner[at]]), 5)
+    ranks = np.zeros(int(seen[-1]) + 4, np.int64)
+    ranks[seen] = np.arange(1, len(seen) + 1)
+    letters = np.frombuffer("".join(f"{START}{t}{END}" for t in unique).encode("utf-32-le"), np.uint32)
+    ranks[[ord(START), ord(END)]] = len(seen) + np.array([1, 2])
+    ranked, bits = np.concatenate([ranks[letters], np.zeros(4, np.int64)]), int(len(seen) + 2).bit_length()
+    if 5 * bits <= 63:
+        key = np.zeros(len(at), np.int64)
+        for j in range(5):
+            key = key << bits | np.where(j < room, ranked[at + j], 0)
+        stem, _ = pd.factorize(key)
+    else:  # too many letters to tell windows by a number
+        stem = np.arange(len(at))
+    one = np.empty(stem.max() + 1, np.int64)
+    one[stem] = np.arange(len(at))
+    order = np.argsort(-room[one], kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    stem, where = rank[stem], at[one[order]]
+    stem_sizes = room[one[order]] - 2
+    columns = []
+    for n in (3, 4, 5):
+        k = where[: np.count_nonzero(stem_sizes >= n - 2)]
+        columns.append(marked.hashed(np.full(len(k), fnv16(b"C" + bytes([n])), np.uint32), marked.at[k], marked.at[k + n]))
+
+    in_stems = marked.chars - 1  # its stems, and its own bin
+    stems = np.empty(in_stems.sum(), np.int64)
+    ends = np.cumsum(in_stems) - 1
+    other = np.ones(len(stems), bool)
+    other[ends] = False
+    stems[other], stems[ends] = BINS + stem, own
+    sizes = np.ones(len(stems), np.int64)
+    sizes[other] = stem_sizes[stem]
+    bins = np.empty(sizes.sum(), np.uint32)
+    spread_ = np.cumsum(sizes) - sizes
+    bins[spread_[ends]] = own
+    for j, column in enumerate(columns):
+        has = stem < len(column)
+        bins[spread_[other][has] + j] = column[stem[has]]
+    who, left, right = _pairs_of(text, clause, code)
+    index, both = pd.factorize(left << 32 | right)
+    left, right = both >> 32, both & 0xFFFFFFFF
+    state = plain.hashed(np.full(len(unique), fnv16(b"W\x02\0"), np.uint32), plain.first, plain.last)[left]
+    state = plain.hashed((state * PRIME) & 0xFFFF, plain.first[right], plain.last[right])
+    return Parts(text, code, np.add.reduceat(sizes, ends - in_stems + 1), bins, in_stems, stems, stem_sizes, np.concatenate(columns), who, state[index].astype(np.int64))
+
+
 def _blocks(texts: list[str]) -> Iterator[list[str]]:
     block, size = [], 0
     for t in texts:

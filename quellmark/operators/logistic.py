@@ -22,13 +22,14 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quellmark.functions.features import BINS, SHAPES, hashed_sets, words
+from quellmark.functions.features import BINS, SHAPES, distinct, each, hashed_sets, word_parts, words
+from quellmark.functions.text import nfkc_text
 from quellmark.runtime import Workspace
 
 #: Weight of a feature, and the accuracy of the fit (of the first gradient's length).
 BIAS, EPSILON = 1.0, 1e-8
 #: Steps that the curvature is taken from (of one model, of all together), blocks that a gradient is summed in, and rows whose bins are gathered at once.
-MEMORY, MEMORIES, BLOCKS, CHUNK = 100, 440, 16, 256
+MEMORY, MEMORIES, BLOCKS, CHUNK = 300, 440, 16, 256
 #: Rows and bins at which a block ends, and values that stay in a core's cache.
 HELD, LONG, CACHED = 32_768, 16_000_000, 65_536
 #: Share of a row's cost that foretells its curvature near the optimum, where most rows are told well.
@@ -83,7 +84,10 @@ def minimised(accuracy: float = EPSILON, scale: np.ndarray | None = None, memory
 
 
 class Block(NamedTuple):
-    """Some rows of one label each, as sums: a row is its entries (bins, and from BINS on words of the block) less the bins that these have too often."""
+    """Some rows of one label each, as sums: a row is its entries less the bins that these have too often.
+
+    Numbers below BINS are bins; then come the stems of the block, which are some bins each, and the words, which are some stems and bins.
+    """
 
     toxic: np.ndarray
     lengths: np.ndarray
@@ -92,17 +96,14 @@ class Block(NamedTuple):
     spare: np.ndarray
     word_lengths: np.ndarray
     word_bins: np.ndarray
+    stem_lengths: np.ndarray
+    stem_bins: np.ndarray
 
 
-_KINDS = Block(*map(np.dtype, ("?", "<i4", "<i4", "<i4", "<u2", "<i4", "<u2")))
+_KINDS = Block(*map(np.dtype, ("?", "<i4", "<i4", "<i4", "<u2", "<i4", "<i4", "<i4", "<u2")))
 _BLOCK = ", ".join(f"{name} binary" for name in Block._fields)
 
 
-def _each(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The places of the stretches that begin at `starts`, one after another."""
-    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-
-
 def packed(lengths: np.ndarray, bins: np.ndarray, toxic: np.ndarray, texts: list[str | None] | None) -> Block:
     """The rows with these bins, written by the words of their texts: a word stands for all bins that it has by itself, once for each text that holds it.
 
@@ -121,7 +122,7 @@ def packed(lengths: np.ndarray, bins: np.ndarray, toxic: np.ndarray, texts: list
         b = min(a + CHUNK, count)
         part = code[told[a] : told[b]]
         own = word_lengths[part]
-        said = np.repeat(row[told[a] : told[b]], own) << 16 | word_bins[_each(starts[part], own)]
+        said = np.repeat(row[told[a] : told[b]], own) << 16 | word_bins[each(starts[part], own)]
         rest = np.repeat(np.arange(a, b), lengths[a:b]) << 16 | bins[ends[a] : ends[b]]
         keys = np.sort(np.concatenate([said << 1, rest << 1 | 1]))
         if not len(keys):
@@ -136,7 +137,60 @@ def packed(lengths: np.ndarray, bins: np.ndarray, toxic: np.ndarray, texts: list
     whose = np.concatenate([row, new >> 16])
     order = np.argsort(whose, kind="stable")
     entries = np.concatenate([BINS + code, new & 0xFFFF])[order]
-    return Block(toxic, np.bincount(whose, minlength=count), entries, np.bincount(spare >> 16, minlength=count), spare & 0xFFFF, word_lengths, word_bins)
+    none = np.zeros(0, np.int64)
+    return Block(toxic, np.bincount(whose, minlength=count), entries, np.bincount(spare >> 16, minlength=count), spare & 0xFFFF, word_lengths, word_bins, none, none)
+
+
+def told(texts: list[str | None], toxic: np.ndarray) -> Block:
+    """What `packed` makes of texts and their `word_char_35` bins, without writing these down for each text."""
+    count = len(texts)
+    found = word_parts([nfkc_text(t).lower() if t else "" for t in texts])
+    held = distinct(found.text << 32 | found.code)
+    row, code = held >> 32, held & 0xFFFFFFFF
+    starts = np.cumsum(found.sizes) - found.sizes
+    ends, paired = np.searchsorted(row, np.arange(count + 1)), np.searchsorted(found.pair_text, np.arange(count + 1))
+    new, spare = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a in range(0, count, CHUNK):
+        b = min(a + CHUNK, count)
+        part, pairs = slice(ends[a], ends[b]), slice(paired[a], paired[b])
+        own = found.sizes[code[part]]
+        said = np.repeat(((row[part] - a) << 17).astype(np.uint32), own) | found.bins[each(starts[code[part]], own)] << 1
+        rest = ((found.pair_text[pairs] - a) << 17 | found.pair_bins[pairs] << 1 | 1).astype(np.uint32)
+        keys = np.sort(np.concatenate([said, rest]))  # a bin's words before its pairs
+        again = np.append(False, keys[1:] >> 1 == keys[:-1] >> 1)
+        pair = (keys & 1).astype(bool)
+        new.append((keys[pair & ~again] >> 1) + (a << 16))
+        spare.append((keys[~pair & again] >> 1) + (a << 16))
+    new, spare = np.concatenate(new).astype(np.int64), np.concatenate(spare).astype(np.int64)
+    words_of, pairs_of = np.bincount(row, minlength=count), np.bincount(new >> 16, minlength=count)
+    lengths = words_of + pairs_of
+    begin = np.cumsum(lengths) - lengths
+    entries = np.empty(len(code) + len(new), np.int64)
+    entries[each(begin, words_of)] = BINS + len(found.stem_sizes) + code
+    entries[each(begin + words_of, pairs_of)] = new & 0xFFFF
+    return Block(toxic, lengths, entries, np.bincount(spare >> 16, minlength=count), spare & 0xFFFF, found.sizes_in_stems, found.stems, found.stem_sizes, found.stem_bins)
+
+
+def _written(block: Block) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x.astype(kind).tobytes()], pa.binary()) for x, kind in zip(block, _KINDS)], list(Block._fields))
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of (text, toxic), one a row."""
+    texts: list[str | None] = []
+    toxic: list[bool] = []
+    size = 0
+    for whole in batches:
+        for a in range(0, len(whole), CHUNK):
+            batch = whole.slice(a, CHUNK)
+            texts += batch.column(0).to_pylist()
+            toxic += batch.column(1).to_pylist()
+            size += sum(len(t or "") for t in texts[-len(batch) :])
+            if len(texts) >= HELD or size >= LONG:
+                yield _written(told(texts, np.array(toxic)))
+                texts, toxic, size = [], [], 0
+    if texts:
+        yield _written(told(texts, np.array(toxic)))
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +201,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths, bins, toxic, texts = zip(*parts)
         found = packed(np.concatenate(lengths), np.concatenate(bins), np.concatenate(toxic), list(chain.from_iterable(texts)) if texts[0] is not None else None)
         parts.clear()
-        return pa.RecordBatch.from_arrays([pa.array([x.astype(kind).tobytes()], pa.binary()) for x, kind in zip(found, _KINDS)], list(Block._fields))
+        return _written(found)
 
     for whole in batches:
         for a in range(0, len(whole), CHUNK):
@@ -182,19 +236,37 @@ def _sums(values: np.ndarray, index: np.ndarray, lengths: np.ndarray) -> np.ndar
     return out
 
 
+def _columns(block: Block) -> list[np.ndarray]:
+    """The first, second and third bins of the stems; those of most bins come first."""
+    return np.split(block.stem_bins, np.cumsum([np.count_nonzero(block.stem_lengths >= n) for n in (1, 2)]))
+
+
 def scored(block: Block, weights: np.ndarray) -> np.ndarray:
     """The sum of the weights of each row's bins and of the bias."""
-    known = np.concatenate([weights[:BINS], _sums(weights, block.word_bins, block.word_lengths)]) if len(block.word_lengths) else weights
+    known = weights[:BINS]
+    if len(block.stem_lengths):
+        first, *more = _columns(block)
+        stems = np.take(weights, first)
+        for column in more:
+            stems[: len(column)] += np.take(weights, column)
+        known = np.concatenate([known, stems])
+    if len(block.word_lengths):
+        known = np.concatenate([known, _sums(known, block.word_bins, block.word_lengths)])
     score = weights[BINS] * BIAS + _sums(known, block.entries, block.lengths)
     return score - _sums(weights, block.spare, block.spare_lengths) if len(block.spare) else score
 
 
 def summed(block: Block, values: np.ndarray) -> np.ndarray:
     """The sum per bin of the values of the rows that have it, and behind them the sum for the bias."""
-    every = np.bincount(block.entries, np.repeat(values, block.lengths), BINS + len(block.word_lengths))
-    out = np.append(every[:BINS], values.sum() * BIAS)
-    if len(block.word_lengths):
-        out[:BINS] += np.bincount(block.word_bins, np.repeat(every[BINS:], block.word_lengths), BINS)
+    stems, words_ = len(block.stem_lengths), len(block.word_lengths)
+    every = np.bincount(block.entries, np.repeat(values, block.lengths), BINS + stems + words_)
+    if words_:
+        every, own = every[: BINS + stems], every[BINS + stems :]
+        every += np.bincount(block.word_bins, np.repeat(own, block.word_lengths), len(every))
+    if stems:
+        every, own = every[:BINS], every[BINS:]
+        every += np.bincount(block.stem_bins, np.concatenate([own[: len(c)] for c in _columns(block)]), BINS)
+    out = np.append(every, values.sum() * BIAS)
     if len(block.spare):
         out[:BINS] -= np.bincount(block.spare, np.repeat(values, block.spare_lengths), BINS)
     return out
@@ -230,9 +302,9 @@ def _opened(run, files: list[str], cores: int):
 
 
 class Rows:
-    """The labelled rows of (bins, label) or (bins, label, text), written once as every pass reads them; rows without bins or with another label are left out.
+    """The labelled rows of (bins, label), (bins, label, text) or (label, text), written once as every pass reads them; rows without bins or with another label are left out.
 
-    With their texts, rows of `word_char_35` take about a third of the entries, as bins of a word that many texts share are written once per block.
+    Texts alone stand for their bins of `word_char_35`, a null one for none. With their texts, rows of `word_char_35` take about a third of the entries, as bins of a word that many texts share are written once per block.
     Where the shared folder is a mounted one, the Python workers read its files themselves, which spares each pass the way through the JVM. `counts` [label, bin] has the documents per bin, the last one being the bias, which all rows have.
     """
 
@@ -240,9 +312,13 @@ class Rows:
         spark = rows.sparkSession
         self.work = Workspace(spark, "logistic")
         text = [c for c in ("text",) if c in rows.columns]
-        used = rows.where("label in ('toxic', 'clean') and bins is not null").select(F.col("bins").cast("array<int>").alias("bins"), (F.col("label") == "toxic").alias("toxic"), *text)
+        used, toxic = rows.where("label in ('toxic', 'clean')"), (F.col("label") == "toxic").alias("toxic")
         self.path = f"{self.work.root}/rows"
-        used.mapInArrow(_packed, _BLOCK).write.option("compression", "none").parquet(self.path)  # read again in every pass
+        if "bins" in rows.columns:
+            blocks = used.where("bins is not null").select(F.col("bins").cast("array<int>").alias("bins"), toxic, *text).mapInArrow(_packed, _BLOCK)
+        else:
+            blocks = used.select("text", toxic).mapInArrow(_told, _BLOCK)
+        blocks.write.option("compression", "none").parquet(self.path)  # read again in every pass
         self.cores = spark.sparkContext.defaultParallelism
         self.files = _files(spark, self.path)
         if self.files:

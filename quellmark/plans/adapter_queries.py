@@ -72,11 +72,10 @@ def _rows(s, d, split, carry=("label",)):
 
 
 def _told(s, d):
-    """The development rows as the fits read them, with their texts."""
-    rows = table(s, d, "corpus_rows").where("text is not null and label is not null and split = 'development'").select("row_id", "label", "text", F.col("text").alias("said"))
+    """The development rows as the fits read them, from their texts."""
+    rows = table(s, d, "corpus_rows").where("text is not null and label is not null and split = 'development'").select("label", "text")
     cores = s.sparkContext.defaultParallelism
-    rows = rows.repartition(cores * -(-rows._jdf.queryExecution().toRdd().getNumPartitions() // cores))  # in each pass all cores have as much to do
-    return G.Rows(X.with_bins(rows, carry=("label", "said")).withColumnRenamed("said", "text"))
+    return G.Rows(rows.repartition(cores * -(-rows._jdf.queryExecution().toRdd().getNumPartitions() // cores)))  # in each pass all cores have as much to do
 
 
 def _counts(s, rows):

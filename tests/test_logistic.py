@@ -127,3 +127,42 @@ def test_units_round_as_in_sql(spark):
     x = np.array([0.5, 1.5, -0.5, -2.5, 0.49999999999999994, 3.2, 1e9, -1e9]) / 256
     sql = [r[0] for r in spark.createDataFrame([(float(v),) for v in x], "x double").select(L.quantize(F.col("x"))).collect()]
     assert L.quantized(x).tolist() == sql
+
+
+ODD = [None, "", "...", "spoon", "a. b", "aaaaaaa aaaa", "ﬁne ΣΑΣ e\u0301t\u0301", "x\ny\u2028z", "_a_b", "\x02ab\x03 ab", "漢字かな 한국어", "de der des den. Der-des!"]
+
+
+def told_bins(text):
+    return sorted(X.word_char_bins(nfkc_text(text).lower())) if text else []
+
+
+@pytest.mark.parametrize("letters", [0, 5000])
+def test_blocks_are_written_from_texts_alone(letters):
+    rng = random.Random(5)
+    many = "".join(map(chr, range(0x4E00, 0x4E00 + letters)))  # too many letters to tell windows by a number
+    texts = [" ".join(rng.choices(["spoon", "Muppet", "garden", "a", "Forks", "fork", "window!", ".", "spoons"], k=12)) for _ in range(600)] + ODD + [many]
+    rows, toxic = [told_bins(t) for t in texts], np.arange(len(texts)) % 2 == 0
+    w, pull = np.random.default_rng(1).normal(size=BINS + 1), np.random.default_rng(2).normal(size=len(rows))
+    sums = np.zeros(BINS + 1)
+    for p, r in zip(pull, rows):
+        sums[r] += p
+    sums[BINS] = pull.sum()
+    block = G.told(texts, toxic)
+    assert np.allclose(G.scored(block, w), [w[r].sum() + w[BINS] for r in rows]) and np.allclose(G.summed(block, pull), sums)
+    if not letters:  # a word is written by the stems that it shares with others
+        assert len(block.word_bins) < 0.6 * len(X.hashed_sets(list({w for t in texts for w in X.words(t)}), X.SHAPES["word_char_35"])[1])
+    for none in ([], [None], ["", "."]):
+        assert len(G.scored(G.told(none, np.zeros(len(none), bool)), w)) == len(none)
+
+
+def test_rows_of_texts_are_rows_of_their_bins(spark):
+    rng = random.Random(6)
+    rows = [("toxic" if k % 3 else "clean", " ".join(rng.choices(["spoon", "muppet", "garden", "a"], k=3 + k % 3)) + str(k % 5)) for k in range(90)]
+    rows += [("clean", t) for t in ODD] + [("odd", "spoon"), (None, "spoon")]
+    texts = spark.createDataFrame(rows, "label string, text string").repartition(3)
+    bins = spark.createDataFrame([(x, told_bins(t)) for x, t in rows], "label string, bins array<int>").repartition(3)
+    told, plain = G.Rows(texts), G.Rows(bins)
+    assert (told.counts == plain.counts).all()
+    (a,), (b,) = G.fit(told, [G.Setting()]), G.fit(plain, [G.Setting()])
+    assert np.abs(a - b).max() < 1e-6
+    told.drop(), plain.drop()
